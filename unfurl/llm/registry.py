@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, sharding, url_filters
+from . import chat, decontaminate, mixing, quality, sharding, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
     "op5_chat": chat.query,
     "op3_mixing": mixing.query,
+    "op7_quality": quality.query,
     "op9_decontaminate": decontaminate.query,
     "op10_sharding": sharding.query,
 }
