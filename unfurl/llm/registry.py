@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, sharding, url_filters
+from . import chat, decontaminate, lm_score, mixing, quality, sharding, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
+    "op4_lm_score": lm_score.query,
     "op5_chat": chat.query,
     "op3_mixing": mixing.query,
     "op7_quality": quality.query,
