@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm_score, mixing, quality, sharding, url_filters
+from . import chat, decontaminate, lm_score, mixing, near_dup, quality, sharding, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_chat": chat.query,
     "op3_mixing": mixing.query,
     "op7_quality": quality.query,
+    "op8_near_dup": near_dup.query,
     "op9_decontaminate": decontaminate.query,
     "op10_sharding": sharding.query,
 }
