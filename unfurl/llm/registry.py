@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm_score, mixing, near_dup, quality, sharding, url_filters
+from . import chat, decontaminate, lm_score, mixing, near_dup, quality, sharding, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
     "op4_lm_score": lm_score.query,
     "op5_chat": chat.query,
     "op3_mixing": mixing.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_quality": quality.query,
     "op8_near_dup": near_dup.query,
     "op9_decontaminate": decontaminate.query,
