@@ -182,6 +182,13 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     )
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs without the rows that hold a window of an item."""
+    rows = keyed(docs)
+    hits = spill(matches(rows, items.select("item_id", "text"), width).select("_k1", "_k2").distinct(), "contaminated")
+    return rows.join(hits, ["_k1", "_k2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")

@@ -80,6 +80,20 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget_share: float = 1.5, repeat_cap: int = 2, seed: int = 0) -> DataFrame:
+    """docs (source, text and more), each row as often as the mix takes it."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumns({"_k1": F.xxhash64(*cols), "_k2": F.xxhash64(F.lit(1), *cols)})
+    slim = rows.select("_k1", "_k2", "source", word_count(F.col("text")).alias("size"))
+    served = mix(slim, weights, budget_share, repeat_cap, seed).where("taken > 0")
+    plan = spill(
+        served.groupBy("_k1", "_k2").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies"
+    )
+    if plan.where("_rows > 1").limit(1).count():  # equal rows share their copies
+        rows = rows.dropDuplicates(["_k1", "_k2"])
+    return rows.join(plan.select("_k1", "_k2", "_copies"), ["_k1", "_k2"]).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))

@@ -278,8 +278,10 @@ def run_blocks(rows: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and more) without text, with n_shingles and
-    component_id, the smallest doc_id reachable by links, itself included."""
+    """docs (doc_id, text and more) without text, with n_shingles, component_id,
+    the smallest doc_id reachable by links, itself included, and _k and keeper:
+    the text's hash and whether the row is the one of its component that stays
+    (with all rows equal to it)."""
     counts, total = frequent_tokens(docs)
     classes = token_classes(counts, total)
     rows = spill(members(docs.withColumn("_k", F.xxhash64("text"))), "members")
@@ -320,9 +322,24 @@ def cluster(docs: DataFrame) -> DataFrame:
     merges = spill(outer.join(a, "a").join(b, "b").select("ca", "cb").distinct(), "merges")
     merged = components(merges, "ca", "cb")
     final = label.join(merged, F.col("comp") == F.col("node"), "left").select("sid", F.coalesce("component", "comp").alias("root"))
-    rooted = rows.join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid")).drop("_k")
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").withColumn("component_id", F.coalesce("least", "doc_id")).drop("root", "least", "sid")
+    rooted = rows.join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "_k")).alias("rep"))
+    out = rooted.join(least, "root", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    stays = F.col("root").isNull() | (F.col("rep").eqNullSafe(F.struct("doc_id", "_k")))
+    return out.withColumn("keeper", stays).drop("root", "least", "sid", "rep")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, its smallest; rows with an empty set
+    all stay."""
+    marks = spill(cluster(docs.select("doc_id", "text")).where("keeper and n_shingles > 0").select("doc_id", "_k"), "keepers")
+    one = marks.distinct().select(F.col("doc_id").alias("_id"), F.col("_k").alias("_w"))
+    rows = docs.withColumn("_k", F.xxhash64("text"))
+    kept = rows.join(one.hint("shuffle_hash"), (F.col("_k") == F.col("_w")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_w")
+    if marks.count() > marks.distinct().count():  # repeated rows: one stays
+        kept = kept.dropDuplicates(["doc_id", "_k"])
+    empty = rows.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return kept.union(empty).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm_score, mixing, near_dup, quality, sharding, suffix_dedup, url_filters
+from . import chat, decontaminate, lm_score, mixing, near_dup, pii, quality, sharding, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
     "op4_lm_score": lm_score.query,
     "op5_chat": chat.query,
+    "op2_pii": pii.query,
     "op3_mixing": mixing.query,
     "op6_suffix_dedup": suffix_dedup.query,
     "op7_quality": quality.query,
