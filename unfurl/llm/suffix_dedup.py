@@ -11,9 +11,10 @@ forty, have to be sorted, each with the bytes that the strings around it reach.
 2. Their suffixes (with left context) are collapsed within a task, keeping the
    earliest of equal ones, and range-partitioned by leading bytes with sampled
    splitters, so equal grams meet in one bucket.
-3. Buckets sort locally by multikey quicksort, eight bytes at a time; runs of one
-   gram are compared, across batch boundaries, and every string whose earliest
-   start is elsewhere marks its bytes.
+3. Buckets sort locally by multikey quicksort, eight bytes at a time. Sorted
+   neighbours bound how far each suffix agrees with any other; within a run of
+   one gram, every string in these bounds that starts earlier elsewhere (by
+   64-bit hash of its bytes) marks its bytes.
 4. Marks are merged per text and the rest is hashed and returned.
 
 Texts equal as a whole are one text: the later ones (larger id) go entirely if
@@ -68,12 +69,31 @@ def anchors(b: _words.Block, length: int, gram: int) -> tuple[np.ndarray, np.nda
     return anchor[first], starts[first], starts[last]
 
 
-def gather(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Eight-byte big-endian words of data from each place, zero beyond width."""
-    n = (width + 7) // 8
-    idx = at[:, None] + np.arange(n * 8)
-    out = np.where(np.arange(n * 8) < width, data[np.minimum(idx, len(data) - 1)], 0).astype(np.uint8)
-    return out.view(">u8").astype(np.uint64)
+def gather(data: np.ndarray, at: np.ndarray, limit: np.ndarray, width: int, step: int = 1) -> np.ndarray:
+    """(rows, width) bytes of data from each place on, or backwards with step -1,
+    zero beyond each row's limit."""
+    k = np.arange(width)
+    out = data[np.clip(at[:, None] + step * k, 0, len(data) - 1)]
+    out[k >= limit[:, None]] = 0
+    return out
+
+
+def packed(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as eight-byte big-endian words, which sort alike."""
+    pad = np.zeros((len(rows), -rows.shape[1] % 8), np.uint8)
+    return np.ascontiguousarray(np.hstack([rows, pad])).view(">u8").astype(np.uint64)
+
+
+def nearest(rows: np.ndarray, limit: np.ndarray, order: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Per row, the longest common prefix with any other one: that with a sorted
+    neighbour. same says which neighbours (in order) count."""
+    out = np.zeros(len(rows), np.int64)
+    a, b = order[:-1][same], order[1:][same]
+    equal = np.hstack([rows[a] == rows[b], np.zeros((len(a), 1), bool)])
+    common = np.minimum(equal.argmin(1), np.minimum(limit[a], limit[b]))
+    np.maximum.at(out, a, common)
+    np.maximum.at(out, b, common)
+    return out
 
 
 def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +139,8 @@ def candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 at, text = at[keep], text[keep]
                 h = _words.Hasher(b.data).of(at, at + gram)
                 kept.append((h, k1[b.first + text], k2[b.first + text], (at - b.offsets[text]).astype(np.uint32)))
+            if not kept:
+                continue
             h, a, c, p = (np.concatenate([k[i] for k in kept]) for i in range(4))
             part = h % np.uint64(width)
             order = np.argsort(part, kind="stable")
@@ -171,76 +193,97 @@ def _marks(doc, lo, hi) -> pa.RecordBatch:
 
 
 def suffixes(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """texts: text, doc (its rank by id), places. Rows of SUFFIX for anchors at
-    the places: leading bytes, first string start, the anchor's offset from it,
-    number of strings, and all bytes they cover. Of equal ones in a batch only
-    the earliest is sent; the others come back at once as marks (lead null)."""
+    """texts: text, doc (its rank by id), places, by doc within partitions. Rows
+    of SUFFIX for anchors at the places: leading bytes, first string start, the
+    anchor's offset from it, number of strings, and all bytes they cover. Of equal
+    ones in a task only the earliest is sent whole; the others come without bytes,
+    as their strings certainly start elsewhere before."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
             doc = batch.column(1).to_numpy()
-            places: dict[int, list[np.ndarray]] = {}
-            rows: list[tuple] = []
             for b in _words.blocks(batch.column(0)):
                 at, lo, hi = anchors(b, length, gram)
-                text = b.text_of(at)
                 wanted = np.concatenate(
                     [np.zeros(0, np.int64)]
                     + [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) + b.offsets[i] for i in range(b.n) for x in batch.column(2)[b.first + i].values]
                 )
                 keep = np.isin(at, wanted)
-                raw = b.data.tobytes()
-                for a, s, e, t in zip(at[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), text[keep].tolist()):
-                    rows.append((raw[a : a + gram], int(doc[b.first + t]), s - int(b.offsets[t]), a - s, e - s + 1, raw[s : e + length]))
-            rows.sort(key=lambda r: (r[1], r[2]))
-            first: dict[tuple, tuple] = {}
-            sent, again = [], []
-            for r in rows:
-                seen = first.setdefault((r[3], r[5]), r[1:3])
-                if len(first) > len(sent):
-                    sent.append(r)
-                elif seen != r[1:3]:
-                    again.append((None, *r[1:5], None))
-            for part in (sent, again):
-                for i in range(0, len(part), 50_000):
-                    cols = list(zip(*part[i : i + 50_000]))
-                    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in SUFFIX.split(", ")])
+                at, lo, hi = at[keep], lo[keep], hi[keep]
+                text = b.text_of(at)
+                own, start, end = doc[b.first + text], lo - b.offsets[text], hi + length
+                key = _words.mix(_words.Hasher(b.data).of(lo, end) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                again = np.zeros(len(at), bool)
+                for i, (k, d, s) in enumerate(zip(key.tolist(), own.tolist(), start.tolist())):
+                    first = seen.setdefault(k, (d, s))
+                    again[i] = (d, s) > first
+                whole = np.flatnonzero(~again)
+                size = np.where(again, 0, end - lo)
+                cut = np.concatenate([[0], np.cumsum(size)])
+                idx = np.arange(cut[-1]) + np.repeat(lo - cut[:-1], size)
+                lead = b.data[(at[whole][:, None] + np.arange(gram)).ravel()]
+                leads = np.concatenate([[0], np.cumsum(np.where(again, 0, gram))])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _binary(leads, lead, again),
+                        pa.array(own),
+                        pa.array(start.astype(np.int32)),
+                        pa.array((at - lo).astype(np.int32)),
+                        pa.array((hi - lo + 1).astype(np.int32)),
+                        _binary(cut, b.data[idx], again),
+                    ],
+                    [x.split()[0] for x in SUFFIX.split(", ")],
+                )
 
     return texts.select("text", "doc", "places").mapInArrow(scan, SUFFIX)
 
 
+def _binary(offsets: np.ndarray, data: np.ndarray, null: np.ndarray) -> pa.Array:
+    valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(null), [valid, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def resolve(t: pa.Table, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Marks of one bucket part, which holds whole runs of equal leading bytes."""
+    """Marks of one bucket, which holds whole runs of equal leading bytes.
+
+    Sorted neighbours bound how far a suffix agrees with any other to the right,
+    and likewise, within its run, to the left. Only strings within both bounds can
+    start elsewhere too; these are compared by 64-bit hash, run by run."""
     doc, start, off, n = (t.column(i).to_numpy().astype(np.int64) for i in range(1, 5))
     raw = pa.concat_arrays(t.column(5).chunks) if t.column(5).num_chunks > 1 else t.column(5).chunk(0)
     _, offsets, data = raw.buffers()
     offsets = np.frombuffer(offsets, np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8)
-    # Suffixes from the anchor on: its gram first, which decides the run.
-    order, run = multikey_sort(gather(data, offsets[:-1] + off, gram))
-    runs = np.empty(len(order), np.int64)
-    runs[order] = run
-    size = np.bincount(runs, minlength=len(order))
-    live = np.flatnonzero(size[runs] > 1)
-    # The strings around the live suffixes, run by run, sorted in full.
-    for some in _slices(live[np.argsort(runs[live], kind="stable")], runs, n):
-        row = np.repeat(some, n[some])
-        k = np.arange(len(row)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
-        order, group = multikey_sort(gather(data, offsets[row] + k, length))
-        equal = np.bincount(group, minlength=len(order))[group] > 1
-        order, group = order[equal], group[equal]
-        place = start[row] + k
-        moved = np.lexsort((place[order], doc[row[order]], group))
-        order, group = order[moved], group[moved]
-        head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
-        first = order[np.repeat(head, np.diff(np.append(head, len(group))))]
-        late = order[(doc[row[order]] != doc[row[first]]) | (place[order] != place[first])]
+    anchor, ahead = offsets[:-1] + off, np.diff(offsets) - off
+    right = gather(data, anchor, ahead, length)
+    words = packed(right)
+    lead = packed(right[:, :gram])
+    order, _ = multikey_sort(words)
+    same = (lead[order][1:] == lead[order][:-1]).all(1)
+    run = np.empty(len(order), np.int64)
+    run[order] = np.concatenate([[0], np.cumsum(~same)])
+    far_right = nearest(right, ahead, order, same)
+    left = gather(data, anchor - 1, off, length - gram, -1)
+    order, _ = multikey_sort(np.hstack([run[:, None].astype(np.uint64), packed(left)]))
+    far_left = nearest(left, off, order, run[order][1:] == run[order][:-1])
+    k_lo, k_hi = np.maximum(off - far_left, 0), np.minimum(far_right - length + off, n - 1)
+    count = np.where(far_right > 0, np.maximum(k_hi - k_lo + 1, 0), 0)
+    live = np.flatnonzero(count)
+    hashes = _words.Hasher(data)
+    for some in _slices(live[np.argsort(run[live], kind="stable")], run, count):
+        row = np.repeat(some, count[some])
+        k = k_lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+        h, place = hashes.of(offsets[row] + k, offsets[row] + k + length), start[row] + k
+        order = np.lexsort((place, doc[row], h))
+        first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+        source = order[np.repeat(first, np.diff(np.append(first, len(order))))]
+        late = order[(doc[row[order]] != doc[row[source]]) | (place[order] != place[source])]
         late.sort()
         yield from _runs(row[late], k[late], doc, start, length)
 
 
-def _slices(rows: np.ndarray, runs: np.ndarray, n: np.ndarray, limit: int = 1 << 17) -> Iterator[np.ndarray]:
+def _slices(rows: np.ndarray, runs: np.ndarray, n: np.ndarray, limit: int = 1 << 18) -> Iterator[np.ndarray]:
     """Whole runs, some limit of strings at a time."""
     if not len(rows):
         return
@@ -279,7 +322,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     of = ranks.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "first", "places", "doc")
     texts = spill(
         docs.join(of.hint("shuffle_hash"), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & F.col("id").eqNullSafe(F.col("first")))
-        .select("k1", "k2", "text", "doc", "places"),
+        .select("k1", "k2", "text", "doc", "places")
+        .sortWithinPartitions("doc"),
         "texts",
     )
     sent = spill(suffixes(texts, length, gram), "suffixes")
