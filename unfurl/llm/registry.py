@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm_score, mixing, near_dup, pii, quality, sharding, suffix_dedup, url_filters
+from . import chat, decontaminate, lm_score, mixing, near_dup, oracles, pii, quality, sharding, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_sharding": sharding.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL
