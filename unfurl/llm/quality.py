@@ -47,6 +47,8 @@ class Rules:
     class_distance: float = 0.27
     word_distance: float = 0.40
     min_chars: int = 100
+    short_chars: int = 250
+    short_class_distance: float = 0.45
     min_words_for_words: int = 50
     word_share: float = 0.004
     min_share: float = 0.001
@@ -185,7 +187,9 @@ def measure(docs: DataFrame, refs: dict, rules: Rules = Rules()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(cols, kinds)]], [*names.values(), *own])
 
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    good = (F.col("class_distance") <= rules.class_distance) & (F.col("word_distance") <= rules.word_distance)
+    # A number or an address shifts a short text's classes far.
+    limit = F.when(F.col("word_chars") < rules.short_chars, rules.short_class_distance).otherwise(rules.class_distance)
+    good = (F.col("class_distance") <= limit) & (F.col("word_distance") <= rules.word_distance)
     out = slim.mapInArrow(scan, schema).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & good)
     return out.select(*[F.col(n).alias(c) for c, n in names.items()], *own, "base_failed", "kept")
 
