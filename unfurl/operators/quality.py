@@ -27,6 +27,13 @@ def voxel_quality_4d(voxels: DataFrame, shape: Shape, tes: list[float], weights=
     return voxel_quality(echo_pair(voxels, template, partner), shape, weights, (tes[template - 1], tes[partner - 1]))
 
 
+def unwrapped_quality(voxels: DataFrame, shape: Shape) -> DataFrame:
+    """Quality of an unwrapped phase against its reference (phase2). Both are
+    halved, so that wraps, which change no ordinary quality, lower this one."""
+    half = voxels.withColumns({"phase": F.col("phase") / 2, "phase2": F.col("phase2") / 2})
+    return voxel_quality(half.drop("mag", "mask"), shape, "default", (1.0, 1.0))
+
+
 def single_flags() -> list[Flags]:
     return [flags_of([i == k for i in range(6)]) for k in range(6)]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phase as P
 from ..model import Shape
-from .stencil import ahead, order
+from .stencil import ahead, edges, order
 
 KEYS = ("image_id", "echo")
 
@@ -74,3 +74,10 @@ def correct_regions(voxels: DataFrame, value: str = "unwrapped") -> DataFrame:
     shift = voxels.where("region <> 0").groupBy(*KEYS, "region").agg(F.median(F.rint(F.col(value) / P.TWO_PI)).alias("wraps"))
     df = voxels.join(shift, [*KEYS, "region"], "left")
     return df.withColumn(value, F.col(value) - P.TWO_PI * F.coalesce("wraps", F.lit(0.0))).drop("wraps")
+
+
+def boundary_edges(voxels: DataFrame, shape: Shape, visited: str = "visited") -> DataFrame:
+    """(image_id, echo, idx, dim, edge) of edges with exactly one visited end, from
+    which growth of a partly known volume continues."""
+    e = edges(voxels.select(*KEYS, "idx", visited), shape, [visited])
+    return e.where(F.col(f"left_{visited}") != F.col(f"right_{visited}")).select(*KEYS, "idx", "dim", P.edge_id(F.col("idx"), F.col("dim")).alias("edge"))

@@ -290,6 +290,18 @@ def _(spark, d):
     return quality.voxel_quality_4d(echoes(spark, d), CUBE, TES).select("image_id", "idx", r6(F.col("quality")).alias("quality"))
 
 
+@query("unwrapped_quality", S.quality([True, True, True, False, False, False], phase2=True, half=True))
+def _(spark, d):
+    q = quality.unwrapped_quality(weights.echo_pair(echoes(spark, d), 1, 2), CUBE)
+    return q.select("image_id", "idx", r6(F.col("quality")).alias("quality"))
+
+
+@query("boundary_edges", S.BOUNDARY)
+def _(spark, d):
+    v = vectors(spark, d).withColumn("visited", (F.col("idx") * 5 + F.col("image_id")) % 3 == 0)
+    return regions.boundary_edges(v, CUBE).select("image_id", "idx", _l("dim"), "edge")
+
+
 @query("quality_per_flag", S.quality_per_flag())
 def _(spark, d):
     maps = quality.quality_per_flag(vectors(spark, d, mag=True), CUBE)

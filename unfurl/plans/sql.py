@@ -47,13 +47,13 @@ def _line(a: str, b: str, c: str) -> str:
     return f"greatest(0e0, 1e0 - abs({full(f'{a} - 2 * {b} + {c}')} / 2))"
 
 
-def _product(d: int, flags, mask: bool) -> str:
+def _product(d: int, flags, ratio: str = "(1e0 / 2e0)") -> str:
     """Quality of the edge along dimension d from the taps of that dimension."""
     step = once(f"phase - p{d}")
     small, big = f"least(m, m{d})", f"greatest(m, m{d})"
     measures = [
         f"(1e0 - abs({step} / {PI}))",
-        f"greatest(0e0, 1e0 - abs({step} - {once(f'phase2 - s{d}')} * (1e0 / 2e0)))",
+        f"greatest(0e0, 1e0 - abs({step} - {once(f'phase2 - s{d}')} * {ratio}))",
         f"(CASE WHEN h{d} IS NULL OR k{d} IS NULL THEN 0.9e0 ELSE {_line(f'h{d}', 'phase', f'p{d}')} * {_line('phase', f'p{d}', f'k{d}')} END)",
         f"(({small} / {big}) * ({small} / {big}))",
         f"(0.5e0 + 0.5e0 * least(1e0, {small} / (0.5e0 * maxmag)))",
@@ -66,23 +66,24 @@ def _product(d: int, flags, mask: bool) -> str:
     return out
 
 
-def edge_ctes(flags, mag: bool = False, phase2: bool = False, mask: bool = False) -> str:
+def edge_ctes(flags, mag: bool = False, phase2: bool = False, mask: bool = False, half: bool = False) -> str:
     """CTEs ending in `qual`: image_id, idx, phase, q1, q2, q3 (null where there
     is no edge)."""
     src = "pair" if phase2 else "vox"
     head = f"{VOX}, {ECHOES}, {PAIR}" if phase2 else VOX
     m = ("CASE WHEN mask THEN mag ELSE 0e0 END" if mask else "mag") if mag else "0e0"
     keep = "mask" if mask else "true"
-    second = "phase2" if phase2 else "0e0 AS phase2"
+    second = ("phase2 / 2e0 AS phase2" if half else "phase2") if phase2 else "0e0 AS phase2"
+    first, ratio = ("phase / 2e0 AS phase", "1e0") if half else ("phase", "(1e0 / 2e0)")
     taps = []
     for d, s in enumerate(STRIDES, 1):
         taps += [f"lead(phase, {s}) OVER w AS p{d}", f"lag(phase, {s}) OVER w AS h{d}", f"lead(phase, {2 * s}) OVER w AS k{d}",
                  f"lead(phase2, {s}) OVER w AS s{d}", f"lead(m, {s}) OVER w AS m{d}"]
     qs = [
-        f"CASE WHEN {LAST[d - 1]} OR p{d} IS NULL OR NOT inside THEN NULL ELSE {_product(d, flags, mask)} END AS q{d}" for d in (1, 2, 3)
+        f"CASE WHEN {LAST[d - 1]} OR p{d} IS NULL OR NOT inside THEN NULL ELSE {_product(d, flags, ratio)} END AS q{d}" for d in (1, 2, 3)
     ]
     return f"""{head},
-src AS (SELECT image_id, idx, phase, {second}, {m} AS m, {keep} AS inside FROM {src}),
+src AS (SELECT image_id, idx, {first}, {second}, {m} AS m, {keep} AS inside FROM {src}),
 top AS (SELECT image_id, quantile_cont(m, 0.95) AS maxmag FROM src GROUP BY image_id),
 taps AS (SELECT *, {", ".join(taps)} FROM src WINDOW w AS (PARTITION BY image_id ORDER BY idx)),
 qual AS (SELECT image_id, idx, phase, {", ".join(qs)} FROM taps JOIN top USING (image_id))"""
@@ -235,14 +236,14 @@ m3 AS (SELECT image_id, median(round_even((e2 * (3e0 / 2e0) - e3) / {TP}, 0)) AS
 SELECT image_id, idx, {r6("e1")} AS e1, {r6("e2")} AS e2, {r6(f"e3 + {TP} * k")} AS e3 FROM a JOIN m3 USING (image_id)"""
 
 
-def _quality_cte(flags, mag: bool, phase2: bool = False) -> str:
+def _quality_cte(flags, mag: bool, phase2: bool = False, half: bool = False) -> str:
     zero = ", ".join(f"coalesce(q{d}, 0e0) AS q{d}" for d in (1, 2, 3))
     total = "q1 + q2 + q3" + "".join(f" + coalesce(lag(q{d}, {s}) OVER w, 0e0)" for d, s in enumerate(STRIDES, 1))
-    return f"{edge_ctes(flags, mag, phase2)}, z AS (SELECT image_id, idx, {zero} FROM qual), qm AS (SELECT image_id, idx, CAST(({total}) / 6 AS FLOAT) AS quality FROM z WINDOW w AS (PARTITION BY image_id ORDER BY idx))"
+    return f"{edge_ctes(flags, mag, phase2, half=half)}, z AS (SELECT image_id, idx, {zero} FROM qual), qm AS (SELECT image_id, idx, CAST(({total}) / 6 AS FLOAT) AS quality FROM z WINDOW w AS (PARTITION BY image_id ORDER BY idx))"
 
 
-def quality(flags, mag: bool = False, phase2: bool = False) -> str:
-    return f"WITH {_quality_cte(flags, mag, phase2)} SELECT image_id, idx, {r6('quality')} AS quality FROM qm"
+def quality(flags, mag: bool = False, phase2: bool = False, half: bool = False) -> str:
+    return f"WITH {_quality_cte(flags, mag, phase2, half)} SELECT image_id, idx, {r6('quality')} AS quality FROM qm"
 
 
 def quality_per_flag() -> str:
@@ -280,3 +281,7 @@ SELECT image_id, idx, {r6("atan2(im, re)")} AS hip, {r6("sqrt(re * re + im * im)
 COILS = f"""WITH {VOX}, {ECHOES}, {COIL}, p AS (SELECT *, phase - (0.1e0 * channel + 0.01e0 * idx) AS q FROM coil),
 s AS (SELECT image_id, echo, idx, sum(mag * cos(q)) AS re, sum(mag * sin(q)) AS im, sum(mag * mag) AS mm FROM p GROUP BY 1, 2, 3)
 SELECT image_id, CAST(echo AS BIGINT) AS echo, idx, {r6("atan2(im, re)")} AS phase, {r6("sqrt(mm)")} AS mag FROM s"""
+
+BOUNDARY = f"""WITH {VOX}, v AS (SELECT image_id, idx, (idx * 5 + image_id) % 3 = 0 AS seen FROM vox),
+t AS (SELECT image_id, idx, seen, {", ".join(f"lead(seen, {s}) OVER w AS n{d}" for d, s in enumerate(STRIDES))} FROM v WINDOW w AS (PARTITION BY image_id ORDER BY idx))
+""" + " UNION ALL ".join(f"SELECT image_id, idx, CAST({d} AS BIGINT) AS dim, idx * 3 + {d} AS edge FROM t WHERE NOT ({LAST[d]}) AND seen <> n{d}" for d in range(3))
