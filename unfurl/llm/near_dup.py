@@ -1,17 +1,18 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents are sets of word shingles. Equal sets are one member. A pair with
-Jaccard similarity of at least 3/4 shares a token among the first
-n - ceil(3n/4) + 1 tokens of both sets in any one global token order, so only
-these prefix tokens are posted, and only those posted twice go on. The order
+Jaccard similarity of at least 3/4 shares l tokens among the first
+n - ceil(3n/4) + l tokens of both sets in any one global token order, so only
+these prefix tokens are posted, with l a tenth of the set; only those posted
+twice by sets of fitting size go on, and only members with l of them. The order
 puts tokens that very many documents hold (counted in a sketch over all tokens)
 last, so passages that many documents share open nothing by themselves.
 
 Members with the same first shared token form a group, which is cut into blocks
 of bounded size; every block also gets its group's pivot. Blocks are joined
 within, giving clusters. The matrix then holds which clusters' token unions hold
-which tokens: a member queries another cluster only if they share a posted token
-and sizes fit, and a block of it is opened only if the member's overlap with the
+which tokens: a member queries another cluster only if sizes fit and enough of
+its posted tokens are in the cluster's union, and a block of it is opened only if the member's overlap with the
 block's token union reaches the bound. Smaller clusters query larger ones, so a
 large cluster of near copies is not compared with itself again. Links between
 clusters merge them; the result holds the component of every document, without
@@ -132,6 +133,15 @@ def need(n: np.ndarray) -> np.ndarray:
     return (NUM * n + DEN - 1) // DEN
 
 
+def level(n: np.ndarray) -> np.ndarray:
+    """How many prefix tokens a set must share with one of its size."""
+    return 1 + n // 10
+
+
+#: level() of the smallest set that a set of n tokens can link with.
+LEAST_SHARED = f"1 + ((({NUM} * n + {DEN - 1}) div {DEN}) div 10)"
+
+
 def link_block(sets: list[np.ndarray], ids: np.ndarray, guests: list[np.ndarray], guest_ids: np.ndarray) -> list[tuple[int, int]]:
     """Links among a block's sets (a spanning forest of them), or, with guests,
     from each guest to the sets it links with."""
@@ -181,7 +191,7 @@ def members(docs: DataFrame) -> DataFrame:
 
 
 def shared_tokens(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(token, sid, n): prefix tokens that at least two members have."""
+    """(token, sid, n): prefix tokens that two members of fitting size have."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
     held = spark.sparkContext.broadcast(classes.astype(np.uint8))
@@ -199,7 +209,7 @@ def shared_tokens(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 order = np.lexsort((token, text))
                 rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 new = np.array([n[i] > 0 and not (x in seen or seen.add(x)) for i, x in enumerate(ids.tolist())], bool)
-                take = (rank < (n - need(n) + 1)[text]) & new[text]
+                take = (rank < (n - need(n) + level(n))[text]) & new[text]
                 kept.append((token[order][take], ids[text[take]], n[text[take]]))
             token, sid, size = (np.concatenate([k[i] for k in kept]) for i in range(3))
             part = token.view(np.uint64) % np.uint64(width)
@@ -220,16 +230,16 @@ def shared_tokens(docs: DataFrame, classes: np.ndarray) -> DataFrame:
         if not parts[0]:
             return
         token, sid, n = (np.concatenate(p) for p in parts)
-        order = np.lexsort((sid, token))
-        token, sid, n = token[order], sid[order], n[order]
+        order = np.lexsort((sid, n, token))
+        token, sid, n = token[order], sid[order], n[order].astype(np.int64)
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
         token, sid, n = token[new], sid[new], n[new]
         more = np.zeros(len(token), bool)
-        same = token[1:] == token[:-1]
+        same = (token[1:] == token[:-1]) & (DEN * n[:-1] >= NUM * n[1:])  # the nearest sizes
         more[1:] |= same
         more[:-1] |= same
-        token, sid, n = token[more], sid[more], n[more].astype(np.int64)
+        token, sid, n = token[more], sid[more], n[more]
         for lo in range(0, len(token), 100_000):
             s = slice(lo, lo + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(token[s]), pa.array(sid[s]), pa.array(n[s])], ["token", "sid", "n"])
@@ -252,7 +262,7 @@ def set_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 tokens = [h[e - k : e].tobytes() for e, k in zip(end, n)]
                 yield pa.RecordBatch.from_arrays([batch.column(1)[b.first : b.first + b.n], pa.array(tokens, pa.binary())], ["sid", "tokens"])
 
-    return mine.mapInArrow(scan, "sid long, tokens binary").dropDuplicates(["sid"])
+    return mine.mapInArrow(scan, "sid long, tokens binary")
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +273,9 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in t.column(4).chunks for x in c]
         own = np.flatnonzero(guest == 0)
         _, first = np.unique(sid[own], return_index=True)
-        own, vis = own[first], np.flatnonzero(guest == 1)
+        vis = np.flatnonzero(guest == 1)
+        _, once = np.unique(sid[vis], return_index=True)  # repeated rows
+        own, vis = own[first], vis[once]
         if len(own) == 0 or (guest.any() == 0 and len(own) < 2):
             continue
         found = link_block([sets[i] for i in own], sid[own], [sets[i] for i in vis], sid[vis])
@@ -287,7 +299,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     rows = spill(members(docs.withColumn("_k", F.xxhash64("text"))), "members")
     shared = spill(shared_tokens(docs, classes), "shared")
     # Groups by first shared token, cut into blocks.
-    first = shared.groupBy("sid").agg(F.min("token").alias("grp"), F.first("n").alias("n"))
+    first = shared.groupBy("sid").agg(F.min("token").alias("grp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("posted"))
+    first = first.where(f"posted >= {LEAST_SHARED}")
     reps = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "_k")).alias("r"))
     wanted = spill(first.join(reps, "sid").select("sid", "grp", F.col("r.doc_id").alias("_id"), F.col("r._k").alias("_k")), "wanted")
     sets = spill(set_rows(docs, wanted), "sets")
@@ -309,7 +322,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     )
     fits = (F.col("n") * DEN >= F.col("lo") * NUM) & (F.col("hi") * DEN >= F.col("n") * NUM)
     larger = (F.col("tw") > F.col("w")) | ((F.col("tw") == F.col("w")) & (F.col("to") > F.col("comp")))
-    asks = spill(cells.join(open_cells, "token").where(fits & larger).select("sid", "to").distinct(), "asks")
+    met = cells.join(open_cells, "token").where(fits & larger).groupBy("sid", "to").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("in_union"))
+    asks = spill(met.where(f"in_union >= {LEAST_SHARED}").select("sid", "to"), "asks")
     size2 = asks.select("to").distinct().join(weight, F.col("to") == F.col("comp")).select("to", F.ceil(F.col("w") / BLOCK).cast("int").alias("blocks"))
     homes = label.join(size2, F.col("comp") == F.col("to")).select(
         F.col("to").alias("grp"), F.expr("cast(pmod(xxhash64(sid), blocks) as int)").alias("blk"), F.lit(0).alias("guest"), "sid"
