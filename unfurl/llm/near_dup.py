@@ -8,9 +8,9 @@ twice by sets of fitting size go on, and only members with l of them. The order
 puts tokens that very many documents hold (counted in a sketch over all tokens)
 last, so passages that many documents share open nothing by themselves.
 
-Members with the same first shared token form a group, which is cut into blocks
-of bounded size; every block also gets its group's pivot. Blocks are joined
-within, giving clusters. The matrix then holds which clusters' token unions hold
+Members with the same rarest shared token form a group, and so do those with the
+same most common one; groups are cut into blocks of bounded size, and every block
+also gets its group's pivot. Blocks are joined within, giving clusters. The matrix then holds which clusters' token unions hold
 which tokens: a member queries another cluster only if sizes fit and enough of
 its posted tokens are in the cluster's union, and a block of it is opened only if the member's overlap with the
 block's token union reaches the bound. Smaller clusters query larger ones, so a
@@ -36,7 +36,7 @@ from . import _words
 from ._dist import components, shuffle_width, spill
 
 SHINGLE, NUM, DEN = 5, 75, 100
-SKETCH_BITS, CHUNK_BITS = 20, 16
+SKETCH_BITS, CHUNK_BITS = 22, 17
 BLOCK = 256
 _SHORT = np.uint64(0x51ED270B7A3C1D25)
 
@@ -94,33 +94,36 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, int]:
     chunks, size = 1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for b in _words.blocks(batch.column(0)):
                 h, _ = shingle_sets(b)
-                total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        parts = [total[i * size : (i + 1) * size].astype(np.uint32).tobytes() for i in range(chunks)]
+                at, n = np.unique((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                total[at] += n.astype(np.int32)
+        # A byte a bucket: 255 in one task is frequent already.
+        parts = [np.minimum(total[i * size : (i + 1) * size], 255).astype(np.uint8).tobytes() for i in range(chunks)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(chunks, dtype=np.int32)), pa.array(parts, pa.binary())], ["chunk", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, n in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total[c] = total.get(c, 0) + np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64)
+                total[c] = total.get(c, 0) + np.frombuffer(n.as_buffer(), np.uint8).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["chunk", "n"]
         )
 
     parts = docs.select("text").mapInArrow(count, "chunk int, n binary").repartition(chunks, "chunk").mapInArrow(add, "chunk int, n binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros(1 << SKETCH_BITS, np.int32)
     for c, n in parts:
-        out[c * size : (c + 1) * size] = np.frombuffer(n, np.int64)
+        out[c * size : (c + 1) * size] = np.frombuffer(n, np.int32)
     return out, int(out.sum())
 
 
 def token_classes(counts: np.ndarray, total: int) -> np.ndarray:
     """0 for ordinary buckets, else how many times over the limit, in powers of 2."""
-    limit = 4 * total / len(counts) + 100
+    mean = total / len(counts)
+    limit = mean + 6 * mean**0.5 + 16  # well over what chance puts into a bucket
     return np.where(counts <= limit, 0, 1 + np.log2(np.maximum(counts, 1) / limit).astype(np.int64)).clip(0, 100).astype(np.uint64)
 
 
@@ -211,6 +214,8 @@ def shared_tokens(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 new = np.array([n[i] > 0 and not (x in seen or seen.add(x)) for i, x in enumerate(ids.tolist())], bool)
                 take = (rank < (n - need(n) + level(n))[text]) & new[text]
                 kept.append((token[order][take], ids[text[take]], n[text[take]]))
+            if not kept:
+                continue
             token, sid, size = (np.concatenate([k[i] for k in kept]) for i in range(3))
             part = token.view(np.uint64) % np.uint64(width)
             order = np.argsort(part, kind="stable")
@@ -289,53 +294,76 @@ def run_blocks(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "grp", "blk").sortWithinPartitions("grp", "blk").mapInArrow(_link, "a long, b long")
 
 
+def block_of(blocks: str):
+    return F.expr(f"cast(pmod(xxhash64(sid), {blocks}) as int)")
+
+
+def merge(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (sid, comp) after joining the clusters that links (ca, cb) name."""
+    merged = components(links, "ca", "cb")
+    return spill(label.join(merged, F.col("comp") == F.col("node"), "left").select("sid", F.coalesce("component", "comp").alias("comp")), "clusters")
+
+
+def across(shared: DataFrame, label: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
+    """Links (ca, cb) between clusters, found by the token-group matrix.
+
+    First a member visits one block of each cluster that the matrix opens to it.
+    That settles clusters of one block, and joins nearly all that belongs to a
+    larger one; so when, with whole, the rest visits all blocks of the larger
+    clusters, hardly any member is left to do so."""
+    weight = label.groupBy("comp").agg(F.count(F.lit(1)).alias("w"))
+    cells = spill(shared.join(label, "sid").join(weight, "comp"), "cells")
+    matrix = cells.groupBy("token", "comp").agg(F.max("w").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    open_cells = matrix.where(f"w > {BLOCK if whole else 0}").join(several, "token").select(
+        "token", F.col("comp").alias("to"), F.col("w").alias("tw"), "lo", "hi"
+    )
+    fits = (F.col("n") * DEN >= F.col("lo") * NUM) & (F.col("hi") * DEN >= F.col("n") * NUM)
+    larger = (F.col("tw") > F.col("w")) | ((F.col("tw") == F.col("w")) & (F.col("to") > F.col("comp")))
+    met = cells.join(open_cells, "token").where(fits & larger).groupBy("sid", "to").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("in_union"))
+    asks = spill(met.where(f"in_union >= {LEAST_SHARED}").select("sid", "to"), "asks")
+    size = asks.select("to").distinct().join(weight, F.col("to") == F.col("comp")).select("to", F.ceil(F.col("w") / BLOCK).cast("int").alias("blocks"))
+    homes = label.join(size, F.col("comp") == F.col("to")).select(F.col("to").alias("grp"), block_of("blocks").alias("blk"), F.lit(0).alias("guest"), "sid")
+    visits = asks.join(size, "to")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    visits = visits.select(F.col("to").alias("grp"), (every if whole else block_of("blocks")).alias("blk"), F.lit(1).alias("guest"), "sid")
+    links = run_blocks(homes.union(visits).join(sets, "sid").select("grp", "blk", "guest", "sid", "tokens"))
+    a, b = label.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), label.select(F.col("sid").alias("b"), F.col("comp").alias("cb"))
+    return spill(links.join(a, "a").join(b, "b").select("ca", "cb").distinct(), "merges")
+
+
 def cluster(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and more) without text, with n_shingles, component_id,
     the smallest doc_id reachable by links, itself included, and _k and keeper:
     the text's hash and whether the row is the one of its component that stays
-    (with all rows equal to it)."""
+    (with all rows equal to it). Input columns named like these or root, least,
+    rep and sid are replaced."""
+    docs = docs.drop("sid", "n_shingles", "component_id", "keeper", "root", "least", "rep", "_k")
     counts, total = frequent_tokens(docs)
     classes = token_classes(counts, total)
     rows = spill(members(docs.withColumn("_k", F.xxhash64("text"))), "members")
     shared = spill(shared_tokens(docs, classes), "shared")
-    # Groups by first shared token, cut into blocks.
-    first = shared.groupBy("sid").agg(F.min("token").alias("grp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("posted"))
+    first = shared.groupBy("sid").agg(
+        F.min("token").alias("rare"),
+        F.max_by("token", F.struct(F.shiftright("token", 56), -F.col("token"))).alias("common"),
+        F.first("n").alias("n"),
+        F.count(F.lit(1)).alias("posted"),
+    )
     first = first.where(f"posted >= {LEAST_SHARED}")
     reps = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "_k")).alias("r"))
-    wanted = spill(first.join(reps, "sid").select("sid", "grp", F.col("r.doc_id").alias("_id"), F.col("r._k").alias("_k")), "wanted")
+    wanted = spill(first.join(reps, "sid").select("sid", "rare", "common", F.col("r.doc_id").alias("_id"), F.col("r._k").alias("_k")), "wanted")
     sets = spill(set_rows(docs, wanted), "sets")
-    size = wanted.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("sid").alias("pivot"))
-    placed = wanted.select("sid", "grp").join(size, "grp").withColumn("blk", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
-    spots = placed.select("grp", "blk", "sid").union(
+    # Groups by rarest and by most common shared token, cut into blocks.
+    placed = wanted.select("sid", F.explode(F.array_distinct(F.array("rare", "common"))).alias("grp"))
+    size = placed.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("sid").alias("pivot"))
+    spots = placed.join(size, "grp").select("grp", block_of("blocks").alias("blk"), "sid").union(
         size.where("blocks > 1").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.col("pivot").alias("sid"))
     )
     inner = spill(run_blocks(spots.join(sets, "sid").select("grp", "blk", F.lit(0).alias("guest"), "sid", "tokens")), "links")
-    label = wanted.select("sid").join(components(inner, "a", "b"), F.col("sid") == F.col("node"), "left")
-    label = spill(label.select("sid", F.coalesce("component", "sid").alias("comp")), "clusters")
-    # The token-group matrix and the queries that it lets through.
-    weight = label.groupBy("comp").agg(F.count(F.lit(1)).alias("w"))
-    cells = spill(shared.join(label, "sid").join(weight, "comp"), "cells")
-    matrix = cells.groupBy("token", "comp").agg(F.max("w").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    open_cells = matrix.join(several, "token").select(
-        "token", F.col("comp").alias("to"), F.col("w").alias("tw"), "lo", "hi"
-    )
-    fits = (F.col("n") * DEN >= F.col("lo") * NUM) & (F.col("hi") * DEN >= F.col("n") * NUM)
-    larger = (F.col("tw") > F.col("w")) | ((F.col("tw") == F.col("w")) & (F.col("to") > F.col("comp")))
-    met = cells.join(open_cells, "token").where(fits & larger).groupBy("sid", "to").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("in_union"))
-    asks = spill(met.where(f"in_union >= {LEAST_SHARED}").select("sid", "to"), "asks")
-    size2 = asks.select("to").distinct().join(weight, F.col("to") == F.col("comp")).select("to", F.ceil(F.col("w") / BLOCK).cast("int").alias("blocks"))
-    homes = label.join(size2, F.col("comp") == F.col("to")).select(
-        F.col("to").alias("grp"), F.expr("cast(pmod(xxhash64(sid), blocks) as int)").alias("blk"), F.lit(0).alias("guest"), "sid"
-    )
-    visits = asks.join(size2, "to").select(
-        F.col("to").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.lit(1).alias("guest"), "sid"
-    )
-    outer = run_blocks(homes.union(visits).join(sets, "sid").select("grp", "blk", "guest", "sid", "tokens"))
-    a, b = label.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), label.select(F.col("sid").alias("b"), F.col("comp").alias("cb"))
-    merges = spill(outer.join(a, "a").join(b, "b").select("ca", "cb").distinct(), "merges")
-    merged = components(merges, "ca", "cb")
-    final = label.join(merged, F.col("comp") == F.col("node"), "left").select("sid", F.coalesce("component", "comp").alias("root"))
+    label = merge(wanted.select("sid", F.col("sid").alias("comp")), inner.select(F.col("a").alias("ca"), F.col("b").alias("cb")))
+    for whole in (False, True):
+        label = merge(label, across(shared, label, sets, whole))
+    final = label.select("sid", F.col("comp").alias("root"))
     rooted = rows.join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "_k")).alias("rep"))
     out = rooted.join(least, "root", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
@@ -347,11 +375,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, its smallest; rows with an empty set
     all stay."""
     marks = spill(cluster(docs.select("doc_id", "text")).where("keeper and n_shingles > 0").select("doc_id", "_k"), "keepers")
-    one = marks.distinct().select(F.col("doc_id").alias("_id"), F.col("_k").alias("_w"))
-    rows = docs.withColumn("_k", F.xxhash64("text"))
-    kept = rows.join(one.hint("shuffle_hash"), (F.col("_k") == F.col("_w")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_w")
+    one = marks.distinct().select(F.col("doc_id").alias("_unf_id"), F.col("_k").alias("_unf_w"))
+    rows = docs.withColumn("_unf_k", F.xxhash64("text"))
+    same = (F.col("_unf_k") == F.col("_unf_w")) & F.col("doc_id").eqNullSafe(F.col("_unf_id"))
+    kept = rows.join(one.hint("shuffle_hash"), same).drop("_unf_id", "_unf_w")
     if marks.count() > marks.distinct().count():  # repeated rows: one stays
-        kept = kept.dropDuplicates(["doc_id", "_k"])
+        kept = kept.dropDuplicates(["doc_id", "_unf_k"])
     empty = rows.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return kept.union(empty).select(*[F.col(f"`{c}`") for c in docs.columns])
 
