@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words
@@ -194,7 +194,8 @@ def members(docs: DataFrame) -> DataFrame:
 
 
 def shared_tokens(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(token, sid, n): prefix tokens that two members of fitting size have."""
+    """(token, sid, n, at): prefix tokens that two members of fitting size have, and
+    their places in the member's order."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
     held = spark.sparkContext.broadcast(classes.astype(np.uint8))
@@ -203,7 +204,7 @@ def shared_tokens(docs: DataFrame, classes: np.ndarray) -> DataFrame:
         classes = held.value.astype(np.uint64)
         for batch in batches:
             seen: set[int] = set()
-            kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            kept: list[tuple[np.ndarray, ...]] = []
             for b in _words.blocks(batch.column(0)):
                 h, n = shingle_sets(b)
                 ids = set_id(h, n)
@@ -213,44 +214,44 @@ def shared_tokens(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 new = np.array([n[i] > 0 and not (x in seen or seen.add(x)) for i, x in enumerate(ids.tolist())], bool)
                 take = (rank < (n - need(n) + level(n))[text]) & new[text]
-                kept.append((token[order][take], ids[text[take]], n[text[take]]))
+                kept.append((token[order][take], ids[text[take]], n[text[take]], rank[take]))
             if not kept:
                 continue
-            token, sid, size = (np.concatenate([k[i] for k in kept]) for i in range(3))
+            token, sid, size, rank = (np.concatenate([k[i] for k in kept]) for i in range(4))
             part = token.view(np.uint64) % np.uint64(width)
             order = np.argsort(part, kind="stable")
-            token, sid, size = token[order], sid[order], size[order].astype(np.uint32)
+            token, sid, size, rank = token[order], sid[order], size[order].astype(np.uint32), rank[order].astype(np.uint32)
             cut = np.searchsorted(part[order], np.arange(width + 1))
             full = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32))] + [pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()) for x in (token, sid, size)],
-                ["part", "token", "sid", "n"],
+                [pa.array(full.astype(np.int32))] + [pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()) for x in (token, sid, size, rank)],
+                ["part", "token", "sid", "n", "at"],
             )
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[], [], []]
+        parts: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            for i, kind in enumerate((np.int64, np.int64, np.uint32)):
+            for i, kind in enumerate((np.int64, np.int64, np.uint32, np.uint32)):
                 parts[i] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(i + 1)]
         if not parts[0]:
             return
-        token, sid, n = (np.concatenate(p) for p in parts)
+        token, sid, n, at = (np.concatenate(p) for p in parts)
         order = np.lexsort((sid, n, token))
-        token, sid, n = token[order], sid[order], n[order].astype(np.int64)
+        token, sid, n, at = token[order], sid[order], n[order].astype(np.int64), at[order].astype(np.int64)
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-        token, sid, n = token[new], sid[new], n[new]
+        token, sid, n, at = token[new], sid[new], n[new], at[new]
         more = np.zeros(len(token), bool)
         same = (token[1:] == token[:-1]) & (DEN * n[:-1] >= NUM * n[1:])  # the nearest sizes
         more[1:] |= same
         more[:-1] |= same
-        token, sid, n = token[more], sid[more], n[more]
+        token, sid, n, at = token[more], sid[more], n[more], at[more]
         for lo in range(0, len(token), 100_000):
             s = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(token[s]), pa.array(sid[s]), pa.array(n[s])], ["token", "sid", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (token, sid, n, at)], ["token", "sid", "n", "at"])
 
-    posted = docs.select("text").mapInArrow(post, "part int, token binary, sid binary, n binary").repartition(width, "part")
-    return posted.mapInArrow(twice, "token long, sid long, n long")
+    posted = docs.select("text").mapInArrow(post, "part int, token binary, sid binary, n binary, at binary").repartition(width, "part")
+    return posted.mapInArrow(twice, "token long, sid long, n long, at long")
 
 
 def set_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -304,21 +305,28 @@ def merge(label: DataFrame, links: DataFrame) -> DataFrame:
     return spill(label.join(merged, F.col("comp") == F.col("node"), "left").select("sid", F.coalesce("component", "comp").alias("comp")), "clusters")
 
 
-def across(shared: DataFrame, label: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
+def across(shared: DataFrame, label: DataFrame, sets: DataFrame, least: int, whole: bool) -> DataFrame:
     """Links (ca, cb) between clusters, found by the token-group matrix.
 
-    First a member visits one block of each cluster that the matrix opens to it.
-    That settles clusters of one block, and joins nearly all that belongs to a
-    larger one; so when, with whole, the rest visits all blocks of the larger
-    clusters, hardly any member is left to do so."""
+    A member visits all blocks (with whole) or one block of each cluster of over
+    least members that the matrix opens to it. One pass with least 0 and whole is
+    exact; passes before it, to large clusters only, join nearly all that belongs
+    to these, so that hardly any member is left to visit all their blocks."""
     weight = label.groupBy("comp").agg(F.count(F.lit(1)).alias("w"))
-    cells = spill(shared.join(label, "sid").join(weight, "comp"), "cells")
-    matrix = cells.groupBy("token", "comp").agg(F.max("w").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # Tokens before a shared one that nobody shares are lost to any overlap, which
+    # has to reach NUM / (NUM + DEN) of both sizes together: what a member can
+    # still offer at a token, less its own part of that, is its room.
+    before = F.row_number().over(Window.partitionBy("sid").orderBy("token")) - 1
+    offer = F.col("n") - (F.col("at") - before)
+    roomy = shared.withColumn("room", (NUM + DEN) * offer - NUM * F.col("n"))
+    cells = spill(roomy.drop("at").join(label, "sid").join(weight, "comp"), "cells")
+    matrix = cells.groupBy("token", "comp").agg(F.max("w").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("their"))
     several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    open_cells = matrix.where(f"w > {BLOCK if whole else 0}").join(several, "token").select(
-        "token", F.col("comp").alias("to"), F.col("w").alias("tw"), "lo", "hi"
+    open_cells = matrix.where(f"w > {least}").join(several, "token").select(
+        "token", F.col("comp").alias("to"), F.col("w").alias("tw"), "lo", "hi", "their"
     )
     fits = (F.col("n") * DEN >= F.col("lo") * NUM) & (F.col("hi") * DEN >= F.col("n") * NUM)
+    fits = fits & (F.col("room") >= NUM * F.col("lo")) & (F.col("their") >= NUM * F.col("n"))
     larger = (F.col("tw") > F.col("w")) | ((F.col("tw") == F.col("w")) & (F.col("to") > F.col("comp")))
     met = cells.join(open_cells, "token").where(fits & larger).groupBy("sid", "to").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("in_union"))
     asks = spill(met.where(f"in_union >= {LEAST_SHARED}").select("sid", "to"), "asks")
@@ -361,8 +369,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     )
     inner = spill(run_blocks(spots.join(sets, "sid").select("grp", "blk", F.lit(0).alias("guest"), "sid", "tokens")), "links")
     label = merge(wanted.select("sid", F.col("sid").alias("comp")), inner.select(F.col("a").alias("ca"), F.col("b").alias("cb")))
-    for whole in (False, True):
-        label = merge(label, across(shared, label, sets, whole))
+    for least, whole in ((BLOCK, False), (BLOCK, True), (0, True)):
+        label = merge(label, across(shared, label, sets, least, whole))
     final = label.select("sid", F.col("comp").alias("root"))
     rooted = rows.join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "_k")).alias("rep"))
