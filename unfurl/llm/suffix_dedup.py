@@ -37,6 +37,8 @@ from . import _words
 from ._dist import numbered, row_numbers, shuffle_width, spill
 
 LENGTH, GRAM = 100, 24
+#: Anchors that a task holds before it sends them on.
+FLUSH = 300_000
 
 
 def anchors(b: _words.Block, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +133,7 @@ def candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
             _, first = np.unique(k1, return_index=True)  # equal texts of a batch once
             once = np.zeros(batch.num_rows, bool)
             once[first] = True
-            kept = []
+            kept, held = [], 0
             for b in _words.blocks(batch.column(0)):
                 at, _, _ = anchors(b, length, gram)
                 text = b.text_of(at)
@@ -139,18 +141,22 @@ def candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 at, text = at[keep], text[keep]
                 h = _words.Hasher(b.data).of(at, at + gram)
                 kept.append((h, k1[b.first + text], k2[b.first + text], (at - b.offsets[text]).astype(np.uint32)))
-            if not kept:
-                continue
-            h, a, c, p = (np.concatenate([k[i] for k in kept]) for i in range(4))
-            part = h % np.uint64(width)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(width + 1))
-            full = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32))]
-                + [pa.array([x[order][cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()) for x in (h, a, c, p)],
-                ["part", "h", "k1", "k2", "at"],
-            )
+                held += len(at)
+                if held >= FLUSH:
+                    yield dealt(kept)
+                    kept, held = [], 0
+            if kept:
+                yield dealt(kept)
+
+    def dealt(kept: list[tuple]) -> pa.RecordBatch:
+        """One row per bucket that any anchor falls into."""
+        cols = [np.concatenate([k[i] for k in kept]) for i in range(4)]
+        part = cols[0] % np.uint64(width)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(width + 1))
+        full = np.flatnonzero(np.diff(cut))
+        packed = [pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()) for x in (c[order] for c in cols)]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *packed], ["part", "h", "k1", "k2", "at"])
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[], [], [], []]
