@@ -75,8 +75,11 @@ def gather(data: np.ndarray, at: np.ndarray, limit: np.ndarray, width: int, step
     """(rows, width) bytes of data from each place on, or backwards with step -1,
     zero beyond each row's limit."""
     k = np.arange(width)
-    out = data[np.clip(at[:, None] + step * k, 0, len(data) - 1)]
-    out[k >= limit[:, None]] = 0
+    out = np.zeros((len(at), width), np.uint8)
+    for lo in range(0, len(at), 4096):  # the places take eight times the bytes
+        s = slice(lo, lo + 4096)
+        out[s] = data[np.clip(at[s, None] + step * k, 0, len(data) - 1)]
+        out[s][k >= limit[s, None]] = 0
     return out
 
 
