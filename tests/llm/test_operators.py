@@ -326,6 +326,26 @@ def test_quality_tells_junk(spark):
     assert np.allclose(quality.js_distance(np.array([[1.0, 0]]), np.array([[0, 1.0]])), 1) and quality.js_distance(np.array([[2.0, 2]]), np.array([[1.0, 1]]))[0] == 0
 
 
+def test_quality_common_words_are_exact(spark, corpus):
+    df, rows = corpus
+    rules = quality.Rules()
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        many = quality.references(df.repartition(30), rules)
+        kept = Counter((nul(r.doc_id), r.kept) for r in quality.measure(df, many).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    one = quality.references(df.repartition(1), rules)
+    assert kept == Counter((nul(r.doc_id), r.kept) for r in quality.measure(df, one).collect())
+    for lang in ("en", "fr", "de", None):
+        count = Counter(w for _, t, x, _ in rows if lang in (None, x) for w in brute.words(t, True))
+        common = sorted((n for n in count.values() if n >= rules.word_share * sum(count.values())), reverse=True)
+        for refs in (one, many):
+            assert sorted(refs[lang][2][:-1].tolist(), reverse=True) == common and refs[lang][2].sum() == sum(count.values())
+        assert (one[lang][0] == many[lang][0]).all() and (one[lang][1] == many[lang][1]).all()
+
+
 # Near duplicates -------------------------------------------------------------------
 
 

@@ -6,8 +6,8 @@ distance (base 2, so between 0 and 1); documents too short for a histogram to
 mean anything pass that test. References are sums over all documents of a
 language; a language with under min_share of all documents uses the reference of
 the whole corpus. A language's common words are those with at least word_share
-of its words: any such word has that share in at least one batch, so batches
-nominate candidates and a second scan counts these exactly.
+of its words, by exact counts of all words over the whole table: only these come
+to the driver, and how rows fall into batches and partitions changes nothing.
 
 Beside it stand exact rules on words, symbols, repeated lines and repeated
 five-word windows. Null and empty texts have no words and fail the base rule;
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
+from ._dist import spill
 
 CLASSES = 9
 _CLASS = np.full(256, 7, np.int64)  # other ASCII and control
@@ -71,97 +72,64 @@ def _classes(b: _words.Block) -> np.ndarray:
     return h
 
 
-def nominate(docs: DataFrame, share: float) -> DataFrame:
-    """lang, kind 'class' with a class histogram, or kind 'word' with a word hash
-    that has the share in some batch; lang null rows also hold the corpus."""
+def gather(docs: DataFrame) -> DataFrame:
+    """(lang, kind, key, n) over all texts: kind 'class' counts a character class,
+    'word' a word hash. Counts are summed per batch before the shuffle."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array([x if x is not None else "" for x in batch.column(1).to_pylist()], object)
-            names, code = np.unique(langs.astype(str), return_inverse=True)
+            names, code = np.unique(np.array(batch.column(1).to_pylist(), object).astype(str), return_inverse=True)
             classes = np.zeros((len(names), CLASSES), np.int64)
-            counts: dict[int, list] = {k: [] for k in range(len(names))}
+            parts: dict[int, list] = {}
             for b in _words.blocks(batch.column(0)):
                 own = code[b.first : b.first + b.n]
                 np.add.at(classes, own, _classes(b))
                 w = _words.words(b, _words.lower(b.data), _words.SPACE)
                 for k in np.unique(own):
-                    counts[k].append(np.unique(w.hash[own[w.text] == k], return_counts=True))
-            out = [(names[k], "class", 0, classes[k].tolist()) for k in range(len(names))]
-            every = []
-            for k, parts in counts.items():
-                if not parts:
-                    continue
-                h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                every.append((h, n))
-                out += [(names[k], "word", x, []) for x in _common(h, n, share)]
-            if every:
-                out += [(None, "word", x, []) for x in _common(np.concatenate([p[0] for p in every]), np.concatenate([p[1] for p in every]), share)]
-            yield pa.RecordBatch.from_pydict(
-                {"lang": [x[0] for x in out], "kind": [x[1] for x in out], "word": [x[2] for x in out], "hist": [x[3] for x in out]},
-                schema=pa.schema([("lang", pa.string()), ("kind", pa.string()), ("word", pa.int64()), ("hist", pa.list_(pa.int64()))]),
-            )
+                    parts.setdefault(int(k), []).append(np.unique(w.hash[own[w.text] == k].view(np.int64), return_counts=True))
+            for k, held in parts.items():
+                keys, inv = np.unique(np.concatenate([p[0] for p in held]), return_inverse=True)
+                n = np.bincount(inv, weights=np.concatenate([p[1] for p in held]), minlength=len(keys)).astype(np.int64)
+                for kind, key, many in (("class", np.arange(CLASSES), classes[k]), ("word", keys, n)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names[k]] * len(key), pa.string()), pa.array([kind] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(many, pa.int64())],
+                        ["lang", "kind", "key", "n"],
+                    )
 
-    return docs.select("text", "lang").mapInArrow(scan, "lang string, kind string, word long, hist array<long>")
-
-
-def _common(h: np.ndarray, n: np.ndarray, share: float) -> list[int]:
-    u, inv = np.unique(h, return_inverse=True)
-    total = np.bincount(inv, weights=n)
-    return u[total >= share * total.sum()].view(np.int64).tolist() if len(u) else []
+    return docs.select("text", "lang").mapInArrow(scan, "lang string, kind string, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
 def references(docs: DataFrame, rules: Rules) -> dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """lang -> (class histogram, common words sorted, their counts and, last, all
     other words). At most 1 / min_share languages with 1 / word_share words each
     come to the driver; key None is the whole corpus."""
-    spark = docs.sparkSession
     sizes = docs.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     known = {r[0] for r in sizes.where(F.col("n") >= rules.min_share * total).select("lang").collect()} - {""}
     names = sorted(known)
     cast = F.when(F.col("lang").isin(names), F.col("lang")).otherwise(F.lit("")) if names else F.lit("")
-    slim = docs.select("text", cast.alias("lang"))
-    said = nominate(slim, rules.word_share).persist()
-    classes = said.where("kind = 'class'").groupBy("lang").agg(*[F.sum(F.col("hist")[i]).alias(f"c{i}") for i in range(CLASSES)]).collect()
-    chosen = said.where("kind = 'word'").select("lang", "word").distinct().collect()
-    said.unpersist()
-    by_lang = {r[0]: np.array(r[1:], float) for r in classes}
-    words: dict[str | None, np.ndarray] = {}
-    for lang in [*by_lang, None]:
-        words[lang] = np.unique(np.array([r[1] for r in chosen if r[0] == lang], np.int64).view(np.uint64))
-    all_words = np.unique(np.concatenate([*words.values(), np.zeros(0, np.uint64)]))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object).astype(str)
-            for b in _words.blocks(batch.column(0)):
-                w = _words.words(b, _words.lower(b.data), _words.SPACE)
-                at = np.searchsorted(all_words, w.hash) if len(all_words) else np.zeros(len(w.hash), np.int64)
-                at = np.where((at < len(all_words)) & (all_words[np.minimum(at, len(all_words) - 1)] == w.hash), at, len(all_words)) if len(all_words) else at
-                own = langs[b.first : b.first + b.n]
-                for lang in np.unique(own):
-                    part = np.bincount(at[own[w.text] == lang], minlength=len(all_words) + 1)
-                    total[lang] = total.get(lang, 0) + part
-        rows = [(lang, int(i), int(c)) for lang, t in total.items() for i, c in enumerate(t) if c]
-        yield pa.RecordBatch.from_pydict(
-            {"lang": [r[0] for r in rows], "at": [r[1] for r in rows], "n": [r[2] for r in rows]},
-            schema=pa.schema([("lang", pa.string()), ("at", pa.int64()), ("n", pa.int64())]),
-        )
-
-    counted = slim.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
-    tables = {lang: np.zeros(len(all_words) + 1) for lang in by_lang}
-    for r in counted:
-        tables[r[0]][r[1]] += r[2]
-    tables[None] = sum(tables.values()) if tables else np.zeros(1)
+    counts = spill(gather(docs.select("text", cast.alias("lang"))), "counts")
+    by_lang: dict[str | None, np.ndarray] = {}
+    for r in counts.where("kind = 'class'").collect():
+        by_lang.setdefault(r["lang"], np.zeros(CLASSES))[r["key"]] = r["n"]
     by_lang[None] = sum(by_lang.values()) if by_lang else np.zeros(CLASSES)
+    words = counts.where("kind = 'word'").select("lang", "key", "n")
+    sums = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = {r["lang"]: r["total"] for r in sums.collect()}
+    totals[None] = sum(totals.values())
+    own = words.join(F.broadcast(sums), "lang").where(F.col("n") >= rules.word_share * F.col("total")).select("lang", "key", "n")
+    every = words.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= rules.word_share * totals[None])
+    common: dict[str | None, list] = {}
+    for r in own.union(every.select(F.lit(None).cast("string").alias("lang"), "key", "n")).collect():
+        common.setdefault(r["lang"], []).append((r["key"], r["n"]))
     out = {}
     for lang, hist in by_lang.items():
         if lang == "":
             continue
-        at, table = np.searchsorted(all_words, words[lang]), tables[lang]
-        out[lang] = (hist, words[lang], np.append(table[at], table.sum() - table[at].sum()))
+        found = np.array(common.get(lang, []), np.int64).reshape(-1, 2)
+        keys, n = found[:, 0].copy().view(np.uint64), found[:, 1]
+        order = np.argsort(keys)
+        out[lang] = (hist, keys[order], np.append(n[order], totals.get(lang, 0) - n.sum()).astype(float))
     return out
 
 
