@@ -233,6 +233,18 @@ def test_ppm_against_slow_version(spark):
     assert lm_score.adaptive_score("abababababab") > lm_score.adaptive_score("abcdefghijkl") and lm_score.adaptive_score(None) < 0
 
 
+def test_scores_do_not_depend_on_max_contexts(spark, corpus):
+    df, rows = corpus
+    code = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+    some = df.where("doc_id < 12 or doc_id > 400").select("doc_id", "text").distinct()
+    texts = {r.doc_id: r.text or "" for r in some.collect()}
+    grams = trie_counts([t for d, t in texts.items() if zlib.crc32(str(d).encode()) % 10])
+    want = {d: slow_ppm(grams, t) for d, t in texts.items() if len(t) < 5000}
+    for most in (10**6, 60, 0):
+        got = {r.doc_id: r.score for r in lm_score.score(some, code % 10 == 0, max_contexts=most).collect()}
+        assert got.keys() == texts.keys() and all(np.isclose(got[d], w, rtol=1e-4, atol=1e-3) for d, w in want.items())
+
+
 # Chat ------------------------------------------------------------------------------
 
 

@@ -6,10 +6,11 @@ is method C (as many escapes as distinct symbols seen), with symbol exclusion:
 a shorter context is asked only about symbols the longer one has not seen. As
 the pretrained trie does not change while scoring, every node's distribution
 over the next byte is worked out once, so scoring is one table look-up a byte.
-The trie keeps all order-2 nodes (65,536 at most) and the max_contexts most
-frequent order-3 nodes, which bounds what is broadcast; below a pruned node the
-order-2 node answers. adaptive_score() is the other mode: the trie starts empty
-and learns from the text itself.
+All order-2 nodes (65,536 at most) and at most max_contexts of the frequent
+order-3 nodes are broadcast, with a bit for each other order-3 node; those are
+looked up by a join on the context, so max_contexts changes no score.
+adaptive_score() is the other mode: the trie starts empty and learns from the
+text itself.
 
 Beside it stands an add-0.1 word model, scored exactly: words of at least a
 count that at most head_words words reach are broadcast, the others are looked
@@ -81,12 +82,15 @@ def gather(docs: DataFrame) -> DataFrame:
 @dataclass
 class Trie:
     """Row of each context and log10 P(next byte) of each row. Row 0 of an index
-    means no such node, so the next shorter context is asked."""
+    means no such node, so the next shorter context is asked; row -1 means an
+    order-3 node that is not held here (a bit in rest, 32 contexts a word)."""
 
     keys3: np.ndarray
     keys2: np.ndarray
     keys1: np.ndarray
     logp: np.ndarray
+    rest: np.ndarray
+    least: int  # how often a context must be seen to be held here
 
     @cached_property
     def indexes(self) -> list[np.ndarray]:
@@ -97,9 +101,16 @@ class Trie:
             index[keys] = row + np.arange(len(keys))
             row += len(keys)
             out.insert(0, index)
+        if len(self.rest):
+            out[0][np.flatnonzero(np.unpackbits(self.rest.view(np.uint8), bitorder="little"))] = -1
         return out
 
     def score(self, b: _words.Block) -> np.ndarray:
+        return self.look_up(b)[0]
+
+    def look_up(self, b: _words.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score of each text but for symbols after contexts in rest, text and
+        edge (context << 8 | symbol) of each of those)."""
         out, at, text = framed(b)
         ctx = contexts(out, at)
         index3, index2, index1 = self.indexes
@@ -107,7 +118,9 @@ class Trie:
         for index, mask in ((index2, 0xFFFF), (index1, 0xFF)):
             none = np.flatnonzero(row == 0)
             row[none] = index[ctx[none] & np.uint32(mask)]
-        return np.bincount(text, weights=self.logp[row, out[at]], minlength=b.n)
+        far = row < 0
+        score = np.bincount(text, weights=np.where(far, 0, self.logp[row, out[at]]), minlength=b.n)
+        return score, text[far], (ctx[far].astype(np.int64) << 8) | out[at[far]]
 
 
 def distributions(levels: list[np.ndarray]) -> np.ndarray:
@@ -126,7 +139,8 @@ def distributions(levels: list[np.ndarray]) -> np.ndarray:
 
 def train_trie(edges: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trie:
     """edges: key (context << 8 | symbol), n. To the driver come the edges of at
-    most max_contexts order-3 nodes and of the order-2 nodes."""
+    most max_contexts order-3 nodes and of the order-2 nodes, and a bit for every
+    other order-3 node (2 MB)."""
     ctx = edges.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("total"))
     sizes = ctx.groupBy(F.log2("total").cast("int").alias("b")).count().orderBy(F.desc("b")).collect()
     least, total = 0, 0
@@ -136,6 +150,14 @@ def train_trie(edges: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trie:
             least = 2 ** (b + 1)
             break
     kept = edges.join(ctx.where(F.col("total") >= least), F.shiftright("key", 8) == F.col("ctx")).select("key", "n").toPandas()
+    bits = ctx.where(F.col("total") < least).groupBy(F.shiftright("ctx", 5).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(ctx & 31 as int))")).alias("bits")
+    )
+    rest = np.zeros(0, np.uint32)
+    if least:
+        found = bits.toPandas()
+        rest = np.zeros(1 << 19, np.uint32)
+        rest[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     low = edges.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").alias("n")).toPandas()
 
     def matrix(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +182,50 @@ def train_trie(edges: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trie:
     for lo in range(0, len(c3), 2048):
         some = c3[lo : lo + 2048]
         parts.append(distributions([m3[lo : lo + 2048], m2[[of2[int(c) & 0xFFFF] for c in some]], m1[[of1[int(c) & 0xFF] for c in some]], m0]))
-    return Trie(c3, c2, c1, np.concatenate(parts))
+    return Trie(c3, c2, c1, np.concatenate(parts), rest, least)
+
+
+def far_edges(edges: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+    """(key, logp) of every asked edge (key: context << 8 | symbol) whose context
+    was seen, but less than least times: what distributions() gives its node."""
+    spark = edges.sparkSession
+    low = edges.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).collect()
+    m1 = np.zeros((256, 256), np.float32)
+    for r in low:
+        m1[r["key"] >> 8, r["key"] & 0xFF] = r["n"]
+    m0 = m1.sum(0, keepdims=True)
+    shared = spark.sparkContext.broadcast((m1, m0))
+
+    def nodes(df: DataFrame, name: str) -> DataFrame:
+        symbol, ctx = F.col("key").bitwiseAND(0xFF).cast("int"), F.shiftright("key", 8)
+        return df.groupBy(ctx.alias(name)).agg(F.sum("n").alias("total"), F.collect_list(F.struct(symbol.alias("s"), F.col("n").alias("n"))).alias("e"))
+
+    three = nodes(edges, "ctx").where(F.col("total") < least).select(
+        "ctx", F.col("ctx").bitwiseAND(0xFFFF).alias("ctx2"), F.col("e.s").alias("s3"), F.col("e.n").alias("n3")
+    )
+    two = nodes(edges.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").alias("n")), "ctx2").select(
+        "ctx2", F.col("e.s").alias("s2"), F.col("e.n").alias("n2")
+    )
+    wanted = asked.select("key").distinct().groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.collect_list("key").alias("keys"))
+    rows = wanted.join(three, "ctx").join(two, "ctx2").select("ctx", "keys", "s3", "n3", "s2", "n2")
+
+    def matrix(s: pa.Array, n: pa.Array) -> np.ndarray:
+        m = np.zeros((len(s), 256), np.float32)
+        row = np.repeat(np.arange(len(s)), np.diff(s.offsets.to_numpy()))
+        m[row, s.flatten().to_numpy(zero_copy_only=False)] = n.flatten().to_numpy(zero_copy_only=False)
+        return m
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m1, m0 = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                ctx, keys, s3, n3, s2, n2 = batch.slice(lo, 2048).columns
+                ctx = ctx.to_numpy(zero_copy_only=False)
+                logp = distributions([matrix(s3, n3), matrix(s2, n2), m1[ctx & 0xFF], m0])
+                row, key = np.repeat(np.arange(len(ctx)), np.diff(keys.offsets.to_numpy())), keys.flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(logp[row, key & 0xFF].astype(np.float64))], ["key", "logp"])
+
+    return rows.mapInArrow(scan, "key long, logp double")
 
 
 def adaptive_score(text: str | None, order: int = ORDER) -> float:
@@ -227,6 +292,10 @@ def score(docs: DataFrame, held_out: Column, max_contexts: int = MAX_CONTEXTS, h
                 pair = w.text[rare].astype(np.int64) * len(u) + inv[rare]
                 pair, times = np.unique(pair, return_counts=True)
                 cut = np.searchsorted(pair // max(len(u), 1), np.arange(b.n + 1)).astype(np.int32)
+                score, far_text, far_key = trie.look_up(b)
+                edge, edge_at = np.unique(far_key, return_inverse=True)
+                far, far_times = np.unique(far_text * max(len(edge), 1) + edge_at, return_counts=True)
+                far_cut = np.searchsorted(far // max(len(edge), 1), np.arange(b.n + 1)).astype(np.int32)
                 rows = slice(b.first, b.first + b.n)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -234,11 +303,13 @@ def score(docs: DataFrame, held_out: Column, max_contexts: int = MAX_CONTEXTS, h
                         pa.array(w.count.astype(np.int64) + 1),
                         pa.array(known),
                         pa.array(base),
-                        pa.array(trie.score(b)),
+                        pa.array(score),
                         pa.ListArray.from_arrays(pa.array(cut), pa.array(u[pair % max(len(u), 1)] if len(pair) else np.zeros(0, np.int64))),
                         pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(far_cut), pa.array(edge[far % max(len(edge), 1)] if len(far) else np.zeros(0, np.int64))),
+                        pa.ListArray.from_arrays(pa.array(far_cut), pa.array(far_times.astype(np.int64))),
                     ],
-                    ["doc_id", "held_out", "rid", "n_tokens", "known", "base", "score", "rare", "times"],
+                    ["doc_id", "held_out", "rid", "n_tokens", "known", "base", "score", "rare", "times", "far", "far_times"],
                 )
 
     numbered = rows.withColumn("rid", F.monotonically_increasing_id())
@@ -246,7 +317,8 @@ def score(docs: DataFrame, held_out: Column, max_contexts: int = MAX_CONTEXTS, h
     scored = spill(
         numbered.mapInArrow(
             scan,
-            f"doc_id {kind}, held_out boolean, rid long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>",
+            f"doc_id {kind}, held_out boolean, rid long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>, "
+            "far array<long>, far_times array<long>",
         ),
         "scored",
     )
@@ -257,8 +329,14 @@ def score(docs: DataFrame, held_out: Column, max_contexts: int = MAX_CONTEXTS, h
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("tail"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"),
     )
+    slim = scored.drop("rare", "times", "far", "far_times").join(tail, "rid", "left")
+    if trie.least:
+        steps = scored.where(F.size("far") > 0).select("rid", F.explode(F.arrays_zip("far", "far_times")).alias("p"))
+        steps = steps.select("rid", F.col("p.far").alias("key"), F.col("p.far_times").alias("times"))
+        logs = steps.join(far_edges(edges, steps, trie.least), "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("logp")).alias("steps"))
+        slim = slim.join(logs, "rid", "left").withColumn("score", F.col("score") + F.coalesce("steps", F.lit(0.0))).drop("steps")
     divisor = math.log10(n + 0.1 * (v + 1))
-    return scored.drop("rare", "times").join(tail, "rid", "left").select(
+    return slim.select(
         "doc_id",
         "held_out",
         "n_tokens",
