@@ -162,6 +162,19 @@ def test_pii_disclosing_terms(spark):
     assert "term:" not in got[30].spans and got[65].sanitised == rows[65]
 
 
+def test_pii_terms_of_whole_texts(spark):
+    rng = random.Random(2)
+    filler = lambda n=60: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    rows = [f"Quentin {filler()} Ortega2 at boss@corp.example {filler()} ORTEGA2 x1.2.3.4" for _ in range(5)]
+    rows += [f"{filler()} someone writes from u{i}@mail.example" for i in range(60)]
+    out = pii.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("doc_id", "spans", "sanitised").collect()
+    got = {r.doc_id: r for r in out}
+    for i in range(5):
+        assert got[i].sanitised.startswith("[NAME] ") and got[i].sanitised.endswith(" [NUMBER] x[IP]") and got[i].sanitised.count("[NUMBER]") == 2
+        terms = [s for s in got[i].spans if s.kind == "term" and s.value.lower() in ("quentin", "ortega2")]
+        assert len(terms) == 3 and all(rows[i][s.start : s.end] == s.value for s in terms)
+
+
 # LM scoring ------------------------------------------------------------------------
 
 

@@ -1,13 +1,13 @@
 """PII: pattern detection and information-theoretic sanitisation.
 
 Patterns find protected entities (e-mail addresses, IPv4 addresses, card and
-phone numbers). Then the corpus is asked how strongly the words around an entity
-reveal it: over all (text, entity) units, a term's disclosure of an entity is
-their pointwise mutual information divided by the entity's information content,
-1 meaning that the term gives the entity away entirely. In texts that hold the
+phone numbers). Then the corpus is asked how strongly the words of a text reveal
+an entity in it: over all texts, a term's disclosure of an entity is their
+pointwise mutual information divided by the entity's information content, 1
+meaning that the term gives the entity away entirely. In texts that hold the
 entity, terms at or over the threshold, seen together in enough different texts,
 are generalised (capitalised words to [NAME], words with digits to [NUMBER]) or
-removed.
+removed wherever they stand. Words inside a match are not terms.
 
 DataFrame operations only. Matches come from splitting a text by the pattern,
 which gives the pieces between them and hence positions in code points. The
@@ -39,40 +39,43 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]{3,}+"
-HIT = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+HIT = "array<struct<start:int,end:int,value:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    window: int = 80
     threshold: float = 0.9
     min_texts: int = 3
     min_entity_texts: int = 3
 
 
-def located(text: Column, pattern: str, reach: int) -> Column:
-    """HIT of every match: place, value and up to reach characters around it."""
+def located(text: Column, pattern: str, wanted: Column | None = None) -> Column:
+    """HIT of every match; only of those whose term_hash is wanted, if given."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(
-        F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"), F.slice(pieces, F.lit(2), F.size(hits)).alias("next")
-    )
+    both = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"))
 
     def add(acc: Column, x: Column) -> Column:
         start = (acc["at"] + F.length(x["piece"])).cast("int")
         end = (start + F.length(x["hit"])).cast("int")
-        one = F.struct(
-            start.alias("start"),
-            end.alias("end"),
-            x["hit"].alias("value"),
-            F.right(x["piece"], F.lit(reach)).alias("before"),
-            F.left(x["next"], F.lit(reach)).alias("after"),
-        )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        out = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))))
+        if wanted is not None:
+            out = F.when(F.array_contains(wanted, term_hash(x["hit"])), out).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(HIT).alias("out"))
     return F.when(F.size(hits) > 0, F.aggregate(both, zero, add)["out"]).otherwise(F.array().cast(HIT))
 
 
+def term_hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def terms_of(text: Column) -> Column:
+    """Hashes of a text's different terms."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), term_hash))
+
+
 def luhn(digits: Column) -> Column:
     back = F.reverse(digits)
 
@@ -101,86 +104,79 @@ def keyed(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({"_k1": F.xxhash64(t), "_k2": F.xxhash64(F.lit(1), t)})
 
 
-def detect(df: DataFrame, text: str = "text", reach: int = 80) -> DataFrame:
-    """(_k1, _k2, found) of every row with a match: found holds rank (order of
-    kinds), kind and HIT's fields, valid matches only, by start and kind."""
+def detect(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(_k1, _k2, text, found) of every different text with a match, and the text
+    of every other one: found holds SPAN's fields, rank being the order of kinds,
+    valid matches only, by start and kind."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    raw = spill(keyed(df, text).select("_k1", "_k2", *[located(t, p, reach).alias(k) for k, p in PATTERNS.items()]), "matches")
+    texts = keyed(df, text).select("_k1", "_k2", t.alias("text")).dropDuplicates(["_k1", "_k2"])
+    raw = spill(texts.select("*", *[located(F.col("text"), p).alias(k) for k, p in PATTERNS.items()]), "matches")
     any_hit = reduce(lambda a, b: a | b, [F.size(k) > 0 for k in KINDS])
 
     def part(rank: int, kind: str) -> Column:
         return F.transform(
             F.filter(F.col(kind), lambda h: valid(kind, h["value"])),
             lambda h: F.struct(
-                h["start"].alias("start"), F.lit(rank).alias("rank"), h["end"].alias("end"), F.lit(kind).alias("kind"),
-                h["value"].alias("value"), h["before"].alias("before"), h["after"].alias("after"),
+                h["start"].alias("start"), F.lit(rank).alias("rank"), h["end"].alias("end"), F.lit(kind).alias("kind"), h["value"].alias("value")
             ),
         )
 
-    found = F.array_sort(F.concat(*[part(i, k) for i, k in enumerate(KINDS)]))
-    return raw.where(any_hit).select("_k1", "_k2", found.alias("found"))
+    found = F.array_sort(F.concat(*[part(i, k) for i, k in enumerate(KINDS)])).cast(SPAN)
+    return raw.where(any_hit).select("_k1", "_k2", "text", found.alias("found")), raw.where(~any_hit).select("text")
 
 
-def disclosing_terms(found: DataFrame, cfg: Disclosure) -> DataFrame:
-    """(_k1, _k2, start, end, term): places of terms that disclose an entity of
-    their text. Only words within the window of a mention are asked."""
-    mention = found.select("_k1", "_k2", F.explode("found").alias("m")).select(
-        "_k1", "_k2", F.xxhash64("m.kind", F.lower("m.value")).alias("entity"), "m.start", "m.end", "m.before", "m.after"
-    )
-    texts = mention.select("_k1", "_k2", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ce"))
-    often = spill(texts, "entities")
-    units = often.agg(F.coalesce(F.sum("ce"), F.lit(0))).first()[0]
-
-    def words(snippet: Column, base: Column, cut_left: bool) -> Column:
-        # A word that touches the edge of a full snippet may be cut off there.
-        places = located(snippet, TERM, 0)
-        full = F.length(snippet) >= cfg.window
-        inside = F.filter(
-            places, lambda w: ~(full & (w["start"] == 0)) if cut_left else ~(full & (w["end"] == F.length(snippet)))
-        )
-        return F.transform(
-            inside, lambda w: F.struct((base + w["start"]).cast("int").alias("start"), (base + w["end"]).cast("int").alias("end"), w["value"].alias("word"))
-        )
+def masked(text: Column, spans: Column) -> Column:
+    """text with blanks for all characters in spans (by start)."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    near = F.concat(
-        words(F.col("before"), F.col("start") - F.length("before"), True), words(F.col("after"), F.col("end"), False)
-    )
-    pairs = spill(
-        mention.select("_k1", "_k2", "entity", F.explode(near).alias("w")).select(
-            "_k1", "_k2", "entity", F.lower("w.word").alias("term"), "w.word", "w.start", "w.end"
-        ),
-        "pairs",
-    )
-    unit_terms = pairs.groupBy("_k1", "_k2", "entity", "term").agg(F.lit(1).alias("one"))
-    joint = spill(unit_terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("cet")), "joint")
-    term = joint.groupBy("term").agg(F.sum("cet").alias("ct"))
-    rated = joint.where(F.col("cet") >= cfg.min_texts).join(often.where(F.col("ce") >= cfg.min_entity_texts), "entity").join(term, "term")
-    n = F.lit(float(max(units, 1)))
-    content = F.log2(n / F.col("ce"))
-    shared = F.log2(F.col("cet") * n / (F.col("ce") * F.col("ct")))
-    strong = rated.where((content > 0) & (shared >= cfg.threshold * content)).select("entity", "term")
-    return pairs.join(strong, ["entity", "term"]).select("_k1", "_k2", "start", "end", "word").distinct()
+    def add(acc: Column, s: Column) -> Column:
+        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        blank = F.repeat(F.lit(" "), end - start)
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), blank).alias("out"))
+
+    return F.aggregate(spans, zero, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(2147483647))))
+
+
+def disclosing_terms(bare: DataFrame, others: DataFrame, cfg: Disclosure) -> DataFrame:
+    """(_k1, _k2, terms): HIT of every place of terms that disclose an entity of
+    their text. bare: _k1, _k2, found and bare, the text without its matches;
+    others: the texts without matches."""
+    mention = bare.select("_k1", "_k2", F.explode("found").alias("m")).select("_k1", "_k2", F.xxhash64("m.kind", F.lower("m.value")).alias("entity")).distinct()
+    mention = spill(mention, "mentions")
+    every = bare.select("bare")
+    n = float(max(every.count(), 1))
+    # As cet <= ce, no term in over ce * (n / ce) ** (1 - threshold) texts can
+    # reach the threshold, so leaving those out beforehand loses no pair.
+    often = mention.groupBy("entity").agg(F.count(F.lit(1)).alias("ce")).where((F.col("ce") >= max(cfg.min_entity_texts, cfg.min_texts)) & (F.col("ce") < n))
+    most = F.col("ce") * F.pow(F.lit(n) / F.col("ce"), F.lit(1 - cfg.threshold)) * (1 + 1e-9)
+    units = spill(mention.join(often, "entity").withColumn("most", most), "units")
+    reach = units.groupBy("_k1", "_k2").agg(F.max("most").alias("reach"))
+    term = every.select(F.explode(terms_of(F.col("bare"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("ct")).where(F.col("ct") >= cfg.min_texts)
+    held = bare.join(reach, ["_k1", "_k2"]).select("_k1", "_k2", "reach", F.explode(terms_of(F.col("bare"))).alias("term"))
+    held = held.join(term, "term").where(F.col("ct") <= F.col("reach")).drop("reach")
+    pairs = spill(held.join(units, ["_k1", "_k2"]).where(F.col("ct") <= F.col("most")).select("_k1", "_k2", "entity", "term", "ce", "ct"), "pairs")
+    joint = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("cet"), F.max("ce").alias("ce"), F.max("ct").alias("ct"))
+    shared = F.log2(F.col("cet") * F.lit(n) / (F.col("ce") * F.col("ct")))
+    strong = joint.where((F.col("cet") >= cfg.min_texts) & (shared >= cfg.threshold * F.log2(F.lit(n) / F.col("ce")))).select("entity", "term")
+    wanted = pairs.join(strong, ["entity", "term"]).groupBy("_k1", "_k2").agg(F.collect_set("term").alias("wanted"))
+    return bare.join(wanted, ["_k1", "_k2"]).select("_k1", "_k2", located(F.col("bare"), TERM, F.col("wanted")).alias("terms"))
 
 
 def sanitise(df: DataFrame, text: str = "text", cfg: Disclosure = Disclosure()) -> DataFrame:
     """df with found (base matches), spans (base and disclosing terms) and the
     sanitised text."""
-    found = spill(detect(df, text, cfg.window).dropDuplicates(["_k1", "_k2"]), "found")
-    terms = disclosing_terms(found, cfg)
-    added = terms.groupBy("_k1", "_k2").agg(
-        F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), F.col("word").alias("value"))).alias("terms")
-    )
-    slim = F.transform("found", lambda m: F.struct(m["start"].alias("start"), m["rank"].alias("rank"), m["end"].alias("end"), m["kind"].alias("kind"), m["value"].alias("value")))
-    kind = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
-    # A term inside a base match is covered already.
-    outside = F.filter(
-        F.coalesce("terms", F.array().cast(kind)),
-        lambda t: ~F.exists("base", lambda m: (t["start"] < m["end"]) & (m["start"] < t["end"])),
+    found, others = detect(df, text)
+    found = spill(found, "found")
+    bare = spill(found.select("_k1", "_k2", "found", masked(F.col("text"), F.col("found")).alias("bare")), "bare")
+    terms = spill(disclosing_terms(bare, others, cfg), "terms")
+    added = F.transform(
+        F.coalesce("terms", F.array().cast(HIT)),
+        lambda h: F.struct(h["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), h["end"].alias("end"), F.lit("term").alias("kind"), h["value"].alias("value")),
     )
-    every = found.withColumn("base", slim.cast(kind)).join(added.withColumn("terms", F.col("terms").cast(kind)), ["_k1", "_k2"], "left")
-    every = every.select("_k1", "_k2", F.col("base").alias("_base"), F.array_sort(F.concat("base", outside)).alias("spans"))
+    every = found.select("_k1", "_k2", F.col("found").alias("_base")).join(terms, ["_k1", "_k2"], "left")
+    every = every.select("_k1", "_k2", "_base", F.array_sort(F.concat("_base", added.cast(SPAN))).alias("spans"))
     rows = keyed(df.drop("found", "spans", "sanitised"), text).join(every, ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    none = F.array().cast(kind)
+    none = F.array().cast(SPAN)
     rows = rows.withColumns({"found": F.coalesce("_base", none), "spans": F.coalesce("spans", none)}).drop("_base")
     return rows.withColumn("sanitised", rewritten(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col("spans")))
 
