@@ -175,6 +175,16 @@ def test_pii_terms_of_whole_texts(spark):
         assert len(terms) == 3 and all(rows[i][s.start : s.end] == s.value for s in terms)
 
 
+def test_pii_counts_terms_of_all_texts(spark):
+    rng = random.Random(3)
+    filler = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(12))
+    rows = [f"{filler()} omega from Quentin boss@corp.example {filler()}" for _ in range(5)]
+    rows += [f"{filler()} writes u{i}@mail.example" for i in range(60)] + [f"{filler()} omega {filler()}" for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate([*rows, *rows[65:75]])), "doc_id long, text string")
+    got = {r.doc_id: r.sanitised for r in pii.sanitise(df).select("doc_id", "sanitised").collect()}
+    assert all(" omega " in got[i] and "Quentin" not in got[i] for i in range(5)) and got[70] == rows[70]
+
+
 # LM scoring ------------------------------------------------------------------------
 
 

@@ -143,7 +143,7 @@ def disclosing_terms(bare: DataFrame, others: DataFrame, cfg: Disclosure) -> Dat
     others: the texts without matches."""
     mention = bare.select("_k1", "_k2", F.explode("found").alias("m")).select("_k1", "_k2", F.xxhash64("m.kind", F.lower("m.value")).alias("entity")).distinct()
     mention = spill(mention, "mentions")
-    every = bare.select("bare")
+    every = bare.select("bare").union(others.select("text"))
     n = float(max(every.count(), 1))
     # As cet <= ce, no term in over ce * (n / ce) ** (1 - threshold) texts can
     # reach the threshold, so leaving those out beforehand loses no pair.
