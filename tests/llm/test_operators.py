@@ -120,6 +120,17 @@ def test_url_templates(spark):
     assert [r.template for r in t] == ["/u/*"]
 
 
+def test_url_tree_judges_unlabelled_pages(spark):
+    deep = "/a/b/c/d/e"
+    urls = [f"http://a.com/de/{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(20)] + [f"http://b.com/fr/{i}" for i in range(20)]
+    urls += ["http://a.com/en/x", "http://a.com" + deep + "/f", "http://a.com" + deep + "/g", "http://b.com/en/x", "http://c.net/en/x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.url: r for r in url_filters.judge_urls(df).collect()}
+    for u in urls[40:]:
+        assert got[u].rule is None and (got[u].verdict == "block") == u.startswith("http://a.com/"), u
+    assert got["http://a.com" + deep + "/f"].template == deep + "/f" and got["http://a.com" + deep + "/g"].template == deep + "/g"
+
+
 # PII -------------------------------------------------------------------------------
 
 TEXTS = [

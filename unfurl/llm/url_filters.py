@@ -6,7 +6,9 @@ distinct children for its visits, they all become `*`; otherwise a child whose
 labelled block rate is statistically indistinguishable from its siblings' merges
 with them into `*`, while one that differs keeps its own branch. A template is
 rejected when its smoothed labelled purity, (blocked + strength * prior) /
-(labelled + strength), reaches the limit. Explicit rules, longest first, decide
+(labelled + strength), reaches the limit; a template without labels takes the
+purity of its nearest ancestor that has some, and is never rejected where its
+host has none. Explicit rules, longest first, decide
 before the tree, and their verdicts are the tree's labels.
 
 DataFrame operations only. All statistics are aggregates over (host, template)
@@ -37,7 +39,7 @@ RULES = (
 
 @dataclass(frozen=True)
 class Tree:
-    depth: int = 4
+    depth: int | None = None  # segments kept apart; None for all
     max_children: int = 50
     distinct_share: float = 0.5
     z_limit: float = 3.0
@@ -64,9 +66,9 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, verdict
 
 
-def segments(path: Column, depth: int) -> Column:
-    """Lexically generalised segments, at most depth of them; deeper ones are
-    folded into a last `**`."""
+def segments(path: Column, depth: int | None = None) -> Column:
+    """Lexically generalised segments; with a depth, at most that many, deeper
+    ones folded into a last `**`."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     digits = r"[0-9]+"
     general = F.transform(
@@ -75,6 +77,8 @@ def segments(path: Column, depth: int) -> Column:
             F.regexp_replace(s, digits, "*")
         ),
     )
+    if depth is None:
+        return general
     return F.when(F.size(general) > depth, F.concat(F.slice(general, 1, depth), F.array(F.lit("**")))).otherwise(general)
 
 
@@ -87,12 +91,29 @@ def build_tree(paths: DataFrame, cfg: Tree = Tree()) -> DataFrame:
         ),
         "leaves",
     )
-    cur = leaves.withColumn("template", F.lit(""))
-    for level in range(1, cfg.depth + 2):
-        seg = F.get(F.col("segs"), F.lit(level - 1))
-        here = cur.withColumn("seg", seg)
+    # near_lab, near_bad: labels of the deepest labelled node on the way so far.
+    cur = leaves.select("*", F.lit("").alias("template"), F.lit(0).cast("long").alias("near_lab"), F.lit(0).cast("long").alias("near_bad"), F.lit(False).alias("done"))
+    level = 0
+    while True:
+        level += 1
+        nodes = cur.where("not done").groupBy("host", "template").agg(F.sum("lab").alias("nl"), F.sum("bad").alias("nb"), F.count(F.lit(1)).alias("paths"))
+        # A path alone below its node has no siblings further down, so it ends here.
+        alone = F.col("paths") == 1
+        rest = F.array_join(F.slice("segs", level, F.greatest(F.size("segs") - level + 1, F.lit(0))), "/")
+        left = F.size("segs") >= level
+        step = cur.where("not done").join(nodes, ["host", "template"]).select(
+            "host", "segs", "n", "lab", "bad",
+            F.when(alone & left, F.concat("template", F.lit("/"), rest)).otherwise(F.col("template")).alias("template"),
+            F.when(F.col("nl") > 0, F.col("nl")).otherwise(F.col("near_lab")).alias("near_lab"),
+            F.when(F.col("nl") > 0, F.col("nb")).otherwise(F.col("near_bad")).alias("near_bad"),
+            (alone | ~left).alias("done"),
+        )
+        cur = spill(step.union(cur.where("done").select(step.columns)), "nodes")
+        if cur.where("not done").limit(1).count() == 0:
+            break
+        here = cur.where("not done").withColumn("seg", F.get(F.col("segs"), F.lit(level - 1)))
         child = spill(
-            here.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("cn"), F.sum("lab").alias("cl"), F.sum("bad").alias("cb")),
+            here.groupBy("host", "template", "seg").agg(F.sum("n").alias("cn"), F.sum("lab").alias("cl"), F.sum("bad").alias("cb")),
             "children",
         )
         node = child.groupBy("host", "template").agg(
@@ -108,19 +129,16 @@ def build_tree(paths: DataFrame, cfg: Tree = Tree()) -> DataFrame:
         # Only labelled siblings merge: without labels nothing says that they are alike.
         kept = F.when(many | alike, F.lit("*")).otherwise(F.col("seg"))
         moves = both.select("host", "template", "seg", kept.alias("kept"))
-        cur = (
-            here.join(moves, ["host", "template", "seg"], "left")
-            .withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "kept")))
-            .drop("seg", "kept")
-        )
-        cur = spill(cur, "level")
+        moved = here.join(moves, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "kept"))
+        cur = spill(moved.select(cur.columns).union(cur.where("done")), "level")
     total = leaves.agg(F.sum("lab"), F.sum("bad")).first()
     prior = (total[1] + 1) / (total[0] + 2) if total[0] else 0.5
-    stats = cur.groupBy("host", "template").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).withColumn(
-        "purity", (F.col("bad") + cfg.strength * prior) / (F.col("lab") + cfg.strength)
-    )
-    return cur.select("host", "segs", "template").join(stats, ["host", "template"]).select(
-        "host", "segs", "template", "purity", ((F.col("lab") > 0) & (F.col("purity") >= cfg.purity_limit)).alias("rejected")
+    stats = cur.groupBy("host", "template").agg(F.sum("lab").alias("own_lab"), F.sum("bad").alias("own_bad"))
+    own = F.col("own_lab") > 0
+    lab, bad = F.when(own, F.col("own_lab")).otherwise(F.col("near_lab")), F.when(own, F.col("own_bad")).otherwise(F.col("near_bad"))
+    purity = (bad + cfg.strength * prior) / (lab + cfg.strength)
+    return cur.join(stats, ["host", "template"]).select(
+        "host", "segs", "template", purity.alias("purity"), ((lab > 0) & (purity >= cfg.purity_limit)).alias("rejected")
     )
 
 
