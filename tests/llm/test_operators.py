@@ -298,6 +298,15 @@ def test_chat_detects_rewriting():
     assert chat.format_conversation([("user", "a"), ("assistant", "b"), ("user", "c")], last_only)["rewritten"] == [1, 2]
 
 
+def test_chat_output_is_the_renderers():
+    turns = [("user", "q"), ("assistant", "yes"), ("user", "r"), ("assistant", "no"), ("user", "s")]
+    drops_old = lambda turns: "".join(f"[{r}]{t if i >= len(turns) - 4 else '-'}\n" for i, (r, t) in enumerate(turns))
+    for window in (None, 2):
+        out = chat.format_conversation(turns, drops_old, window)
+        assert out["formatted"] == drops_old(turns) and out["rewritten"] == [4]
+        assert [out["formatted"][a:b] for a, b in out["loss_spans"]] == ["yes", "no"]
+
+
 def test_chat_tables(spark):
     rows = [(1, 1, "assistant", "yes"), (1, 0, "user", None), (2, None, None, "x"), (2, 0, "user", "a"), (2, 0, "user", "a"), (None, 0, "user", "q"), *chat.FIXTURE]
     df = odd(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))

@@ -62,7 +62,11 @@ def spans(turns: Turns, render: Callable[[Turns], str], window: int | None = Non
     """(output, text span of each turn, turns at which history was rewritten).
 
     window: how many earlier turns are rendered with each turn; None renders
-    every whole prefix, the only safe choice for an unknown renderer."""
+    every whole prefix. The output is always that of the whole conversation: where
+    the pieces of a window do not add up to it, whole prefixes are rendered. Where
+    history was rewritten, each text's span is sought in the whole output, and is
+    empty if the text is not shown."""
+    whole = render(turns)
     pieces, found, rewritten, done = [], [], [], 0
     for i in range(len(turns)):
         lo = 0 if window is None else max(0, i - window)
@@ -79,12 +83,20 @@ def spans(turns: Turns, render: Callable[[Turns], str], window: int | None = Non
         found.append((done + start, done + len(piece) - tail))
         pieces.append(piece)
         done += len(piece)
-    return "".join(pieces), found, rewritten
+    if window is not None and (rewritten or "".join(pieces) != whole):
+        return spans(turns, render)
+    if rewritten:
+        found = []
+        for i, (role, _) in enumerate(turns):
+            probe = render([*turns[:i], (role, SENTINEL), *turns[i + 1 :]])
+            head = probe.rfind(SENTINEL)
+            found.append((head, len(whole) - (len(probe) - head - len(SENTINEL))) if head >= 0 else (0, 0))
+    return whole, found, rewritten
 
 
 def format_conversation(turns: Turns, render=template, window: int | None = None, roles=("assistant",)) -> dict:
     """The formatted text, its loss mask as spans, and whether the renderer
-    rewrites history (the spans then only hold up to the rewritten turn)."""
+    rewrites history."""
     text, found, rewritten = spans(turns, render, window)
     mask = [s for s, (role, _) in zip(found, turns) if role in roles]
     return {"formatted": text, "loss_spans": mask, "rewritten": rewritten}
