@@ -347,6 +347,31 @@ def test_suffix_dedup_random(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.id, rows[r.id][1]]
 
 
+def test_suffix_dedup_one_passage_in_all_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcdefgh \0\1", k=n))
+    passage = word(130)
+    rows = [(i, word(rng.randrange(0, 90)) + passage[rng.randrange(20) :][: rng.randrange(80, 131)] + word(rng.randrange(90))) for i in range(150)]
+    rows += [(200, "ab" * 400), (201, "b" * 99 + "ab" * 200), (202, rows[3][1]), (202, rows[3][1]), (203, passage * 4), (204, word(99))]
+    page = word(900)
+    rows += [(300, "".join(word(50_000) + page for _ in range(7)) + rows[5][1]), (301, word(300) + page[100:400])]
+    want = brute.repeats(rows)
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    everything = suffix_dedup.hot_grams
+    for bucket, hot, kind in ((3, False, "long"), (40, True, "long"), (25, True, "string")):
+        monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+        b = next(_words.blocks(pa.array([r[1] for r in rows[:60]])))
+        at, _, _ = suffix_dedup.anchors(b, 100, 24)
+        grams = np.unique(_words.Hasher(b.data).of(at, at + 24)) if hot else np.zeros(0, np.uint64)
+        monkeypatch.setattr(suffix_dedup, "hot_grams", lambda *a: grams)
+        got = suffix_dedup.remove_repeats(df.select(F.lpad(F.col("id").cast("string"), 4, "0").cast(kind).alias("id"), "text")).collect()
+        text = dict(rows)
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[int(r.id), text[int(r.id)]], (bucket, r.id)
+    assert len(everything(df.select("text", F.col("id").alias("doc")), 100, 24)) <= suffix_dedup.HOT
+
+
 def test_multikey_sort():
     for seed in range(5):
         w = np.random.default_rng(seed).integers(0, 3, (400, 4)).astype(np.uint64)

@@ -19,6 +19,7 @@ _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_SECOND = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers = {}
 
 SPACE = np.zeros(256, bool)
@@ -94,11 +95,11 @@ def lower(data: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """64-bit hashes of byte ranges of one block."""
+    """64-bit hashes of byte ranges of one block; a second, independent one."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, second: bool = False):
         self.up, self.down = powers(len(data) + 1)
-        terms = _TABLE[data] * self.up[: len(data)]
+        terms = (_SECOND if second else _TABLE)[data] * self.up[: len(data)]
         self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

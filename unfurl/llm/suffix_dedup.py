@@ -4,23 +4,30 @@ A byte goes if a string of `length` bytes that covers it also starts earlier (in
 a text with a smaller id, or earlier in the same text). Every such string holds
 one anchor: the place of the smallest hash of `gram` bytes within it, leftmost
 on ties, which depends on the string's bytes alone, so equal strings have equal
-anchors at equal offsets. Hence only suffixes that start at anchors, about one in
-forty, have to be sorted, each with the bytes that the strings around it reach.
-
-1. Anchors' grams are counted by hash; only anchors with a gram found twice go on.
-2. Their suffixes (with left context) are collapsed within a task, keeping the
-   earliest of equal ones, and range-partitioned by leading bytes with sampled
-   splitters, so equal grams meet in one bucket.
-3. Buckets sort locally by multikey quicksort, eight bytes at a time. Sorted
-   neighbours bound how far each suffix agrees with any other; within a run of
-   one gram, every string in these bounds that starts earlier elsewhere (by
-   64-bit hash of its bytes) marks its bytes.
-4. Marks are merged per text and the rest is hashed and returned.
-
-Texts equal as a whole are one text: the later ones (larger id) go entirely if
-they hold a string. Strings never cross texts. Rows equal in id and text are one
-row and get the same result. Null ids come first; null texts are empty. An empty
-table gives an empty result.
+anchors at equal offsets. A block is a run of string starts with one anchor and
+the bytes these strings cover; about one place in forty is an anchor.
+
+1. Blocks that are equal as a whole meet by hash: the earliest stays, the others
+   go. Where a gram is found in several different blocks, these go on.
+2. Their suffixes, from the anchor on, are range-partitioned by leading bytes with
+   sampled splitters into buckets of bounded size, sorted by multikey quicksort,
+   eight bytes at a time, and compared with their sorted neighbours; the first and
+   last suffix of a bucket are compared across its boundary. That bounds how far a
+   suffix agrees with any other; the same is done to the left of the anchor among
+   suffixes that share the gram.
+3. Strings within both bounds are the only ones that can start elsewhere too. They
+   meet by a 128-bit hash, and all but the earliest mark their bytes.
+
+What meets is first reduced within every task to the earliest of equal ones, so
+a passage that a third of all texts share sends one row a task and flush. Grams
+that a sample of the texts shows to be very frequent are dealt by block rather
+than by gram, which changes no result: they are taken to have several blocks. A
+long text is cut into overlapping pieces, so no array grows with a text.
+
+Equality is that of two independent 64-bit hashes together. Strings never cross
+texts. Rows equal in id and text are one row and get the same result; different
+texts of one id come in the order of their hashes. Null ids come first; null texts
+are empty. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,15 +37,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words
 from ._dist import numbered, row_numbers, shuffle_width, spill
 
 LENGTH, GRAM = 100, 24
-#: Anchors that a task holds before it sends them on.
-FLUSH = 300_000
+#: Blocks or strings that a task holds before it sends them on.
+FLUSH = 200_000
+#: Suffixes in a bucket, on average.
+BUCKET = 40_000
+#: One text in so many is looked at for very frequent grams; at most HOT of them.
+SAMPLE, HOT = 64, 10_000
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def anchors(b: _words.Block, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,16 +84,186 @@ def anchors(b: _words.Block, length: int, gram: int) -> tuple[np.ndarray, np.nda
     return anchor[first], starts[first], starts[last]
 
 
-def gather(data: np.ndarray, at: np.ndarray, limit: np.ndarray, width: int, step: int = 1) -> np.ndarray:
-    """(rows, width) bytes of data from each place on, or backwards with step -1,
-    zero beyond each row's limit."""
-    k = np.arange(width)
-    out = np.zeros((len(at), width), np.uint8)
-    for lo in range(0, len(at), 4096):  # the places take eight times the bytes
-        s = slice(lo, lo + 4096)
-        out[s] = data[np.clip(at[s, None] + step * k, 0, len(data) - 1)]
-        out[s][k >= limit[s, None]] = 0
-    return out
+def pieces(column: pa.Array, length: int) -> Iterator[tuple[_words.Block, int]]:
+    """Blocks of whole texts, and long texts in pieces that share length - 1 bytes
+    with the next one, with the place of the piece in its text."""
+    for b in _words.blocks(column):
+        if b.n > 1 or len(b.data) <= _words.BLOCK_BYTES:
+            yield b, 0
+            continue
+        for lo in range(0, len(b.data) - length + 1, _words.BLOCK_BYTES):
+            part = b.data[lo : lo + _words.BLOCK_BYTES + length - 1]
+            yield _words.Block(b.first, part, np.array([0, len(part)])), lo
+
+
+# Meeting by hash ---------------------------------------------------------------
+
+#: g, key: hashes that say what is equal; doc, start: where; off: the anchor's
+#: offset from the first string; n: number of strings.
+KINDS = (np.uint64, np.uint64, np.int64, np.uint32, np.uint16, np.uint16)
+MARKS, WANTED = (np.uint32, np.uint32), (np.uint32, np.uint16, np.uint16)
+MET = "doc long, marks binary, wanted binary"
+Cols = list[np.ndarray]
+
+
+def pack(cols: Cols, kinds: tuple) -> bytes:
+    return b"".join(c.astype(k).tobytes() for c, k in zip(cols, kinds))
+
+
+def unpack(data: list[bytes], kinds: tuple) -> Cols:
+    """Columns of all packed records, one after the other."""
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
+    for x in data:
+        n, at = len(x) // sum(sizes), 0
+        for held, k, s in zip(out, kinds, sizes):
+            held.append(np.frombuffer(x, k, n, at))
+            at += n * s
+    return [np.concatenate([np.zeros(0, k), *held]) for held, k in zip(out, kinds)]
+
+
+def earliest(cols: Cols) -> tuple[Cols, np.ndarray, np.ndarray]:
+    """Columns sorted by g, key, doc and start; which rows are the earliest of
+    their equals, and which are later ones (neither: the same place again)."""
+    g, key, doc, start = cols[:4]
+    order = np.lexsort((start, doc, key, g))
+    cols = [c[order] for c in cols]
+    g, key, doc, start = cols[:4]
+    head = np.ones(len(g), bool)
+    head[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
+    first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(g) else np.zeros(0, np.int64)
+    late = (doc != doc[first]) | (start != start[first])
+    return cols, head, late
+
+
+def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Cols:
+    """Byte ranges by doc, overlapping and touching ones joined."""
+    if not len(doc):
+        return [doc, lo, hi]
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+    run = np.cumsum(np.append(0, doc[1:] != doc[:-1])) << 33
+    far = np.maximum.accumulate(run + hi)
+    new = np.append(True, (run + lo)[1:] > far[:-1])
+    return [doc[new], lo[new], far[np.append(np.flatnonzero(new)[1:], len(doc)) - 1] - run[new]]
+
+
+def by_doc(doc: np.ndarray, cols: Cols, kinds: tuple, name: str) -> Iterator[pa.RecordBatch]:
+    """Rows of MET, one a doc, for columns sorted by doc; name is filled."""
+    if not len(doc):
+        return
+    cut = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
+    for lo in range(0, len(cut) - 1, 20_000):
+        at = cut[lo : lo + 20_001]
+        data = pa.array([pack([c[i:j] for c in cols], kinds) for i, j in zip(at[:-1], at[1:])], pa.binary())
+        none = pa.nulls(len(data), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at[:-1]]), *((data, none) if name == "marks" else (none, data))], ["doc", "marks", "wanted"])
+
+
+class Sender:
+    """Gathers records, reduces them to the earliest of equal ones and deals them
+    out to width parts, the byte ranges of the others too."""
+
+    def __init__(self, width: int, length: int, hot: np.ndarray):
+        self.width, self.length, self.hot, self.held, self.n = np.uint64(width), length, hot, [], 0
+
+    def add(self, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(cols[0]), FLUSH):
+            self.held.append([c[lo : lo + FLUSH] for c in cols])
+            self.n += len(self.held[-1][0])
+            if self.n >= FLUSH:
+                yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        cols, head, late = earliest([np.concatenate([h[i] for h in self.held]) for i in range(len(KINDS))])
+        self.held, self.n = [], 0
+        doc, lo, n = cols[2][late], cols[3][late].astype(np.int64), cols[5][late]
+        marks = merged(doc, lo, lo + n - 1 + self.length)
+        own = [c[head] for c in cols]
+        order = np.lexsort((own[3], own[2]))  # by place, which packs better
+        own = [c[order] for c in own]
+        g = np.where(np.isin(own[0], self.hot), _words.mix(own[0] ^ own[1]), own[0])
+        recs, ranges = self.dealt(g, own, KINDS), self.dealt(marks[0].view(np.uint64), marks, (np.int64, *MARKS))
+        parts = sorted(recs.keys() | ranges.keys())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(parts, pa.int32()), *[pa.array([x.get(p) for p in parts], pa.binary()) for x in (recs, ranges)]], ["part", "recs", "ranges"]
+        )
+
+    def dealt(self, key: np.ndarray, cols: Cols, kinds: tuple) -> dict[int, bytes]:
+        part = (key % self.width).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(int(self.width) + 1))
+        return {int(p): pack([c[order[cut[p] : cut[p + 1]]] for c in cols], kinds) for p in np.flatnonzero(np.diff(cut))}
+
+
+def meet(sent: DataFrame, length: int, hot: np.ndarray, width: int) -> DataFrame:
+    """Rows of MET from what Senders sent: byte ranges to remove, and the blocks
+    whose gram is in several different ones."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recs, ranges = [], []
+        for batch in batches:
+            recs += [x for x in batch.column(1).to_pylist() if x]
+            ranges += [x for x in batch.column(2).to_pylist() if x]
+        cols, head, late = earliest(unpack(recs, KINDS))
+        del recs
+        known = unpack(ranges, (np.int64, *MARKS))
+        lo = cols[3][late].astype(np.int64)
+        doc, *marks = merged(*[np.concatenate(p) for p in zip(known, (cols[2][late], lo, lo + cols[5][late] - 1 + length))])
+        yield from by_doc(doc, marks, MARKS, "marks")
+        own = [c[head] for c in cols]
+        g = own[0]
+        same = g[1:] == g[:-1]
+        several = np.isin(g, hot)
+        several[1:] |= same
+        several[:-1] |= same
+        _, _, doc, start, off, n = (c[several] for c in own)
+        order = np.lexsort((start, doc))
+        yield from by_doc(doc[order], [c[order] for c in (start, off, n)], WANTED, "wanted")
+
+    return sent.repartition(width, "part").mapInArrow(scan, MET)
+
+
+def blocks_sent(docs: DataFrame, length: int, gram: int, hot: np.ndarray, width: int) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Sender(width, length, hot)
+        for batch in batches:
+            doc = batch.column(1).to_numpy()
+            for b, base in pieces(batch.column(0), length):
+                at, lo, hi = anchors(b, length, gram)
+                text = b.text_of(lo)
+                g = _words.Hasher(b.data).of(at, at + gram)
+                key = _words.mix(_words.Hasher(b.data, second=True).of(lo, hi + length) + (at - lo).astype(np.uint64) * _GOLD)
+                yield from out.add(g, key, doc[b.first + text], lo - b.offsets[text] + base, at - lo, hi - lo + 1)
+        yield from out.flush()
+
+    return docs.select("text", "doc").mapInArrow(scan, "part int, recs binary, ranges binary")
+
+
+def hot_grams(docs: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Sorted hashes of grams with at least 1 / HOT of a sample's anchors, hence
+    HOT at most; only how records are dealt depends on them."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for b, _ in pieces(batch.column(0), length):
+                at, _, _ = anchors(b, length, gram)
+                found.append(_words.Hasher(b.data).of(at, at + gram))
+            g, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["g", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(SAMPLE)) == 0).select("text")
+    counts = some.mapInArrow(scan, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    every = counts.groupBy(F.when(F.col("n") >= 32, F.col("g")).alias("g")).agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    found = every.withColumn("total", total).where(f"g is not null and n * {HOT} >= total").select("g").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+# Sorting -----------------------------------------------------------------------
 
 
 def packed(rows: np.ndarray) -> np.ndarray:
@@ -89,18 +272,6 @@ def packed(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.hstack([rows, pad])).view(">u8").astype(np.uint64)
 
 
-def nearest(rows: np.ndarray, limit: np.ndarray, order: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Per row, the longest common prefix with any other one: that with a sorted
-    neighbour. same says which neighbours (in order) count."""
-    out = np.zeros(len(rows), np.int64)
-    a, b = order[:-1][same], order[1:][same]
-    equal = np.hstack([rows[a] == rows[b], np.zeros((len(a), 1), bool)])
-    common = np.minimum(equal.argmin(1), np.minimum(limit[a], limit[b]))
-    np.maximum.at(out, a, common)
-    np.maximum.at(out, b, common)
-    return out
-
-
 def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, group): rows sorted by their words, and equal rows' group numbers
     in that order. Word by word, only rows in runs that are still equal are
@@ -125,265 +296,213 @@ def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
-def candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(k1, k2, places): anchors whose gram's hash is found elsewhere too, as
-    packed byte offsets in the text, one element per bucket of grams."""
-    width = shuffle_width(docs.sparkSession)
+def binary_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a binary column without nulls."""
+    column = column.cast(pa.large_binary())
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k1, k2 = (batch.column(i).to_numpy() for i in (1, 2))
-            _, first = np.unique(k1, return_index=True)  # equal texts of a batch once
-            once = np.zeros(batch.num_rows, bool)
-            once[first] = True
-            kept, held = [], 0
-            for b in _words.blocks(batch.column(0)):
-                at, _, _ = anchors(b, length, gram)
-                text = b.text_of(at)
-                keep = once[b.first + text]
-                at, text = at[keep], text[keep]
-                h = _words.Hasher(b.data).of(at, at + gram)
-                kept.append((h, k1[b.first + text], k2[b.first + text], (at - b.offsets[text]).astype(np.uint32)))
-                held += len(at)
-                if held >= FLUSH:
-                    yield dealt(kept)
-                    kept, held = [], 0
-            if kept:
-                yield dealt(kept)
-
-    def dealt(kept: list[tuple]) -> pa.RecordBatch:
-        """One row per bucket that any anchor falls into."""
-        cols = [np.concatenate([k[i] for k in kept]) for i in range(4)]
-        part = cols[0] % np.uint64(width)
-        order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(width + 1))
-        full = np.flatnonzero(np.diff(cut))
-        packed = [pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()) for x in (c[order] for c in cols)]
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *packed], ["part", "h", "k1", "k2", "at"])
 
-    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[], [], [], []]
-        for batch in batches:
-            for i, kind in enumerate((np.uint64, np.int64, np.int64, np.uint32)):
-                parts[i] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(i + 1)]
-        if not parts[0]:
+def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, width) bytes, zero beyond each row's end, and the rows' lengths."""
+    offsets, data = binary_buffers(column)
+    size = np.diff(offsets)
+    out = np.zeros((len(size), int(size.max(initial=0))), np.uint8)
+    out[np.arange(out.shape[1]) < size[:, None]] = data[offsets[0] : offsets[-1]]
+    return out, size
+
+
+def common(rows: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of rows a and b."""
+    equal = np.hstack([rows[a] == rows[b], np.zeros((len(a), 1), bool)])
+    return np.minimum(equal.argmin(1), np.minimum(size[a], size[b]))
+
+
+def furthest(rows: DataFrame, buckets: int, keep: str) -> DataFrame:
+    """rows (key binary and more) with far: the longest common prefix of the row's
+    key with that of any other row, which is that with a sorted neighbour. Only
+    rows that meet the condition keep are returned."""
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    names = rows.columns
+    at_key = names.index("key")
+
+    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        h, k1, k2, at = (np.concatenate(p) for p in parts)
-        order = np.argsort(h)
-        h, k1, k2, at = h[order], k1[order], k2[order], at[order]
-        head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
-        other = (k1 != k1[head][run]) | (at != at[head][run])
-        more = np.zeros(len(head), bool)
-        more[run[other]] = True
-        k1, k2, at = (x[more[run]] for x in (k1, k2, at))
-        order = np.lexsort((at, k2, k1))
-        k1, k2, at = k1[order], k2[order], at[order]
-        new = np.flatnonzero(np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))) if len(k1) else np.zeros(0, int)
-        ends = np.append(new[1:], len(k1))
-        for lo in range(0, len(new), 20_000):
-            s = slice(lo, lo + 20_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k1[new[s]]), pa.array(k2[new[s]]), pa.array([np.unique(at[i:j]).tobytes() for i, j in zip(new[s], ends[s])], pa.binary())],
-                ["k1", "k2", "places"],
-            )
-
-    posted = docs.select("text", "k1", "k2").mapInArrow(post, "part int, h binary, k1 binary, k2 binary, at binary")
-    parts = posted.repartition(width, "part").mapInArrow(twice, "k1 long, k2 long, places binary")
-    return parts.groupBy("k1", "k2").agg(F.collect_list("places").alias("places"))
-
-
-SUFFIX = "lead binary, doc long, start int, off int, n int, bytes binary"
-MARK = "doc long, lo int, hi int"
-
-
-def _marks(doc, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(lo, np.int32)), pa.array(np.asarray(hi, np.int32))], ["doc", "lo", "hi"])
-
-
-def suffixes(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """texts: text, doc (its rank by id), places, by doc within partitions. Rows
-    of SUFFIX for anchors at the places: leading bytes, first string start, the
-    anchor's offset from it, number of strings, and all bytes they cover. Of equal
-    ones in a task only the earliest is sent whole; the others come without bytes,
-    as their strings certainly start elsewhere before."""
+        t = pa.Table.from_batches(held).combine_chunks()
+        key, size = matrix(t.column(at_key))
+        # Zeros beyond the end and then the length sort as the bytes do.
+        order, _ = multikey_sort(np.hstack([packed(key), size[:, None].astype(np.uint64)]))
+        near = common(key, size, order[:-1], order[1:])
+        far = np.zeros(len(order), np.int64)
+        far[order[:-1]] = near
+        far[order[1:]] = np.maximum(far[order[1:]], near)
+        side = np.zeros(len(order), np.int32)
+        side[order[0]] += 1
+        side[order[-1]] += 2
+        part = pa.array(np.full(len(order), TaskContext.get().partitionId(), np.int32))
+        out = t.append_column("far", pa.array(far.astype(np.int32))).append_column("part", part).append_column("side", pa.array(side))
+        yield from out.to_batches()
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = batch.column("far").to_numpy().astype(np.int64)
+            n = batch.num_rows
+            for other in ("before", "after"):
+                both = pa.concat_arrays([batch.column("key").cast(pa.large_binary()), batch.column(other).fill_null(b"").cast(pa.large_binary())])
+                key, size = matrix(both)
+                best = np.maximum(best, common(key, size, np.arange(n), np.arange(n) + n))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(best.astype(np.int32))], [*names, "far"])
+
+    ranged = rows.repartitionByRange(buckets, *[F.col(c) for c in ("key", *[c for c in names if c != "key"])])
+    done = ranged.mapInArrow(bucket, f"{schema}, far int, part int, side int").where(f"side > 0 or {keep}")
+    done = spill(done, "sorted")
+    # Two rows of every bucket, each beside its neighbour in the next one.
+    line = Window.orderBy("part", "side")
+    edges = done.where("side > 0").withColumns({"before": F.lag("key").over(line), "after": F.lead("key").over(line)})
+    fixed = edges.select(*names, "far", "before", "after").mapInArrow(across, f"{schema}, far int").where(keep)
+    return done.where(f"side = 0 and {keep}").select(*names, "far").union(fixed)
+
+
+def gathered(data: np.ndarray, at: np.ndarray, size: np.ndarray, step: int = 1) -> pa.Array:
+    """Binary column of size bytes of data from each place on (step 1) or, with
+    step -1, backwards from each place."""
+    cut = np.concatenate([[0], np.cumsum(size)])
+    k = np.arange(cut[-1]) - np.repeat(cut[:-1], size)
+    return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(data[np.repeat(at, size) + step * k].tobytes())])
+
+
+def suffixes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(key, back, doc, start) of the wanted blocks: bytes from the anchor to the
+    block's end, bytes before it in reverse, and the block's place."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            doc = batch.column(1).to_numpy()
             for b in _words.blocks(batch.column(0)):
-                at, lo, hi = anchors(b, length, gram)
-                wanted = np.concatenate(
-                    [np.zeros(0, np.int64)]
-                    + [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) + b.offsets[i] for i in range(b.n) for x in batch.column(2)[b.first + i].values]
-                )
-                keep = np.isin(at, wanted)
-                at, lo, hi = at[keep], lo[keep], hi[keep]
-                text = b.text_of(at)
-                own, start, end = doc[b.first + text], lo - b.offsets[text], hi + length
-                key = _words.mix(_words.Hasher(b.data).of(lo, end) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                again = np.zeros(len(at), bool)
-                for i, (k, d, s) in enumerate(zip(key.tolist(), own.tolist(), start.tolist())):
-                    first = seen.setdefault(k, (d, s))
-                    again[i] = (d, s) > first
-                whole = np.flatnonzero(~again)
-                size = np.where(again, 0, end - lo)
-                cut = np.concatenate([[0], np.cumsum(size)])
-                idx = np.arange(cut[-1]) + np.repeat(lo - cut[:-1], size)
-                lead = b.data[(at[whole][:, None] + np.arange(gram)).ravel()]
-                leads = np.concatenate([[0], np.cumsum(np.where(again, 0, gram))])
+                places = [unpack([x.as_py() for x in batch.column(2)[b.first + i].values], WANTED) for i in range(b.n)]
+                many = [len(p[0]) for p in places]
+                start, off, n = (np.concatenate([p[i] for p in places]).astype(np.int64) for i in range(3))
+                at = np.repeat(b.offsets[:-1], many) + start + off
                 yield pa.RecordBatch.from_arrays(
                     [
-                        _binary(leads, lead, again),
-                        pa.array(own),
+                        gathered(b.data, at, n - 1 - off + length).cast(pa.binary()),
+                        gathered(b.data, at - 1, off, -1).cast(pa.binary()),
+                        pa.array(np.repeat(batch.column(1).to_numpy()[b.first : b.first + b.n], many)),
                         pa.array(start.astype(np.int32)),
-                        pa.array((at - lo).astype(np.int32)),
-                        pa.array((hi - lo + 1).astype(np.int32)),
-                        _binary(cut, b.data[idx], again),
                     ],
-                    [x.split()[0] for x in SUFFIX.split(", ")],
+                    ["key", "back", "doc", "start"],
                 )
 
-    return texts.select("text", "doc", "places").mapInArrow(scan, SUFFIX)
-
-
-def _binary(offsets: np.ndarray, data: np.ndarray, null: np.ndarray) -> pa.Array:
-    valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(null), [valid, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-
-
-def resolve(t: pa.Table, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Marks of one bucket, which holds whole runs of equal leading bytes.
-
-    Sorted neighbours bound how far a suffix agrees with any other to the right,
-    and likewise, within its run, to the left. Only strings within both bounds can
-    start elsewhere too; these are compared by 64-bit hash, run by run."""
-    doc, start, off, n = (t.column(i).to_numpy().astype(np.int64) for i in range(1, 5))
-    raw = pa.concat_arrays(t.column(5).chunks) if t.column(5).num_chunks > 1 else t.column(5).chunk(0)
-    _, offsets, data = raw.buffers()
-    offsets = np.frombuffer(offsets, np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8)
-    anchor, ahead = offsets[:-1] + off, np.diff(offsets) - off
-    right = gather(data, anchor, ahead, length)
-    words = packed(right)
-    lead = packed(right[:, :gram])
-    order, _ = multikey_sort(words)
-    same = (lead[order][1:] == lead[order][:-1]).all(1)
-    run = np.empty(len(order), np.int64)
-    run[order] = np.concatenate([[0], np.cumsum(~same)])
-    far_right = nearest(right, ahead, order, same)
-    left = gather(data, anchor - 1, off, length - gram, -1)
-    order, _ = multikey_sort(np.hstack([run[:, None].astype(np.uint64), packed(left)]))
-    far_left = nearest(left, off, order, run[order][1:] == run[order][:-1])
-    k_lo, k_hi = np.maximum(off - far_left, 0), np.minimum(far_right - length + off, n - 1)
-    count = np.where(far_right > 0, np.maximum(k_hi - k_lo + 1, 0), 0)
-    live = np.flatnonzero(count)
-    hashes = _words.Hasher(data)
-    for some in _slices(live[np.argsort(run[live], kind="stable")], run, count):
-        row = np.repeat(some, count[some])
-        k = k_lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
-        h, place = hashes.of(offsets[row] + k, offsets[row] + k + length), start[row] + k
-        order = np.lexsort((place, doc[row], h))
-        first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-        source = order[np.repeat(first, np.diff(np.append(first, len(order))))]
-        late = order[(doc[row[order]] != doc[row[source]]) | (place[order] != place[source])]
-        late.sort()
-        yield from _runs(row[late], k[late], doc, start, length)
-
-
-def _slices(rows: np.ndarray, runs: np.ndarray, n: np.ndarray, limit: int = 1 << 18) -> Iterator[np.ndarray]:
-    """Whole runs, some limit of strings at a time."""
-    if not len(rows):
-        return
-    total = np.cumsum(n[rows])
-    ends = np.flatnonzero(np.append(runs[rows][1:] != runs[rows][:-1], True)) + 1
-    lo = 0
-    for e in ends:
-        if total[e - 1] - (total[lo - 1] if lo else 0) >= limit or e == len(rows):
-            yield rows[lo:e]
-            lo = e
+    places = wanted.groupBy(F.col("doc").alias("wdoc")).agg(F.collect_list("wanted").alias("places")).hint("shuffle_hash")
+    texts = docs.select("text", "doc").join(places, F.col("doc") == F.col("wdoc")).select("text", "doc", "places")
+    return texts.mapInArrow(scan, "key binary, back binary, doc long, start int")
 
 
-def _runs(row: np.ndarray, k: np.ndarray, doc, start, length: int) -> Iterator[pa.RecordBatch]:
-    if not len(row):
-        return
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (k[1:] != k[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(row)) - 1
-    r = row[first]
-    yield _marks(doc[r], start[r] + k[first], start[r] + k[last] + length)
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """docs: id, text. (rows without text: id, k1, k2, first, n_bytes; texts with
-    repeats: k1, k2, text, spans), where first is the smallest id with the text
-    and spans are the byte ranges to remove from the text's first row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select("id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
-    light = spill(docs.select("id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "rows")
-    found = spill(candidates(docs, length, gram), "candidates")
-    firsts = light.groupBy("k1", "k2").agg(F.min(F.struct("id")).alias("first"))
-    rows = light.join(firsts, ["k1", "k2"]).withColumn("first", F.col("first.id"))
-    known = found.join(firsts, ["k1", "k2"]).select("k1", "k2", "places", F.col("first.id").alias("first"))
-    ranks = row_numbers(numbered(known, F.col("first").asc_nulls_first(), F.col("k1"), F.col("k2"), name="ranks"), "doc")
-    of = ranks.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "first", "places", "doc")
-    texts = spill(
-        docs.join(of.hint("shuffle_hash"), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & F.col("id").eqNullSafe(F.col("first")))
-        .select("k1", "k2", "text", "doc", "places")
-        .sortWithinPartitions("doc"),
-        "texts",
-    )
-    sent = spill(suffixes(texts, length, gram), "suffixes")
-    same = sent.where("bytes is null").select("doc", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + length).alias("hi"))
-
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            yield from resolve(pa.Table.from_batches(held), length, gram)
+def strings_sent(rows: DataFrame, length: int, width: int) -> DataFrame:
+    """rows: ahead, back (bytes from the anchor on and, reversed, before it), doc,
+    start, lo and hi: offsets of the anchor in the strings that are sent."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Sender(width, length, np.zeros(0, np.uint64))
+        for whole in batches:
+            for some in range(0, whole.num_rows, 2000):
+                batch = whole.slice(some, 2000)
+                (ao, ad), (bo, bd) = binary_buffers(batch.column(0)), binary_buffers(batch.column(1))
+                off, size = np.diff(bo), np.diff(bo) + np.diff(ao)
+                cut = np.concatenate([[0], np.cumsum(size)])
+                row = np.repeat(np.arange(len(size)), size)
+                k = np.arange(cut[-1]) - cut[row]
+                front = k < off[row]
+                data = np.empty(cut[-1], np.uint8)
+                data[front] = bd[(bo[1:][row] - 1 - k)[front]]
+                data[~front] = ad[(ao[:-1][row] + k - off[row])[~front]]
+                doc, start, lo, hi = (batch.column(i).to_numpy().astype(np.int64) for i in range(2, 6))
+                many = hi - lo + 1
+                row = np.repeat(np.arange(len(many)), many)
+                first = off[row] - lo[row] - (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many))
+                at = cut[row] + first
+                g, key = (_words.Hasher(data, second=s).of(at, at + length) for s in (False, True))
+                yield from out.add(g, key, doc[row], start[row] + first, np.zeros(len(row)), np.ones(len(row), np.int64))
+        yield from out.flush()
+
+    return rows.select("ahead", "back", "doc", "start", "lo", "hi").mapInArrow(scan, "part int, recs binary, ranges binary")
+
+
+# Texts ---------------------------------------------------------------------------
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs (id, text) with doc, a number in the order of ids: the id itself where
+    ids are whole numbers and no id has two texts, else the rank of id and text."""
+    rows = docs.select("id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    if dict(rows.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint"):
+        k = F.xxhash64("text")
+        odd = rows.groupBy("id").agg(F.min(k).alias("a"), F.max(k).alias("b")).where("id is null or a <> b")
+        if odd.limit(1).count() == 0:
+            return rows.withColumn("doc", F.col("id").cast("long"))
+    keyed = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+    ids = keyed.select("id", "k1", "k2").distinct()
+    ranks = row_numbers(numbered(ids, F.col("id").asc_nulls_first(), F.col("k1"), F.col("k2"), name="ranks"), "doc")
+    ranks = ranks.select(F.col("id").alias("rid"), F.col("k1").alias("r1"), F.col("k2").alias("r2"), "doc").hint("shuffle_hash")
+    same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2"))
+    return spill(keyed.join(ranks, same).select("id", "text", "doc"), "texts")
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs: doc, text. (doc, ranges): packed byte ranges to remove."""
     width = shuffle_width(docs.sparkSession)
-    ranged = sent.where("bytes is not null").repartitionByRange(width, "lead")
-    marks = same.union(ranged.mapInArrow(bucket, MARK))
-    spans = marks.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
-    return rows, texts.drop("places").join(spans, "doc").drop("doc")
+    hot = hot_grams(docs, length, gram)
+    found = spill(meet(blocks_sent(docs, length, gram, hot, width), length, hot, width), "blocks")
+    rows = spill(suffixes(docs, found.where("wanted is not null").select("doc", "wanted"), length), "suffixes")
+    buckets = max(1, -(-rows.count() // BUCKET))
+    off, n = "length(back)", f"(length(ahead) - {length} + 1 + length(back))"
+    ahead = furthest(rows, buckets, f"far >= {gram} and far + length(back) >= {length}")
+    ahead = ahead.select(F.col("key").alias("ahead"), "back", "doc", "start", F.col("far").alias("reach"))
+    both = furthest(
+        ahead.withColumn("key", F.concat(F.substring("ahead", 1, gram), "back")), buckets, f"far >= {gram} and reach + far >= {length + gram}"
+    )
+    lo, hi = f"greatest({length} - reach, {off} - {n} + 1)", f"least({off}, far - {gram})"
+    live = both.withColumns({"lo": F.expr(lo).cast("int"), "hi": F.expr(hi).cast("int")}).where("lo <= hi")
+    strings = meet(strings_sent(live, length, width), length, np.zeros(0, np.uint64), width)
+    marks = found.select("doc", "marks").union(strings.select("doc", "marks")).where("marks is not null")
+    return marks.groupBy("doc").agg(F.collect_list("marks").alias("ranges"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, text, spans) to what is removed and the bytes left."""
+    """(id, text, ranges) to what is removed and the bytes left."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            data = np.frombuffer(batch.column(2)[i].as_py().encode(), np.uint8)
-            lo, hi = (np.asarray(batch.column(3)[i].values.field(f)) for f in ("lo", "hi"))
-            edge = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edge, lo, 1)
-            np.add.at(edge, hi, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            left = data[~gone].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[i : i + 1], batch.column(1)[i : i + 1], pa.array([int(gone.sum())]), pa.array([n_spans]), pa.array([left], pa.binary())],
-                ["k1", "k2", "n_removed", "n_spans", "kept"],
-            )
+        for some in range(0, batch.num_rows, 500):
+            ids, texts, ranges = batch.slice(some, 500).columns
+            size, removed, spans, sha, kept = [], [], [], [], []
+            for text, held in zip(texts, ranges):
+                raw = text.as_py().encode()
+                lo, hi = unpack([x.as_py() for x in held.values] if held.is_valid else [], MARKS)
+                _, lo, hi = merged(np.zeros(len(lo), np.int64), lo, hi)
+                cuts = [0, *np.stack([lo, hi], 1).ravel().tolist(), len(raw)]
+                left = b"".join(raw[i:j] for i, j in zip(cuts[::2], cuts[1::2])) if len(lo) else raw
+                size.append(len(raw))
+                removed.append(len(raw) - len(left))
+                spans.append(len(lo))
+                sha.append(hashlib.sha256(left).hexdigest())
+                kept.append(left if len(lo) else None)
+            cols = [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([ids, *cols], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs: id, text. One row per row: id, n_bytes, n_removed, n_spans,
     kept_sha256 and kept, the bytes left (null if nothing was removed)."""
-    rows, texts = repeats(docs, length, gram)
-    cut = texts.select("k1", "k2", "text", "spans").mapInArrow(_cut, "k1 long, k2 long, n_removed long, n_spans long, kept binary")
-    cut = cut.withColumn("kept_sha", F.sha2("kept", 256)).dropDuplicates(["k1", "k2"])
-    whole = ~F.col("id").eqNullSafe(F.col("first")) & (F.col("n_bytes") >= length)
-    pick = lambda all_gone, some, none: F.when(whole, all_gone).otherwise(F.coalesce(some, none))
-    return rows.join(cut, ["k1", "k2"], "left").select(
-        "id",
-        "n_bytes",
-        pick(F.col("n_bytes"), F.col("n_removed"), F.lit(0)).cast("long").alias("n_removed"),
-        pick(F.lit(1), F.col("n_spans"), F.lit(0)).cast("long").alias("n_spans"),
-        pick(F.lit(hashlib.sha256(b"").hexdigest()), F.col("kept_sha"), F.col("sha")).alias("kept_sha256"),
-        F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-    )
+    texts = placed(docs)
+    gone = repeats(texts, length, gram).select(F.col("doc").alias("gdoc"), "ranges").hint("shuffle_hash")
+    rows = texts.join(gone, F.col("doc") == F.col("gdoc"), "left").select("id", "text", "ranges")
+    kind = dict(texts.dtypes)["id"]
+    return rows.mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
