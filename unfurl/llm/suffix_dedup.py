@@ -47,6 +47,8 @@ from ._dist import numbered, row_numbers, shuffle_width, spill
 LENGTH, GRAM = 100, 24
 #: Blocks or strings that a task holds before it sends them on.
 FLUSH = 200_000
+#: Parts of a partition, which are met one after the other.
+SPLIT = 4
 #: Suffixes in a bucket, on average.
 BUCKET = 40_000
 #: One text in so many is looked at for very frequent grams; at most HOT of them.
@@ -162,10 +164,11 @@ def by_doc(doc: np.ndarray, cols: Cols, kinds: tuple, name: str) -> Iterator[pa.
 
 class Sender:
     """Gathers records, reduces them to the earliest of equal ones and deals them
-    out to width parts, the byte ranges of the others too."""
+    out to SPLIT parts of each of width partitions, the byte ranges of the others
+    too."""
 
     def __init__(self, width: int, length: int, hot: np.ndarray):
-        self.width, self.length, self.hot, self.held, self.n = np.uint64(width), length, hot, [], 0
+        self.parts, self.length, self.hot, self.held, self.n = width * SPLIT, length, hot, [], 0
 
     def add(self, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(cols[0]), FLUSH):
@@ -192,9 +195,9 @@ class Sender:
         )
 
     def dealt(self, key: np.ndarray, cols: Cols, kinds: tuple) -> dict[int, bytes]:
-        part = (key % self.width).astype(np.int64)
+        part = (key % np.uint64(self.parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(int(self.width) + 1))
+        cut = np.searchsorted(part[order], np.arange(self.parts + 1))
         return {int(p): pack([c[order[cut[p] : cut[p + 1]]] for c in cols], kinds) for p in np.flatnonzero(np.diff(cut))}
 
 
@@ -203,12 +206,19 @@ def meet(sent: DataFrame, length: int, hot: np.ndarray, width: int) -> DataFrame
     whose gram is in several different ones."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recs, ranges = [], []
+        last, recs, ranges = None, [], []
         for batch in batches:
-            recs += [x for x in batch.column(1).to_pylist() if x]
-            ranges += [x for x in batch.column(2).to_pylist() if x]
+            for i, part in enumerate(batch.column(0).to_pylist()):
+                if part != last:
+                    yield from of_part(recs, ranges)
+                    last, recs, ranges = part, [], []
+                for held, x in ((recs, batch.column(1)[i]), (ranges, batch.column(2)[i])):
+                    if x.is_valid:
+                        held.append(x.as_py())
+        yield from of_part(recs, ranges)
+
+    def of_part(recs: list[bytes], ranges: list[bytes]) -> Iterator[pa.RecordBatch]:
         cols, head, late = earliest(unpack(recs, KINDS))
-        del recs
         known = unpack(ranges, (np.int64, *MARKS))
         lo = cols[3][late].astype(np.int64)
         doc, *marks = merged(*[np.concatenate(p) for p in zip(known, (cols[2][late], lo, lo + cols[5][late] - 1 + length))])
@@ -223,7 +233,8 @@ def meet(sent: DataFrame, length: int, hot: np.ndarray, width: int) -> DataFrame
         order = np.lexsort((start, doc))
         yield from by_doc(doc[order], [c[order] for c in (start, off, n)], WANTED, "wanted")
 
-    return sent.repartition(width, "part").mapInArrow(scan, MET)
+    parts = sent.repartitionById(width, (F.col("part") / SPLIT).cast("int")).sortWithinPartitions("part")
+    return parts.mapInArrow(scan, MET)
 
 
 def blocks_sent(docs: DataFrame, length: int, gram: int, hot: np.ndarray, width: int) -> DataFrame:
