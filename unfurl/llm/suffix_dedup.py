@@ -48,7 +48,7 @@ LENGTH, GRAM = 100, 24
 #: Blocks or strings that a task holds before it sends them on.
 FLUSH = 200_000
 #: Parts of a partition, which are met one after the other.
-SPLIT = 4
+SPLIT = 16
 #: Suffixes in a bucket, on average.
 BUCKET = 40_000
 #: One text in so many is looked at for very frequent grams; at most HOT of them.
@@ -335,9 +335,10 @@ def common(rows: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) ->
 
 
 def furthest(rows: DataFrame, buckets: int, keep: str) -> DataFrame:
-    """rows (key binary and more) with far: the longest common prefix of the row's
-    key with that of any other row, which is that with a sorted neighbour. Only
-    rows that meet the condition keep are returned."""
+    """rows (key binary, doc, start and more) with far: the longest common prefix
+    of the row's key with that of any other row, which is that with a sorted
+    neighbour. Only rows that meet the condition keep are returned. doc and start
+    make the order of rows, and so a bucket's first and last one, unique."""
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
     names = rows.columns
     at_key = names.index("key")
@@ -349,7 +350,8 @@ def furthest(rows: DataFrame, buckets: int, keep: str) -> DataFrame:
         t = pa.Table.from_batches(held).combine_chunks()
         key, size = matrix(t.column(at_key))
         # Zeros beyond the end and then the length sort as the bytes do.
-        order, _ = multikey_sort(np.hstack([packed(key), size[:, None].astype(np.uint64)]))
+        ties = np.stack([size, t.column("doc").to_numpy(), t.column("start").to_numpy()], 1).astype(np.uint64)
+        order, _ = multikey_sort(np.hstack([packed(key), ties]))
         near = common(key, size, order[:-1], order[1:])
         far = np.zeros(len(order), np.int64)
         far[order[:-1]] = near
@@ -373,7 +375,6 @@ def furthest(rows: DataFrame, buckets: int, keep: str) -> DataFrame:
 
     ranged = rows.repartitionByRange(buckets, *[F.col(c) for c in ("key", *[c for c in names if c != "key"])])
     done = ranged.mapInArrow(bucket, f"{schema}, far int, part int, side int").where(f"side > 0 or {keep}")
-    done = spill(done, "sorted")
     # Two rows of every bucket, each beside its neighbour in the next one.
     line = Window.orderBy("part", "side")
     edges = done.where("side > 0").withColumns({"before": F.lag("key").over(line), "after": F.lead("key").over(line)})
@@ -467,11 +468,15 @@ def placed(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs: doc, text. (doc, ranges): packed byte ranges to remove."""
-    width = shuffle_width(docs.sparkSession)
+    # Parts are met one by one, so a few large partitions do, and write few files.
+    width = max(docs.sparkSession.sparkContext.defaultParallelism, shuffle_width(docs.sparkSession) // 4)
     hot = hot_grams(docs, length, gram)
     found = spill(meet(blocks_sent(docs, length, gram, hot, width), length, hot, width), "blocks")
-    rows = spill(suffixes(docs, found.where("wanted is not null").select("doc", "wanted"), length), "suffixes")
-    buckets = max(1, -(-rows.count() // BUCKET))
+    wanted = found.where("wanted is not null").select("doc", "wanted")
+    rows = suffixes(docs, wanted, length)
+    size = sum(np.dtype(k).itemsize for k in WANTED)
+    many = wanted.agg(F.sum(F.octet_length("wanted"))).first()[0] or 0
+    buckets = max(1, -(-many // (size * BUCKET)))
     off, n = "length(back)", f"(length(ahead) - {length} + 1 + length(back))"
     ahead = furthest(rows, buckets, f"far >= {gram} and far + length(back) >= {length}")
     ahead = ahead.select(F.col("key").alias("ahead"), "back", "doc", "start", F.col("far").alias("reach"))
