@@ -19,7 +19,9 @@ import brute  # noqa: E402
 
 from unfurl.llm import _dist, _words, chat, decontaminate, lm_score, mixing, near_dup, pii, quality, sharding, suffix_dedup, url_filters  # noqa: E402
 
-CLASH = ["size", "sid", "n_words", "shard", "target", "start", "key", "n", "id2"]
+CLASH = ["size", "sid", "n_words", "shard", "target", "start", "key", "n", "id2", "_tie", "tie", "_row", "_pos", "_part", "_p", "_mid", "_k1", "_k2", "_i"]
+CLASH += ["_copies", "_rows", "_h", "_s", "_start", "_cum", "_used", "_take", "_qp", "_qi", "_pass", "_finish", "_base", "terms", "every", "rid", "hit", "k1"]
+CLASH += ["k", "w", "id", "root", "least", "rep", "label", "segs", "says", "host", "in_0", "in_1", "c_0", "ends", "places", "doc", "_unf_k", "rank", "bare", "sha"]
 
 
 def odd(df):
@@ -154,6 +156,13 @@ def test_pii_base(spark):
     assert pii.sanitise(df.limit(0)).count() == 0
 
 
+def test_pii_long_texts(spark):
+    texts = [" ".join(f"a{i}@x{i}.org é1" for i in range(n)) for n in (255, 256, 257, 40_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.sanitise(df).select("doc_id", pii.listed(F.col("found")).alias("found"), "sanitised").collect():
+        assert r.found == brute.pii(texts[r.doc_id]) and r.sanitised == " ".join(["[EMAIL] é1"] * (texts[r.doc_id].count("@")))
+
+
 def test_pii_random(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice(["1", "23", ".", "-", " ", "+", "@", "a", "b.c", "x@y.z", "4111111111111111", "(", "é"]) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
@@ -482,7 +491,7 @@ def test_decontamination(spark, corpus, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for limit in (10**6, 3):
         out = decontaminate.contamination(odd(df), bench) if limit > 3 else None
-        m = decontaminate.matches(decontaminate.keyed(df.select("text")), bench, block=limit)
+        m = decontaminate.matches(decontaminate.index(df.select("text"), "text"), bench, block=limit)
         if out is None:
             assert m.count() == first
             continue
@@ -497,9 +506,21 @@ def test_decontamination(spark, corpus, empty):
 
 
 def test_proximity(spark):
-    docs = decontaminate.keyed(spark.createDataFrame([("five four x three two one",), ("one two three four five",), ("one two",)], "text string"))
-    bench = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
-    assert decontaminate.matches(docs, bench).count() == 1 and decontaminate.matches(docs, bench, slack=2).select("_k1").distinct().count() == 2
+    rng = random.Random(7)
+    texts = ["five four x three two one", "one two three four five", "one two"] + [" ".join(rng.choices("one two three four five x y".split(), k=rng.randrange(30))) for _ in range(80)]
+    docs = decontaminate.index(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string"), "text")
+    bench = spark.createDataFrame([(1, "one two three four five"), (2, "x x one")], "item_id long, text string")
+    ids = {r.rid: r.id for r in docs.collect()}
+    assert {ids[r.rid] for r in decontaminate.matches(docs, bench).collect() if r.item_id == 1} >= {1}
+    for slack in (0, 2):
+        want = set()
+        for i, t in enumerate(texts):
+            w = t.split()
+            for item, words in ((1, "one two three four five".split()), (2, "x x one".split())):
+                size = len(words) + slack
+                want |= {(i, item, a, size) for a in range(-size, len(w)) if set(words) <= set(w[max(a, 0) : max(a + size, 0)])}
+        got = [(ids[r.rid], r.item_id, r.start, r.len) for r in decontaminate.matches(docs, bench, slack=slack).collect()]
+        assert set(got) == want and len(want) > 10
 
 
 # Shared pieces ---------------------------------------------------------------------

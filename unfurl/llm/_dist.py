@@ -12,14 +12,27 @@ from pyspark.sql import functions as F
 POS_BITS = 33
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns named in_0, in_1 and so on, and their old names, so that
+    no column of the input can clash with one of an operator's own."""
+    return df.toDF(*[f"in_{i}" for i in range(len(df.columns))]), df.columns
+
+
+def shown(names: list[str]) -> list[Column]:
+    """The columns that hidden() renamed, with their old names."""
+    return [F.col(f"in_{i}").alias(n) for i, n in enumerate(names)]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder (spark.checkpoint.dir); one of our own
-    only where the session names none, as in tests."""
+    only where a local session names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="unfurl-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -9,6 +9,7 @@ weight and stop at repeat_cap times the source's size, the excess being reshared
 DataFrame operations only. Nulls: null text has no tokens; the null source is a
 source of its own, last in order. Documents without tokens are never taken. Rows
 equal in all columns are interchangeable. An empty table gives an empty result.
+Input columns named like an output are replaced, any other name is free.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._dist import numbered, running_sum, spill
+from ._dist import hidden, numbered, running_sum, shown, spill
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,11 +47,11 @@ def mix(
 ) -> DataFrame:
     """df has id, source, size and any other columns (kept). Adds source_size,
     target and taken (tokens of this row in the mix, repeats counted)."""
-    kept = [c for c in df.columns if c not in ("source_size", "target", "taken")]
-    shuffle = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in kept])
-    queue = numbered(
-        df.select(*kept).withColumn("_h", shuffle), F.col("source").asc_nulls_last(), F.col("_h"), F.rand(seed), name="queue"
-    )
+    df, names = hidden(df.drop("source_size", "target", "taken"))
+    kept = df.columns
+    rows = df.withColumns({"source": F.col(kept[names.index("source")]), "size": F.col(kept[names.index("size")])})
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), *kept))
+    queue = numbered(rows, F.col("source").asc_nulls_last(), F.col("_h"), F.rand(seed), name="queue")
     sizes = spill(queue.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     total = sizes.agg(F.sum("source_size")).first()[0] or 0
     budget = budget_share * total
@@ -64,16 +65,16 @@ def mix(
         F.col("target") > 0, (F.col("_pass") * F.col("source_size") + F.col("_cum") - F.col("_start")) / F.col("target")
     ).otherwise(F.lit(0.0))
     entries = passes.select(
-        *kept, "source_size", "target", finish.alias("_finish"), F.col("_part").alias("_qp"), F.col("_pos").alias("_qi"), "_pass"
+        *kept, "size", "source_size", "target", finish.alias("_finish"), F.col("_part").alias("_qp"), F.col("_pos").alias("_qi"), "_pass"
     )
     queued = numbered(entries, F.col("_finish"), F.col("_qp"), F.col("_qi"), F.col("_pass"), name="finish")
     served = running_sum(queued, "size", "_used").withColumn(
         "_take", F.when(F.col("_used") <= F.lit(budget), F.col("size")).otherwise(F.lit(0))
     )
     out = served.groupBy("_qp", "_qi").agg(
-        *[F.first(f"`{c}`").alias(c) for c in [*kept, "source_size", "target"]], F.sum("_take").cast("long").alias("taken")
+        *[F.first(c).alias(c) for c in [*kept, "source_size", "target"]], F.sum("_take").cast("long").alias("taken")
     )
-    return out.drop("_qp", "_qi")
+    return out.select(*shown(names), "source_size", "target", "taken")
 
 
 def word_count(text):
@@ -82,16 +83,18 @@ def word_count(text):
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget_share: float = 1.5, repeat_cap: int = 2, seed: int = 0) -> DataFrame:
     """docs (source, text and more), each row as often as the mix takes it."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumns({"_k1": F.xxhash64(*cols), "_k2": F.xxhash64(F.lit(1), *cols)})
-    slim = rows.select("_k1", "_k2", "source", word_count(F.col("text")).alias("size"))
+    rows, names = hidden(docs)
+    cols = rows.columns
+    source, text = (F.col(cols[names.index(c)]) for c in ("source", "text"))
+    rows = rows.withColumns({"_k1": F.xxhash64(*cols), "_k2": F.xxhash64(F.lit(1), *cols)})
+    slim = rows.select("_k1", "_k2", source.alias("source"), word_count(text).alias("size"))
     served = mix(slim, weights, budget_share, repeat_cap, seed).where("taken > 0")
     plan = spill(
         served.groupBy("_k1", "_k2").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies"
     )
     if plan.where("_rows > 1").limit(1).count():  # equal rows share their copies
         rows = rows.dropDuplicates(["_k1", "_k2"])
-    return rows.join(plan.select("_k1", "_k2", "_copies"), ["_k1", "_k2"]).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
+    return rows.join(plan.select("_k1", "_k2", "_copies"), ["_k1", "_k2"]).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*shown(names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

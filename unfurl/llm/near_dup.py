@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words
-from ._dist import components, shuffle_width, spill
+from ._dist import components, hidden, shown, shuffle_width, spill
 
 SHINGLE, NUM, DEN = 5, 75, 100
 SKETCH_BITS, CHUNK_BITS = 22, 17
@@ -344,9 +344,11 @@ def cluster(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and more) without text, with n_shingles, component_id,
     the smallest doc_id reachable by links, itself included, and _k and keeper:
     the text's hash and whether the row is the one of its component that stays
-    (with all rows equal to it). Input columns named like these or root, least,
-    rep and sid are replaced."""
-    docs = docs.drop("sid", "n_shingles", "component_id", "keeper", "root", "least", "rep", "_k")
+    (with all rows equal to it). Input columns named like these are replaced, any
+    other name is free."""
+    docs, names = hidden(docs.drop("n_shingles", "component_id", "_k", "keeper"))
+    rest = {f"in_{i}": n for i, n in enumerate(names) if n not in ("doc_id", "text")}
+    docs = docs.select(*[F.col(f"in_{names.index(n)}").alias(n) for n in ("doc_id", "text")], *rest)
     counts, total = frequent_tokens(docs)
     classes = token_classes(counts, total)
     rows = spill(members(docs.withColumn("_k", F.xxhash64("text"))), "members")
@@ -376,21 +378,23 @@ def cluster(docs: DataFrame) -> DataFrame:
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "_k")).alias("rep"))
     out = rooted.join(least, "root", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     stays = F.col("root").isNull() | (F.col("rep").eqNullSafe(F.struct("doc_id", "_k")))
-    return out.withColumn("keeper", stays).drop("root", "least", "sid", "rep")
+    return out.withColumn("keeper", stays).select("doc_id", *[F.col(c).alias(n) for c, n in rest.items()], "_k", "n_shingles", "component_id", "keeper")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, its smallest; rows with an empty set
     all stay."""
     marks = spill(cluster(docs.select("doc_id", "text")).where("keeper and n_shingles > 0").select("doc_id", "_k"), "keepers")
-    one = marks.distinct().select(F.col("doc_id").alias("_unf_id"), F.col("_k").alias("_unf_w"))
-    rows = docs.withColumn("_unf_k", F.xxhash64("text"))
-    same = (F.col("_unf_k") == F.col("_unf_w")) & F.col("doc_id").eqNullSafe(F.col("_unf_id"))
-    kept = rows.join(one.hint("shuffle_hash"), same).drop("_unf_id", "_unf_w")
+    one = marks.distinct().select(F.col("doc_id").alias("id"), F.col("_k").alias("w"))
+    rows, names = hidden(docs)
+    doc, text = (rows.columns[names.index(c)] for c in ("doc_id", "text"))
+    rows = rows.withColumn("k", F.xxhash64(text))
+    same = (F.col("k") == F.col("w")) & F.col(doc).eqNullSafe(F.col("id"))
+    kept = rows.join(one.hint("shuffle_hash"), same).drop("id", "w")
     if marks.count() > marks.distinct().count():  # repeated rows: one stays
-        kept = kept.dropDuplicates(["doc_id", "_unf_k"])
-    empty = rows.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return kept.union(empty).select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.dropDuplicates([doc, "k"])
+    empty = rows.where(~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return kept.union(empty).select(*shown(names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

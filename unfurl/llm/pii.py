@@ -15,7 +15,7 @@ patterns are written so that no match backtracks or is retried within a run of
 characters, so very long texts cost linear time. Texts are keyed by two 64-bit
 hashes and equal texts count once. Null texts are empty; every row gets a row;
 an empty table gives an empty result; input columns named like an output are
-replaced.
+replaced, any other name is free.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._dist import spill
+from ._dist import hidden, shown, spill
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -41,6 +41,8 @@ PATTERNS = {
 TERM = r"[\p{L}\p{N}]{3,}+"
 HIT = "array<struct<start:int,end:int,value:string>>"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
+#: Items folded together, and characters of a text's pieces.
+CHUNK, PIECE = 256, 1024
 
 
 @dataclass(frozen=True)
@@ -50,21 +52,68 @@ class Disclosure:
     min_entity_texts: int = 3
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def folded(items: Column, first: Column, step, kind: str) -> Column:
+    """Array of what step adds, item by item: step(at, item) gives the next at and
+    an array of kind to append. Items are folded some hundred at a time and the
+    results joined once, as appending to one long array takes quadratic time."""
+    none = F.array().cast(kind)
+
+    def chunks(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda i: F.slice(x, i * CHUNK + 1, F.lit(CHUNK)))
+
+    def one(acc: Column, x: Column) -> Column:
+        at, out = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], out).alias("out"))
+
+    def chunk(acc: Column, some: Column) -> Column:
+        before = F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("out"))
+        return F.concat(acc, F.array(F.aggregate(some, before, one)))
+
+    zero = F.array(F.struct(first.alias("at"), none.alias("out")))
+    whole = lambda x: F.flatten(F.transform(F.aggregate(chunks(x), zero, chunk), lambda c: c["out"]))
+    return bound(items, lambda x: F.when(F.size(x) > 0, whole(x)).otherwise(none))
+
+
 def located(text: Column, pattern: str, wanted: Column | None = None) -> Column:
     """HIT of every match; only of those whose term_hash is wanted, if given."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = (acc["at"] + F.length(x["piece"])).cast("int")
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = (at + F.length(x["piece"])).cast("int")
         end = (start + F.length(x["hit"])).cast("int")
-        out = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))))
+        out = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))
         if wanted is not None:
-            out = F.when(F.array_contains(wanted, term_hash(x["hit"])), out).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+            out = F.when(F.array_contains(wanted, term_hash(x["hit"])), out).otherwise(F.array().cast(HIT))
+        return end, out
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(HIT).alias("out"))
-    return F.when(F.size(hits) > 0, F.aggregate(both, zero, add)["out"]).otherwise(F.array().cast(HIT))
+    return folded(both, F.lit(0), step, HIT)
+
+
+def between(pieces: Column, lo: Column, hi: Column) -> Column:
+    """Characters lo to hi of a text cut into pieces, as counting characters from
+    the text's start each time is quadratic."""
+    first, last = F.floor(lo / PIECE).cast("int"), F.floor((hi - 1) / PIECE).cast("int")
+    some = F.concat_ws("", F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.get(pieces, i)))
+    return F.when(hi > lo, F.substring(some, (lo - first * PIECE + 1).cast("int"), (hi - lo).cast("int"))).otherwise(F.lit(""))
+
+
+def replaced(text: Column, gaps: Column) -> Column:
+    """text with the places that gaps (start, end, value) name replaced by value;
+    gaps come in order and do not overlap."""
+
+    def whole(g: Column, pieces: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(g, i - 1)["end"]).otherwise(F.lit(0))
+        parts = F.transform(g, lambda x, i: F.concat(between(pieces, before(i), x["start"]), x["value"]))
+        return F.concat(F.concat_ws("", parts), between(pieces, before(F.size(g)), F.length(text)))
+
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return bound(gaps, lambda g: F.when(F.size(g) > 0, bound(cut, lambda pieces: whole(g, pieces))).otherwise(text))
 
 
 def term_hash(word: Column) -> Column:
@@ -127,14 +176,12 @@ def detect(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
 
 def masked(text: Column, spans: Column) -> Column:
     """text with blanks for all characters in spans (by start)."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def add(acc: Column, s: Column) -> Column:
-        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
-        blank = F.repeat(F.lit(" "), end - start)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), blank).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        start, end = F.greatest(at, s["start"]), F.greatest(at, s["end"])
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), F.repeat(F.lit(" "), end - start).alias("value")))
 
-    return F.aggregate(spans, zero, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(2147483647))))
+    return replaced(text, folded(spans, F.lit(0), step, HIT))
 
 
 def disclosing_terms(bare: DataFrame, others: DataFrame, cfg: Disclosure) -> DataFrame:
@@ -165,6 +212,8 @@ def disclosing_terms(bare: DataFrame, others: DataFrame, cfg: Disclosure) -> Dat
 def sanitise(df: DataFrame, text: str = "text", cfg: Disclosure = Disclosure()) -> DataFrame:
     """df with found (base matches), spans (base and disclosing terms) and the
     sanitised text."""
+    df, names = hidden(df.drop("found", "spans", "sanitised"))
+    text = f"in_{names.index(text)}"
     found, others = detect(df, text)
     found = spill(found, "found")
     bare = spill(found.select("_k1", "_k2", "found", masked(F.col("text"), F.col("found")).alias("bare")), "bare")
@@ -175,25 +224,23 @@ def sanitise(df: DataFrame, text: str = "text", cfg: Disclosure = Disclosure())
     )
     every = found.select("_k1", "_k2", F.col("found").alias("_base")).join(terms, ["_k1", "_k2"], "left")
     every = every.select("_k1", "_k2", "_base", F.array_sort(F.concat("_base", added.cast(SPAN))).alias("spans"))
-    rows = keyed(df.drop("found", "spans", "sanitised"), text).join(every, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    rows = keyed(df, text).join(every, ["_k1", "_k2"], "left")
     none = F.array().cast(SPAN)
-    rows = rows.withColumns({"found": F.coalesce("_base", none), "spans": F.coalesce("spans", none)}).drop("_base")
-    return rows.withColumn("sanitised", rewritten(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col("spans")))
+    rows = rows.withColumns({"found": F.coalesce("_base", none), "spans": F.coalesce("spans", none)})
+    rows = rows.withColumn("sanitised", rewritten(F.coalesce(F.col(text), F.lit("")), F.col("spans")))
+    return rows.select(*shown(names), "found", "spans", "sanitised")
 
 
 def rewritten(text: Column, spans: Column) -> Column:
     """text with every span replaced; of overlapping spans the first holds."""
     word = lambda s: F.when(s["value"].rlike("[0-9]"), F.lit("[NUMBER]")).when(s["value"].rlike(r"^\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit(""))
     label = lambda s: F.when(s["kind"] == "term", word(s)).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def add(acc: Column, s: Column) -> Column:
-        more = F.struct(
-            s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label(s)).alias("out")
-        )
-        return F.when(s["start"] >= acc["at"], more).otherwise(acc)
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        own = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("value")))
+        return F.greatest(at, F.when(s["start"] >= at, s["end"]).otherwise(at)), F.when(s["start"] >= at, own).otherwise(F.array().cast(HIT))
 
-    return F.aggregate(spans, zero, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(2147483647))))
+    return replaced(text, folded(spans, F.lit(0), step, HIT))
 
 
 def listed(spans: Column) -> Column:

@@ -7,7 +7,8 @@ sizes differ by at most one and any row's place is computable from its number.
 
 Nulls and ties: null keys sort first, null text has no bytes; equal rows take
 neighbouring numbers and are interchangeable; an empty table gives an empty
-result; columns of the input named like an output are replaced.
+result; columns of the input named shard or slot are replaced, any other name is
+free.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._dist import numbered, row_numbers
+from ._dist import hidden, numbered, row_numbers, shown
 
 ROUNDS = 6
 
@@ -56,10 +57,9 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int, seed: int = 0) -> Da
     """df with shard int and slot long. keys order the rows; rows equal in all
     columns are interchangeable, so the tie-break by a hash of the rest of the
     row makes reruns agree."""
-    df = df.drop("shard", "slot")
-    rest = [F.col(f"`{c}`") for c in df.columns]
-    tie = df.withColumn("_tie", F.xxhash64(*rest) if rest else F.lit(0))
-    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col("_tie"), F.rand(seed)]
+    df, names = hidden(df.drop("shard", "slot"))
+    tie = df.withColumn("tie", F.xxhash64(*df.columns) if names else F.lit(0))
+    order = [F.col(f"in_{names.index(k)}").asc_nulls_first() for k in keys] + [F.col("tie"), F.rand(seed)]
     rows = row_numbers(numbered(tie, *order, name="rows"))
     n = rows.agg(F.max("_row")).first()[0]
     n = 0 if n is None else n + 1
@@ -68,9 +68,9 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int, seed: int = 0) -> Da
     def position(row: pd.Series) -> pd.Series:
         return pd.Series(permute(row.to_numpy(), n, seed))
 
-    return rows.withColumn("_p", position("_row")).select(
-        *rest, (F.col("_p") % shards).cast("int").alias("shard"), F.expr(f"_p div {int(shards)}").alias("slot")
-    )
+    rows = rows.withColumn("_p", position("_row"))
+    rows = rows.withColumns({"shard": (F.col("_p") % shards).cast("int"), "slot": F.expr(f"_p div {int(shards)}")})
+    return rows.select(*shown(names), "shard", "slot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
