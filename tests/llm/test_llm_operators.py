@@ -427,6 +427,9 @@ def test_quality_common_words_are_exact(spark, corpus):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     one = quality.references(df.repartition(1), rules)
     assert kept == Counter((nul(r.doc_id), r.kept) for r in quality.measure(df, one).collect())
+    joined = quality.references(df, quality.Rules(max_languages=1))
+    assert joined.tail.count() == 2 and kept == Counter((nul(r.doc_id), r.kept) for r in quality.measure(df, joined).collect())
+    one, many = one.head, many.head
     for lang in ("en", "fr", "de", None):
         count = Counter(w for _, t, x, _ in rows if lang in (None, x) for w in brute.words(t, True))
         common = sorted((n for n in count.values() if n >= rules.word_share * sum(count.values())), reverse=True)

@@ -5,12 +5,13 @@ Successive prefixes are rendered and consecutive outputs compared: what a turn
 appends is its span, and a renderer whose output for a longer prefix does not
 start with its output for the shorter one rewrites history, which is reported.
 Where a text lies inside its span is found by rendering the turn once with a
-sentinel. A renderer that declares itself a concatenation of turns is compared
-on windows of turns instead of all prefixes, so long conversations stay linear.
+sentinel. For a renderer that declares itself a concatenation of turns, window
+compares windows of turns instead of all prefixes, so that conversations of very
+many turns stay linear; the registered query renders every whole prefix.
 
 Order inside a conversation: turn (null first), then role and text, so ties have
-a defined order. Null texts and roles are empty. Repeated rows are kept. An
-empty table gives an empty result.
+a defined order. Null texts and roles are empty. Repeated rows are kept. Other
+columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -146,5 +147,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(FIXTURE, "conv_id long, turn long, role string, text string")
     read = F.pandas_udf(digests, "turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    out = format_conversations(conv.unionByName(extra), window=2)
-    return out.withColumn("d", read("formatted", "loss_spans")).select("conv_id", "n_turns", "d.*")
+    out = format_conversations(conv.unionByName(extra))
+    return out.withColumn("d", read("formatted", "loss_spans")).select("conv_id", "n_turns", "d.*", "rewrites_history")

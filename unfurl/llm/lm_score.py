@@ -162,15 +162,16 @@ def train_trie(edges: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trie:
 
     def matrix(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nodes, inv = np.unique(keys >> 8, return_inverse=True)
-        m = np.zeros((len(nodes), 256), np.float32)
+        # Single precision only while it holds every count and sum exactly.
+        m = np.zeros((len(nodes), 256), np.float32 if n.sum() < 2**24 else np.float64)
         np.add.at(m, (inv, keys & 0xFF), n)
         return nodes, m
 
-    k2, n2 = low["key"].to_numpy(np.int64), low["n"].to_numpy(np.float32)
+    k2, n2 = low["key"].to_numpy(np.int64), low["n"].to_numpy(np.float64)
     c2, m2 = matrix(k2, n2)
     c1, m1 = matrix(k2 & 0xFFFF, n2)
     m0 = m1.sum(0, keepdims=True)
-    c3, m3 = matrix(kept["key"].to_numpy(np.int64), kept["n"].to_numpy(np.float32))
+    c3, m3 = matrix(kept["key"].to_numpy(np.int64), kept["n"].to_numpy(np.float64))
     parts = [distributions([m0])]
     of2 = {int(c): i for i, c in enumerate(c2)}
     of1 = {int(c): i for i, c in enumerate(c1)}
@@ -190,7 +191,7 @@ def far_edges(edges: DataFrame, asked: DataFrame, least: int) -> DataFrame:
     was seen, but less than least times: what distributions() gives its node."""
     spark = edges.sparkSession
     low = edges.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).collect()
-    m1 = np.zeros((256, 256), np.float32)
+    m1 = np.zeros((256, 256))
     for r in low:
         m1[r["key"] >> 8, r["key"] & 0xFF] = r["n"]
     m0 = m1.sum(0, keepdims=True)
@@ -210,7 +211,7 @@ def far_edges(edges: DataFrame, asked: DataFrame, least: int) -> DataFrame:
     rows = wanted.join(three, "ctx").join(two, "ctx2").select("ctx", "keys", "s3", "n3", "s2", "n2")
 
     def matrix(s: pa.Array, n: pa.Array) -> np.ndarray:
-        m = np.zeros((len(s), 256), np.float32)
+        m = np.zeros((len(s), 256))
         row = np.repeat(np.arange(len(s)), np.diff(s.offsets.to_numpy()))
         m[row, s.flatten().to_numpy(zero_copy_only=False)] = n.flatten().to_numpy(zero_copy_only=False)
         return m

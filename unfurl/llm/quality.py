@@ -4,14 +4,15 @@ Every document's histogram over character classes and over its language's
 common words is compared with the language's reference by Jensen-Shannon
 distance (base 2, so between 0 and 1); documents too short for a histogram to
 mean anything pass that test. References are sums over all documents of a
-language; a language with under min_share of all documents uses the reference of
-the whole corpus. A language's common words are those with at least word_share
+language, however rare it is; the most frequent languages' are held by the driver,
+the others' joined. A language's common words are those with at least word_share
 of its words, by exact counts of all words over the whole table: only these come
 to the driver, and how rows fall into batches and partitions changes nothing.
 
 Beside it stand exact rules on words, symbols, repeated lines and repeated
 five-word windows. Null and empty texts have no words and fail the base rule;
-null languages use the corpus reference; every row gets a row.
+null and empty languages use the corpus reference; every row gets a row; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._dist import spill
+from ._dist import hidden, shown, spill
 
 CLASSES = 9
 _CLASS = np.full(256, 7, np.int64)  # other ASCII and control
@@ -52,7 +53,7 @@ class Rules:
     short_class_distance: float = 0.45
     min_words_for_words: int = 50
     word_share: float = 0.004
-    min_share: float = 0.001
+    max_languages: int = 1000  # held by the driver; a performance parameter
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -99,70 +100,89 @@ def gather(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(scan, "lang string, kind string, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
-def references(docs: DataFrame, rules: Rules) -> dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """lang -> (class histogram, common words sorted, their counts and, last, all
-    other words). At most 1 / min_share languages with 1 / word_share words each
-    come to the driver; key None is the whole corpus."""
-    sizes = docs.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    known = {r[0] for r in sizes.where(F.col("n") >= rules.min_share * total).select("lang").collect()} - {""}
-    names = sorted(known)
-    cast = F.when(F.col("lang").isin(names), F.col("lang")).otherwise(F.lit("")) if names else F.lit("")
-    counts = spill(gather(docs.select("text", cast.alias("lang"))), "counts")
-    by_lang: dict[str | None, np.ndarray] = {}
-    for r in counts.where("kind = 'class'").collect():
-        by_lang.setdefault(r["lang"], np.zeros(CLASSES))[r["key"]] = r["n"]
-    by_lang[None] = sum(by_lang.values()) if by_lang else np.zeros(CLASSES)
-    words = counts.where("kind = 'word'").select("lang", "key", "n")
-    sums = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    totals = {r["lang"]: r["total"] for r in sums.collect()}
-    totals[None] = sum(totals.values())
-    own = words.join(F.broadcast(sums), "lang").where(F.col("n") >= rules.word_share * F.col("total")).select("lang", "key", "n")
-    every = words.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= rules.word_share * totals[None])
-    common: dict[str | None, list] = {}
-    for r in own.union(every.select(F.lit(None).cast("string").alias("lang"), "key", "n")).collect():
-        common.setdefault(r["lang"], []).append((r["key"], r["n"]))
-    out = {}
-    for lang, hist in by_lang.items():
-        if lang == "":
-            continue
-        found = np.array(common.get(lang, []), np.int64).reshape(-1, 2)
-        keys, n = found[:, 0].copy().view(np.uint64), found[:, 1]
-        order = np.argsort(keys)
-        out[lang] = (hist, keys[order], np.append(n[order], totals.get(lang, 0) - n.sum()).astype(float))
-    return out
+@dataclass
+class References:
+    """By language: class histogram, common words sorted, and their counts with, at
+    the end, that of all other words. head holds the most frequent languages and,
+    under None, the whole corpus; tail is a table of all other languages, if any."""
+
+    head: dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    tail: DataFrame | None
+
+
+def reference(hist: list, total: int, common: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From (class, count) and (word, count) pairs."""
+    classes = np.zeros(CLASSES)
+    for k, n in hist:
+        classes[k] = n
+    found = np.array([tuple(x) for x in common or []], np.int64).reshape(-1, 2)
+    keys, n = found[:, 0].copy().view(np.uint64), found[:, 1]
+    order = np.argsort(keys)
+    return classes, keys[order], np.append(n[order], (total or 0) - n.sum()).astype(float)
+
+
+def references(docs: DataFrame, rules: Rules) -> References:
+    """At most max_languages languages with 1 / word_share words each come to the
+    driver, the others stay a table that measure() joins."""
+    counts = spill(gather(docs.select("text", F.coalesce("lang", F.lit("")).alias("lang"))), "counts")
+    pairs = F.collect_list(F.struct("key", "n"))
+
+    def table(own: DataFrame) -> DataFrame:
+        words = own.where("kind = 'word'").select("lang", "key", "n")
+        sums = words.groupBy("lang").agg(F.sum("n").alias("total"))
+        common = words.join(sums, "lang").where(F.col("n") >= rules.word_share * F.col("total")).groupBy("lang").agg(pairs.alias("common"))
+        return own.where("kind = 'class'").groupBy("lang").agg(pairs.alias("hist")).join(sums, "lang", "left").join(common, "lang", "left")
+
+    size = counts.where("kind = 'class' and lang <> ''").groupBy("lang").agg(F.sum("n").alias("n"))
+    names = [r[0] for r in size.orderBy(F.desc("n"), "lang").limit(rules.max_languages).collect()]
+    every = counts.groupBy("kind", "key").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("*"))
+    of = table(counts)
+    head = {r["lang"]: reference(r["hist"], r["total"], r["common"]) for r in of.where(F.col("lang").isin(names)).collect()} if names else {}
+    whole = table(every).first()
+    head[None] = reference(whole["hist"], whole["total"], whole["common"]) if whole else reference([], 0, [])
+    rest = (F.col("lang") != "") & ~F.col("lang").isin(names) if names else F.lit(False)
+    return References(head, spill(of.where(rest), "languages") if len(names) >= rules.max_languages else None)
 
 
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double"
 
 
-def measure(docs: DataFrame, refs: dict, rules: Rules = Rules()) -> DataFrame:
+def measure(docs: DataFrame, refs: References, rules: Rules = Rules()) -> DataFrame:
     """docs with OUT's columns, base_failed and kept; input columns of those
-    names are replaced. docs has text and lang."""
+    names are replaced, any other name is free. docs has text and lang."""
     own = [c.split()[0] for c in OUT.split(", ")]
-    kept = [c for c in docs.columns if c not in (*own, "base_failed", "kept")]
-    at_text, at_lang = kept.index("text"), kept.index("lang")
-    names = {c: f"in_{i}" for i, c in enumerate(kept)}
-    slim = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in kept])
+    slim, names = hidden(docs.drop(*own, "base_failed", "kept"))
+    at_text, at_lang = names.index("text"), names.index("lang")
     schema = ", ".join([f"{n} {t}" for n, t in slim.dtypes] + [OUT])
+    many, head = len(names), refs.head
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(at_lang).to_pylist()
-            parts = [_measure(b, langs[b.first : b.first + b.n], refs, rules) for b in _words.blocks(batch.column(at_text))]
+            langs, known = batch.column(at_lang).to_pylist(), head
+            if batch.num_columns > many:  # rows come with their language's reference
+                first = {x: i for i, x in reversed(list(enumerate(langs)))}
+                known = {x: reference(*[[tuple(p.values()) for p in v] if isinstance(v, list) else v for v in (c[i].as_py() for c in batch.columns[many:])]) for x, i in first.items()}
+            parts = [_measure(b, langs[b.first : b.first + b.n], known, rules) for b in _words.blocks(batch.column(at_text))]
             cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(len(own))]
             kinds = [pa.int64()] * 5 + [pa.float64()] * 2
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(cols, kinds)]], [*names.values(), *own])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:many], *[pa.array(c, t) for c, t in zip(cols, kinds)]], [*slim_names, *own])
 
+    slim_names, lang = slim.columns, f"in_{at_lang}"
+    if refs.tail is None:
+        out = slim.mapInArrow(scan, schema)
+    else:
+        here = F.coalesce(F.col(lang).isin([x for x in head if x is not None]) | (F.col(lang) == ""), F.lit(True))
+        far = slim.where(~here).join(refs.tail.withColumnRenamed("lang", "of"), F.col(lang) == F.col("of"))
+        out = slim.where(here).mapInArrow(scan, schema).union(far.select(*slim_names, "hist", "total", "common").mapInArrow(scan, schema))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     # A number or an address shifts a short text's classes far.
     limit = F.when(F.col("word_chars") < rules.short_chars, rules.short_class_distance).otherwise(rules.class_distance)
     good = (F.col("class_distance") <= limit) & (F.col("word_distance") <= rules.word_distance)
-    out = slim.mapInArrow(scan, schema).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & good)
-    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *own, "base_failed", "kept")
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & good)
+    return out.select(*shown(names), *own, "base_failed", "kept")
 
 
-def _measure(b: _words.Block, langs: list, refs: dict, rules: Rules) -> list[np.ndarray]:
+def _measure(b: _words.Block, langs: list, refs: dict[str | None, tuple], rules: Rules) -> list[np.ndarray]:
     w = _words.words(b, b.data, _words.SPACE)
     chars = (b.data & 0xC0) != 0x80
     inside = ~_words.SPACE[b.data]
