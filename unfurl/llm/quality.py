@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import _words
 from ._dist import hidden, shown, spill
 
-CLASSES = 9
+CLASSES, SALTS = 9, 256
 _CLASS = np.full(256, 7, np.int64)  # other ASCII and control
 _CLASS[[*range(97, 123)]] = 0
 _CLASS[[*range(65, 91)]] = 1
@@ -130,7 +130,10 @@ def references(docs: DataFrame, rules: Rules) -> References:
     def table(own: DataFrame) -> DataFrame:
         words = own.where("kind = 'word'").select("lang", "key", "n")
         sums = words.groupBy("lang").agg(F.sum("n").alias("total"))
-        common = words.join(sums, "lang").where(F.col("n") >= rules.word_share * F.col("total")).groupBy("lang").agg(pairs.alias("common"))
+        # A language may hold most words, so its total goes to every salt.
+        limits = sums.select("lang", "total", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = words.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(limits, ["lang", "salt"])
+        common = salted.where(F.col("n") >= rules.word_share * F.col("total")).groupBy("lang").agg(pairs.alias("common"))
         return own.where("kind = 'class'").groupBy("lang").agg(pairs.alias("hist")).join(sums, "lang", "left").join(common, "lang", "left")
 
     size = counts.where("kind = 'class' and lang <> ''").groupBy("lang").agg(F.sum("n").alias("n"))
