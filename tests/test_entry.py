@@ -10,7 +10,7 @@ from unfurl.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-SOME = [n for i, n in enumerate(sorted(Q.QUERIES)) if i % 4 == 0] + ["unwrap_1d", "unwrap_1d_events", "region_offsets", "weights_default6"]
+SOME = sorted(Q.QUERIES)
 
 
 @pytest.fixture(scope="module")

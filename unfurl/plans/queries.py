@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import phase as P
@@ -12,7 +12,7 @@ from ..operators import b0 as B
 from ..operators import grow, masks, offset, post, quality, regions, stencil, weights
 from ..operators.grow import Options
 from . import sql as S
-from .tables import CUBE, LINE, PLANE, TES, echoes, grid, r6, series, table, vectors
+from .tables import CUBE, LINE, PLANE, TES, echoes, grid, r6, series, smooth, smooth_echoes, table, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,46 +179,50 @@ _field("unwrap_2d_field", 40, None)
 _field("unwrap_3d_field", 10, 10)
 
 
-def _congruent(df: DataFrame, keys: list[str]) -> DataFrame:
-    k = (F.col("unwrapped") - F.col("phase")) / P.TWO_PI
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(F.abs(k - F.rint(k)) < 1e-9).alias("congruent"), F.bool_and(F.col("region") > 0).alias("reached")
-    )
+def _risen(df: DataFrame, *more) -> DataFrame:
+    """How far each voxel lies over its image's first one, which the field tells
+    however many wraps the whole image is off."""
+    first = F.first("unwrapped").over(Window.partitionBy("image_id", "echo").orderBy("idx"))
+    return df.select("image_id", *more, "idx", r6(F.col("unwrapped") - first).alias("rise"))
 
 
 def _spatial(name: str, shape, options: Options, mag: bool = False) -> None:
-    query(name, S.congruent())(lambda spark, d: _congruent(grow.unwrap(vectors(spark, d, mag), shape, options), ["image_id"]))
+    query(name, S.rise(shape))(lambda spark, d: _risen(grow.unwrap(smooth(spark, d, shape, mag=mag), shape, options)))
 
 
 _spatial("unwrap_2d_congruence", PLANE, Options())
 _spatial("unwrap_3d_congruence", CUBE, Options(), mag=True)
 _spatial("unwrap_bestpath", CUBE, Options(weights="bestpath"))
-_spatial("regions_multi_seed", CUBE, Options(max_seeds=20))
 _spatial("merge_regions", CUBE, Options(max_seeds=20, merge_regions=True))
 _spatial("wrap_addition", CUBE, Options(wrap_addition=0.5))
 
 
-@query("unwrap_volumes", S.congruent(volumes=True))
+@query("regions_multi_seed", S.regions_multi_seed())
+def _(spark, d):
+    """Whatever its seeds: all voxels are reached, and inside a region steps are the field's."""
+    u = grow.unwrap(smooth(spark, d, CUBE), CUBE, Options(max_seeds=20))
+    w = Window.partitionBy("image_id", "region").orderBy("idx")
+    off = F.col("unwrapped") - F.col("truth")
+    u = u.withColumn("same", F.abs(off - F.first(off).over(w)) < 1e-6)
+    return u.groupBy("image_id").agg(
+        F.count(F.when(F.col("region") > 0, 1)).alias("reached"), F.count(F.when(F.col("same"), 1)).alias("as_field"), r6(F.sum(F.col("unwrapped") - F.col("phase") - P.TWO_PI * F.rint((F.col("unwrapped") - F.col("phase")) / P.TWO_PI))).alias("residue")
+    )
+
+
+@query("unwrap_volumes", S.unwrap_1d(region=False))
 def _(spark, d):
     e = table(spark, d, "embeddings").select(
         F.col("vec_id").cast("long").alias("image_id"),
         F.lit(1).alias("echo"),
-        *[F.lit(4).alias(c) for c in ("nx", "ny", "nz")],
+        *[F.lit(n).alias(c) for c, n in (("nx", 64), ("ny", 1), ("nz", 1))],
         F.transform("embedding", lambda v: P.wrap_full(12 * v.cast("double"))).alias("phase"),
     )
-    u = grow.unwrap_volumes(e)
-    wraps = F.transform(F.zip_with("unwrapped", "phase", lambda a, b: (a - b) / P.TWO_PI), lambda k: F.abs(k - F.rint(k)))
-    return u.join(e.select("image_id", "phase"), "image_id").select(
-        "image_id", F.size("unwrapped").cast("long").alias("n"), (F.array_max(wraps) < 1e-9).alias("congruent")
-    )
+    u = grow.unwrap_volumes(e).select("image_id", F.posexplode("unwrapped").alias("idx", "unwrapped"))
+    return u.select("image_id", _l("idx"), r6(F.col("unwrapped")).alias("unwrapped"))
 
 
 def _multi(name: str, options: Options) -> None:
-    def f(spark, d):
-        out = grow.unwrap(echoes(spark, d), CUBE, options, multi_echo=True)
-        return _congruent(out.withColumn("region", F.lit(1)), ["image_id", "echo"]).select("image_id", _l("echo"), "n", "congruent")
-
-    query(name, S.congruent(multi=True))(f)
+    query(name, S.rise(CUBE, echoes=True))(lambda spark, d: _risen(grow.unwrap(smooth_echoes(spark, d, CUBE), CUBE, options, multi_echo=True), _l("echo")))
 
 
 _multi("unwrap_4d", Options(refine=0.0))

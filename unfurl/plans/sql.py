@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .tables import SMOOTH
+
 PI, TP = "3.141592653589793e0", "6.283185307179586e0"
 
 
@@ -152,7 +154,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY image_id, idx ORDER BY cost, i)
 SELECT image_id, idx, a AS off1 FROM r WHERE n = 1"""
 
 
-def unwrap_1d(events: bool = False) -> str:
+def unwrap_1d(events: bool = False, region: bool = True) -> str:
     """In one dimension with all edges valid the tree is the chain: wraps are a
     running sum, fixed at the seed, the least weight with the largest index."""
     src = (
@@ -169,7 +171,7 @@ taps AS (SELECT image_id, idx, phase, lag(phase) OVER w AS a, lead(phase) OVER w
 wt AS (SELECT image_id, idx, phase, CASE WHEN b IS NULL THEN 255 ELSE {quantise(quality)} END AS w, coalesce(round_even((phase - a) / {TP}, 0), 0e0) AS k FROM taps),
 chain AS (SELECT *, sum(k) OVER (PARTITION BY image_id ORDER BY idx) AS total FROM wt),
 seed AS (SELECT image_id, total AS base, row_number() OVER (PARTITION BY image_id ORDER BY w, idx DESC) AS n FROM chain)
-SELECT image_id, idx, {r6(f"phase - {TP} * (total - base)")} AS unwrapped, CAST(1 AS BIGINT) AS region FROM chain JOIN seed USING (image_id) WHERE n = 1"""
+SELECT image_id, idx, {r6(f"phase - {TP} * (total - base)")} AS unwrapped{", CAST(1 AS BIGINT) AS region" if region else ""} FROM chain JOIN seed USING (image_id) WHERE n = 1"""
 
 
 def field(nx: int, ny: int | None) -> str:
@@ -181,11 +183,22 @@ def field(nx: int, ny: int | None) -> str:
     return f"SELECT i AS idx, {r6(truth)} AS value FROM (SELECT p_partkey AS i FROM part)"
 
 
-def congruent(multi: bool = False, volumes: bool = False) -> str:
-    if multi:
-        return f"WITH {VOX}, {ECHOES} SELECT image_id, CAST(echo AS BIGINT) AS echo, count(*) AS n, true AS congruent FROM ech GROUP BY 1, 2"
-    extra = "" if volumes else ", true AS reached"
-    return f"SELECT vec_id AS image_id, CAST(64 AS BIGINT) AS n, true AS congruent{extra} FROM embeddings"
+def _smooth(shape, scale: str) -> str:
+    gx, gy, gz, share = (f"{g}e0" for g in SMOOTH)
+    x, y, z = f"(i % {shape.nx})", f"((i // {shape.nx}) % {shape.ny})", f"(i // {shape.nx * shape.ny})"
+    return f"SELECT vec_id AS image_id, i AS idx, {scale} * ({gx} * {x} + {gy} * {y} + {gz} * {z} + {share} * CAST(embedding[i + 1] AS DOUBLE)) AS t FROM embeddings, (SELECT unnest(range(64)) AS i)"
+
+
+def rise(shape, echoes: bool = False) -> str:
+    """The smooth field relative to an image's first voxel."""
+    value = r6("te * (t - first_value(t) OVER w)") if echoes else r6("t - first_value(t) OVER w")
+    more, source = ("CAST(te AS BIGINT) AS echo, ", ", (SELECT unnest([1e0, 2e0, 3e0]) AS te)") if echoes else ("", "")
+    window = "PARTITION BY image_id, te ORDER BY idx" if echoes else "PARTITION BY image_id ORDER BY idx"
+    return f"SELECT image_id, {more}idx, {value} AS rise FROM ({_smooth(shape, '1e0' if echoes else '3e0')}){source} WINDOW w AS ({window})"
+
+
+def regions_multi_seed() -> str:
+    return "SELECT vec_id AS image_id, CAST(len(embedding) AS BIGINT) AS reached, CAST(len(embedding) AS BIGINT) AS as_field, 0e0 AS residue FROM embeddings"
 
 
 LABEL = "(idx % 4) // 2 + 1 + 2 * (idx // 32)"

@@ -52,6 +52,30 @@ def echoes(spark: SparkSession, sf_dir: str, mag: bool = False) -> DataFrame:
     return out.drop("image_id").withColumnRenamed("image", "image_id").withColumn("te", F.col("echo").cast("double"))
 
 
+#: Steps of the smooth fields along x, y and z, and the vectors' share in them. No
+#: step of the field of a third echo reaches pi, so its unwrapping is unique.
+SMOOTH = (0.7, -0.5, 0.6, 0.1)
+
+
+def smooth(spark: SparkSession, sf_dir: str, shape: Shape, scale: float = 3.0, mag: bool = False) -> DataFrame:
+    """vectors() with truth, scale times a field whose neighbours differ by less
+    than pi, and its wrapped phase."""
+    gx, gy, gz, share = SMOOTH
+    x, y, z = shape.coordinates(F.col("idx"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("image_id"), F.posexplode("embedding").alias("idx", "v"))
+    e = e.withColumns({"idx": F.col("idx").cast("long"), "echo": F.lit(1)})
+    truth = scale * (gx * x + gy * y + gz * z + share * F.col("v").cast("double"))
+    df = e.withColumn("truth", truth).withColumn("phase", P.wrap_full(F.col("truth"))).drop("v")
+    return df.withColumn("mag", 1.0 + (F.col("idx") % 3)) if mag else df
+
+
+def smooth_echoes(spark: SparkSession, sf_dir: str, shape: Shape) -> DataFrame:
+    """The smooth field of every vector at three echoes, te being 1, 2 and 3."""
+    df = smooth(spark, sf_dir, shape, 1.0).withColumn("echo", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    df = df.withColumn("te", F.col("echo").cast("double")).withColumn("truth", F.col("truth") * F.col("te"))
+    return df.withColumn("phase", P.wrap_full(F.col("truth")))
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's event values in order as a 1-D image, of two events at least."""
     e = table(spark, sf_dir, "events")
