@@ -13,12 +13,16 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..model import Shape
 from . import _kernel as K
 
 Options = K.Options
+#: Voxels up to which images are handed to Python many at a time.
+SMALL = 4096
 RESULT = "image_id long, echo int, unwrapped array<double>, region array<short>"
 
 
@@ -76,6 +80,8 @@ def unwrap(voxels: DataFrame, shape: Shape | None, options: Options = Options(),
     and one group; idx orders it. Without a shape every group is 1-D."""
     has = set(voxels.columns)
     fields = ", ".join(f"`{n}` {t}" for n, t in voxels.dtypes)
+    if shape and shape.nx * shape.ny * shape.nz <= SMALL and "map<" not in fields:
+        return _unwrap_small(voxels, shape, options, multi_echo, by)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         order = ["echo", "idx"] if multi_echo else ["idx"]
@@ -94,6 +100,45 @@ def unwrap(voxels: DataFrame, shape: Shape | None, options: Options = Options(),
     return voxels.groupBy(*keys).applyInPandas(one, fields + ", unwrapped double, region short")
 
 
+def _unwrap_small(voxels: DataFrame, shape: Shape, options: Options, multi_echo: bool, by: tuple[str, ...]) -> DataFrame:
+    """unwrap() for small images, which come many at a time as one row each."""
+    names, first = voxels.columns, ["echo", "idx"] if multi_echo else ["idx"]
+    order = [*first, *[c for c in names if c not in first]]
+    v = F.sort_array(F.collect_list(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)])))
+    images = voxels.groupBy(*(("image_id",) if multi_echo else by)).agg(v.alias("v")).select("v")
+    kind = images.dtypes[0][1]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            cut = lists.offsets.to_numpy()
+            flat = lists.values
+
+            def get(c: str, kind=float) -> np.ndarray | None:
+                return flat.field(order.index(c)).to_numpy(zero_copy_only=False).astype(kind) if c in names else None
+
+            phase, mag, p2, mask, te = get("phase"), get("mag"), get("phase2"), get("mask", bool), get("te")
+            echo = get("echo", np.int64) if multi_echo else None
+            unwrapped, regions = [], []
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                ends = [lo, *(lo + 1 + np.flatnonzero(echo[lo + 1 : hi] != echo[lo : hi - 1])), hi] if multi_echo else [lo, hi]
+                parts = [slice(a, b) for a, b in zip(ends[:-1], ends[1:])]
+                part = lambda x: None if x is None else x[parts[0]]
+                o = replace(options, tes=options.tes or (None if te is None else tuple(float(te[s][0]) for s in parts)))
+                mags = None if mag is None else [mag[s] for s in parts]
+                u, region = K.run_image((shape.nx, shape.ny, shape.nz), [phase[s] for s in parts], o, mags, part(mask), part(p2))
+                unwrapped += u
+                regions += region
+            joined = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(t)
+            at = pa.array(cut - cut[0], pa.int32())
+            out = [pa.ListArray.from_arrays(at, pa.array(joined(x, t))) for x, t in ((unwrapped, np.float64), (regions, np.int16))]
+            yield pa.RecordBatch.from_arrays([lists, *out], ["v", "unwrapped", "region"])
+
+    done = images.mapInArrow(rows, f"v {kind}, unwrapped array<double>, region array<short>")
+    one = done.select(F.explode(F.arrays_zip("v", "unwrapped", "region")).alias("x"))
+    return one.select(*[F.col(f"x.v.c{order.index(c)}").alias(c) for c in names], "x.unwrapped", "x.region")
+
+
 def unwrap_individual(volumes: DataFrame, options: Options = Options()) -> DataFrame:
     """Every echo spatially, with its neighbour echo as second phase."""
     return unwrap_volumes(volumes, replace(options, individual=True), multi_echo=True)
