@@ -4,7 +4,10 @@ folder, numbering rows by a range sort, prefix sums and connected components."""
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,10 +41,30 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def spill(df: DataFrame, name: str = "t") -> DataFrame:
+_scopes = threading.local()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables spilled inside are removed at the end, but for those kept."""
+    held = _scopes.__dict__.setdefault("held", [])
+    held.append([])
+    try:
+        yield
+    finally:
+        for path in held.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spill(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage is
-    cut, and any executor can be lost afterwards without recomputation."""
+    cut, and any executor can be lost afterwards without recomputation. keep lets
+    the table outlive the innermost temporary() block, whose result it is."""
     path = f"{shared_dir(df.sparkSession)}/unfurl/{name}-{uuid.uuid4().hex}"
+    around = _scopes.__dict__.setdefault("held", [])[: -1 if keep else None]
+    if around:
+        around[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._dist import hidden, shown, spill
+from ._dist import hidden, shown, spill, temporary
 
 WIDTH = 10
 #: Windows searched in one pass; bounds the broadcast terms to some MB.
@@ -247,9 +247,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     rows, names = hidden(docs)
     text = f"in_{names.index('text')}"
     keys = [F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))]
-    stored = index(rows.select(keys[0].alias("k1"), keys[1].alias("k2"), text), text)
-    dirty = stored.select("rid", "k1", "k2").join(matches(stored, items.select("item_id", "text"), width).select("rid").distinct(), "rid")
-    dirty = spill(dirty.select("k1", "k2").distinct(), "contaminated")
+    with temporary(docs.sparkSession):
+        stored = index(rows.select(keys[0].alias("k1"), keys[1].alias("k2"), text), text)
+        found = matches(stored, items.select("item_id", "text"), width).select("rid").distinct()
+        dirty = stored.select("rid", "k1", "k2").join(found, "rid")
+        dirty = spill(dirty.select("k1", "k2").distinct(), "contaminated", keep=True)
     return rows.withColumns({"k1": keys[0], "k2": keys[1]}).join(dirty, ["k1", "k2"], "left_anti").select(*shown(names))
 
 

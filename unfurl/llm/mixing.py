@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._dist import hidden, numbered, running_sum, shown, spill
+from ._dist import hidden, numbered, running_sum, shown, spill, temporary
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -88,10 +88,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget_share:
     source, text = (F.col(cols[names.index(c)]) for c in ("source", "text"))
     rows = rows.withColumns({"_k1": F.xxhash64(*cols), "_k2": F.xxhash64(F.lit(1), *cols)})
     slim = rows.select("_k1", "_k2", source.alias("source"), word_count(text).alias("size"))
-    served = mix(slim, weights, budget_share, repeat_cap, seed).where("taken > 0")
-    plan = spill(
-        served.groupBy("_k1", "_k2").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies"
-    )
+    with temporary(docs.sparkSession):
+        served = mix(slim, weights, budget_share, repeat_cap, seed).where("taken > 0")
+        copies = F.sum(F.expr("taken div size")).cast("int")
+        plan = spill(served.groupBy("_k1", "_k2").agg(copies.alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies", keep=True)
     if plan.where("_rows > 1").limit(1).count():  # equal rows share their copies
         rows = rows.dropDuplicates(["_k1", "_k2"])
     return rows.join(plan.select("_k1", "_k2", "_copies"), ["_k1", "_k2"]).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*shown(names))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words
-from ._dist import components, hidden, shown, shuffle_width, spill
+from ._dist import components, hidden, shown, shuffle_width, spill, temporary
 
 SHINGLE, NUM, DEN = 5, 75, 100
 SKETCH_BITS, CHUNK_BITS = 22, 17
@@ -349,31 +349,32 @@ def cluster(docs: DataFrame) -> DataFrame:
     docs, names = hidden(docs.drop("n_shingles", "component_id", "_k", "keeper"))
     rest = {f"in_{i}": n for i, n in enumerate(names) if n not in ("doc_id", "text")}
     docs = docs.select(*[F.col(f"in_{names.index(n)}").alias(n) for n in ("doc_id", "text")], *rest)
-    counts, total = frequent_tokens(docs)
-    classes = token_classes(counts, total)
-    rows = spill(members(docs.withColumn("_k", F.xxhash64("text"))), "members")
-    shared = spill(shared_tokens(docs, classes), "shared")
-    first = shared.groupBy("sid").agg(
-        F.min("token").alias("rare"),
-        F.max_by("token", F.struct(F.shiftright("token", 56), -F.col("token"))).alias("common"),
-        F.first("n").alias("n"),
-        F.count(F.lit(1)).alias("posted"),
-    )
-    first = first.where(f"posted >= {LEAST_SHARED}")
-    reps = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "_k")).alias("r"))
-    wanted = spill(first.join(reps, "sid").select("sid", "rare", "common", F.col("r.doc_id").alias("_id"), F.col("r._k").alias("_k")), "wanted")
-    sets = spill(set_rows(docs, wanted), "sets")
-    # Groups by rarest and by most common shared token, cut into blocks.
-    placed = wanted.select("sid", F.explode(F.array_distinct(F.array("rare", "common"))).alias("grp"))
-    size = placed.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("sid").alias("pivot"))
-    spots = placed.join(size, "grp").select("grp", block_of("blocks").alias("blk"), "sid").union(
-        size.where("blocks > 1").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.col("pivot").alias("sid"))
-    )
-    inner = spill(run_blocks(spots.join(sets, "sid").select("grp", "blk", F.lit(0).alias("guest"), "sid", "tokens")), "links")
-    label = merge(wanted.select("sid", F.col("sid").alias("comp")), inner.select(F.col("a").alias("ca"), F.col("b").alias("cb")))
-    for least, whole in ((BLOCK, False), (BLOCK, True), (0, True)):
-        label = merge(label, across(shared, label, sets, least, whole))
-    final = label.select("sid", F.col("comp").alias("root"))
+    with temporary(docs.sparkSession):
+        counts, total = frequent_tokens(docs)
+        classes = token_classes(counts, total)
+        rows = spill(members(docs.withColumn("_k", F.xxhash64("text"))), "members", keep=True)
+        shared = spill(shared_tokens(docs, classes), "shared")
+        first = shared.groupBy("sid").agg(
+            F.min("token").alias("rare"),
+            F.max_by("token", F.struct(F.shiftright("token", 56), -F.col("token"))).alias("common"),
+            F.first("n").alias("n"),
+            F.count(F.lit(1)).alias("posted"),
+        )
+        first = first.where(f"posted >= {LEAST_SHARED}")
+        reps = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "_k")).alias("r"))
+        wanted = spill(first.join(reps, "sid").select("sid", "rare", "common", F.col("r.doc_id").alias("_id"), F.col("r._k").alias("_k")), "wanted")
+        sets = spill(set_rows(docs, wanted), "sets")
+        # Groups by rarest and by most common shared token, cut into blocks.
+        placed = wanted.select("sid", F.explode(F.array_distinct(F.array("rare", "common"))).alias("grp"))
+        size = placed.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("sid").alias("pivot"))
+        spots = placed.join(size, "grp").select("grp", block_of("blocks").alias("blk"), "sid").union(
+            size.where("blocks > 1").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.col("pivot").alias("sid"))
+        )
+        inner = spill(run_blocks(spots.join(sets, "sid").select("grp", "blk", F.lit(0).alias("guest"), "sid", "tokens")), "links")
+        label = merge(wanted.select("sid", F.col("sid").alias("comp")), inner.select(F.col("a").alias("ca"), F.col("b").alias("cb")))
+        for least, whole in ((BLOCK, False), (BLOCK, True), (0, True)):
+            label = merge(label, across(shared, label, sets, least, whole))
+        final = spill(label.select("sid", F.col("comp").alias("root")), "roots", keep=True)
     rooted = rows.join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "_k")).alias("rep"))
     out = rooted.join(least, "root", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
@@ -384,7 +385,9 @@ def cluster(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, its smallest; rows with an empty set
     all stay."""
-    marks = spill(cluster(docs.select("doc_id", "text")).where("keeper and n_shingles > 0").select("doc_id", "_k"), "keepers")
+    with temporary(docs.sparkSession):
+        marks = cluster(docs.select("doc_id", "text")).where("keeper and n_shingles > 0").select("doc_id", "_k")
+        marks = spill(marks, "keepers", keep=True)
     one = marks.distinct().select(F.col("doc_id").alias("id"), F.col("_k").alias("w"))
     rows, names = hidden(docs)
     doc, text = (rows.columns[names.index(c)] for c in ("doc_id", "text"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._dist import hidden, shown, spill
+from ._dist import hidden, shown, spill, temporary
 
 CLASSES, SALTS = 9, 256
 _CLASS = np.full(256, 7, np.int64)  # other ASCII and control
@@ -124,27 +124,28 @@ def reference(hist: list, total: int, common: list | None) -> tuple[np.ndarray,
 def references(docs: DataFrame, rules: Rules) -> References:
     """At most max_languages languages with 1 / word_share words each come to the
     driver, the others stay a table that measure() joins."""
-    counts = spill(gather(docs.select("text", F.coalesce("lang", F.lit("")).alias("lang"))), "counts")
-    pairs = F.collect_list(F.struct("key", "n"))
-
-    def table(own: DataFrame) -> DataFrame:
-        words = own.where("kind = 'word'").select("lang", "key", "n")
-        sums = words.groupBy("lang").agg(F.sum("n").alias("total"))
-        # A language may hold most words, so its total goes to every salt.
-        limits = sums.select("lang", "total", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        salted = words.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(limits, ["lang", "salt"])
-        common = salted.where(F.col("n") >= rules.word_share * F.col("total")).groupBy("lang").agg(pairs.alias("common"))
-        return own.where("kind = 'class'").groupBy("lang").agg(pairs.alias("hist")).join(sums, "lang", "left").join(common, "lang", "left")
-
-    size = counts.where("kind = 'class' and lang <> ''").groupBy("lang").agg(F.sum("n").alias("n"))
-    names = [r[0] for r in size.orderBy(F.desc("n"), "lang").limit(rules.max_languages).collect()]
-    every = counts.groupBy("kind", "key").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("*"))
-    of = table(counts)
-    head = {r["lang"]: reference(r["hist"], r["total"], r["common"]) for r in of.where(F.col("lang").isin(names)).collect()} if names else {}
-    whole = table(every).first()
-    head[None] = reference(whole["hist"], whole["total"], whole["common"]) if whole else reference([], 0, [])
-    rest = (F.col("lang") != "") & ~F.col("lang").isin(names) if names else F.lit(False)
-    return References(head, spill(of.where(rest), "languages") if len(names) >= rules.max_languages else None)
+    with temporary(docs.sparkSession):
+        counts = spill(gather(docs.select("text", F.coalesce("lang", F.lit("")).alias("lang"))), "counts")
+        pairs = F.collect_list(F.struct("key", "n"))
+
+        def table(own: DataFrame) -> DataFrame:
+            words = own.where("kind = 'word'").select("lang", "key", "n")
+            sums = words.groupBy("lang").agg(F.sum("n").alias("total"))
+            # A language may hold most words, so its total goes to every salt.
+            limits = sums.select("lang", "total", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            salted = words.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(limits, ["lang", "salt"])
+            common = salted.where(F.col("n") >= rules.word_share * F.col("total")).groupBy("lang").agg(pairs.alias("common"))
+            return own.where("kind = 'class'").groupBy("lang").agg(pairs.alias("hist")).join(sums, "lang", "left").join(common, "lang", "left")
+
+        size = counts.where("kind = 'class' and lang <> ''").groupBy("lang").agg(F.sum("n").alias("n"))
+        names = [r[0] for r in size.orderBy(F.desc("n"), "lang").limit(rules.max_languages).collect()]
+        every = counts.groupBy("kind", "key").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("*"))
+        of = table(counts)
+        head = {r["lang"]: reference(r["hist"], r["total"], r["common"]) for r in of.where(F.col("lang").isin(names)).collect()} if names else {}
+        whole = table(every).first()
+        head[None] = reference(whole["hist"], whole["total"], whole["common"]) if whole else reference([], 0, [])
+        rest = (F.col("lang") != "") & ~F.col("lang").isin(names) if names else F.lit(False)
+        return References(head, spill(of.where(rest), "languages", keep=True) if len(names) >= rules.max_languages else None)
 
 
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double"
