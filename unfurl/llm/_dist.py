@@ -141,3 +141,22 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if new.where("l <> old").limit(1).count() == 0:
             return new.select("node", F.col("l").alias("component"))
         label = new.select("node", "l")
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows left-joined with table, whose keys are unique and whose weight counts the
+    rows of a key; total counts them all.
+
+    Keys that many rows hold, at most 4 a shuffle partition, are broadcast, so that
+    no task gets all rows of one; the others meet by a shuffle. Rows of a hot or a
+    null key are spread over the partitions of that shuffle, where nothing fits them."""
+    limit = max(64, total // (4 * shuffle_width(rows.sparkSession)))
+    values = [c for c in table.columns if c not in (key, weight)]
+    hot = table.where(F.col(weight) > limit).select(F.col(key).alias("hot_key"), *[F.col(c).alias(f"hot_{c}") for c in values], F.lit(True).alias("is_hot"))
+    cold = table.where(F.col(weight) <= limit).select(F.col(key).alias("cold_key"), *[F.col(c).alias(f"cold_{c}") for c in values])
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    away = F.col("is_hot").isNotNull() | F.col(key).isNull()
+    out = out.withColumns({"away": away, "sought": F.when(away, F.xxhash64(*rows.columns)).otherwise(F.col(key))})
+    out = out.join(cold, (F.col("sought") == F.col("cold_key")) & ~F.col("away"), "left")
+    found = [F.when(F.col("is_hot").isNotNull(), F.col(f"hot_{c}")).otherwise(F.col(f"cold_{c}")).alias(c) for c in values]
+    return out.select(*rows.columns, *found)

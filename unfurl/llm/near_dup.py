@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words
-from ._dist import components, hidden, shown, shuffle_width, spill, temporary
+from ._dist import components, hidden, join_hot, shown, shuffle_width, spill, temporary
 
 SHINGLE, NUM, DEN = 5, 75, 100
 SKETCH_BITS, CHUNK_BITS = 22, 17
@@ -374,11 +374,19 @@ def cluster(docs: DataFrame) -> DataFrame:
         label = merge(wanted.select("sid", F.col("sid").alias("comp")), inner.select(F.col("a").alias("ca"), F.col("b").alias("cb")))
         for least, whole in ((BLOCK, False), (BLOCK, True), (0, True)):
             label = merge(label, across(shared, label, sets, least, whole))
-        final = spill(label.select("sid", F.col("comp").alias("root")), "roots", keep=True)
-    rooted = rows.join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "_k")).alias("rep"))
-    out = rooted.join(least, "root", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    stays = F.col("root").isNull() | (F.col("rep").eqNullSafe(F.struct("doc_id", "_k")))
+        # One row per set first: rows of equal texts, and sets of one component, may be
+        # a third of all.
+        own = rows.where("sid is not null").groupBy("sid").agg(
+            F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "_k")).alias("rep"), F.count(F.lit(1)).alias("copies")
+        )
+        rooted = own.join(label, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("root"), "least", "rep", "copies")
+        rooted = spill(rooted, "roots")
+        least = rooted.groupBy("root").agg(F.min("least").alias("least"), F.min("rep").alias("rep"), F.count(F.lit(1)).alias("sets"))
+        answer = join_hot(rooted.select("sid", "copies", "root"), least, "root", "sets", rooted.count())
+        answer = spill(answer.drop("root"), "answers", keep=True)
+        out = join_hot(rows, answer, "sid", "copies", rows.count())
+    out = out.withColumn("component_id", F.coalesce("least", "doc_id"))
+    stays = F.col("sid").isNull() | (F.col("rep").eqNullSafe(F.struct("doc_id", "_k")))
     return out.withColumn("keeper", stays).select("doc_id", *[F.col(c).alias(n) for c, n in rest.items()], "_k", "n_shingles", "component_id", "keeper")
 
 
