@@ -549,3 +549,12 @@ def test_checksums_match(spark):
     df = spark.createDataFrame([("é",), ("",)], "t string").select("t", F.crc32(F.encode("t", "UTF-8")).alias("c")).collect()
     assert all(r.c == zlib.crc32(r.t.encode()) for r in df)
     assert pd.DataFrame({"a": [1]}).shape == (1, 1)
+
+
+def test_join_hot(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else 7 if i % 3 else i) for i in range(600)], "id long, k long")
+    table = rows.where("k is not null and k <> 9").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    got = {r.id: (r.k, r.last) for r in _dist.join_hot(rows, table, "k", "n", rows.count()).collect()}
+    last = {r.k: r.last for r in table.collect()}
+    assert table.agg(F.max("n")).first()[0] > 64
+    assert got == {r.id: (r.k, last.get(r.k)) for r in rows.collect()}

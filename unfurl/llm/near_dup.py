@@ -301,8 +301,9 @@ def block_of(blocks: str):
 
 def merge(label: DataFrame, links: DataFrame) -> DataFrame:
     """label (sid, comp) after joining the clusters that links (ca, cb) name."""
-    merged = components(links, "ca", "cb")
-    return spill(label.join(merged, F.col("comp") == F.col("node"), "left").select("sid", F.coalesce("component", "comp").alias("comp")), "clusters")
+    weight = label.groupBy("comp").agg(F.count(F.lit(1)).alias("w"))
+    merged = components(links, "ca", "cb").join(weight, F.col("node") == F.col("comp")).select("comp", "component", "w")
+    return spill(join_hot(label, merged, "comp", "w", label.count()).select("sid", F.coalesce("component", "comp").alias("comp")), "clusters")
 
 
 def across(shared: DataFrame, label: DataFrame, sets: DataFrame, least: int, whole: bool) -> DataFrame:
@@ -312,14 +313,14 @@ def across(shared: DataFrame, label: DataFrame, sets: DataFrame, least: int, who
     least members that the matrix opens to it. One pass with least 0 and whole is
     exact; passes before it, to large clusters only, join nearly all that belongs
     to these, so that hardly any member is left to visit all their blocks."""
-    weight = label.groupBy("comp").agg(F.count(F.lit(1)).alias("w"))
+    rows, weight = label.count(), label.groupBy("comp").agg(F.count(F.lit(1)).alias("w"), F.count(F.lit(1)).alias("members"))
     # Tokens before a shared one that nobody shares are lost to any overlap, which
     # has to reach NUM / (NUM + DEN) of both sizes together: what a member can
     # still offer at a token, less its own part of that, is its room.
     before = F.row_number().over(Window.partitionBy("sid").orderBy("token")) - 1
     offer = F.col("n") - (F.col("at") - before)
     roomy = shared.withColumn("room", (NUM + DEN) * offer - NUM * F.col("n"))
-    cells = spill(roomy.drop("at").join(label, "sid").join(weight, "comp"), "cells")
+    cells = spill(roomy.drop("at").join(join_hot(label, weight, "comp", "members", rows), "sid"), "cells")
     matrix = cells.groupBy("token", "comp").agg(F.max("w").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("their"))
     several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     open_cells = matrix.where(f"w > {least}").join(several, "token").select(
@@ -328,13 +329,15 @@ def across(shared: DataFrame, label: DataFrame, sets: DataFrame, least: int, who
     fits = (F.col("n") * DEN >= F.col("lo") * NUM) & (F.col("hi") * DEN >= F.col("n") * NUM)
     fits = fits & (F.col("room") >= NUM * F.col("lo")) & (F.col("their") >= NUM * F.col("n"))
     larger = (F.col("tw") > F.col("w")) | ((F.col("tw") == F.col("w")) & (F.col("to") > F.col("comp")))
-    met = cells.join(open_cells, "token").where(fits & larger).groupBy("sid", "to").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("in_union"))
-    asks = spill(met.where(f"in_union >= {LEAST_SHARED}").select("sid", "to"), "asks")
-    size = asks.select("to").distinct().join(weight, F.col("to") == F.col("comp")).select("to", F.ceil(F.col("w") / BLOCK).cast("int").alias("blocks"))
-    homes = label.join(size, F.col("comp") == F.col("to")).select(F.col("to").alias("grp"), block_of("blocks").alias("blk"), F.lit(0).alias("guest"), "sid")
-    visits = asks.join(size, "to")
+    met = cells.join(open_cells, "token").where(fits & larger).groupBy("sid", "to").agg(
+        F.first("n").alias("n"), F.first("tw").alias("tw"), F.count(F.lit(1)).alias("in_union")
+    )
+    asks = spill(met.where(f"in_union >= {LEAST_SHARED}").select("sid", "to", "tw", F.ceil(F.col("tw") / BLOCK).cast("int").alias("blocks")), "asks")
+    size = asks.select(F.col("to").alias("comp"), "tw", "blocks").distinct()
+    homes = join_hot(label, size, "comp", "tw", rows).where("blocks is not null")
+    homes = homes.select(F.col("comp").alias("grp"), block_of("blocks").alias("blk"), F.lit(0).alias("guest"), "sid")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    visits = visits.select(F.col("to").alias("grp"), (every if whole else block_of("blocks")).alias("blk"), F.lit(1).alias("guest"), "sid")
+    visits = asks.select(F.col("to").alias("grp"), (every if whole else block_of("blocks")).alias("blk"), F.lit(1).alias("guest"), "sid")
     links = run_blocks(homes.union(visits).join(sets, "sid").select("grp", "blk", "guest", "sid", "tokens"))
     a, b = label.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), label.select(F.col("sid").alias("b"), F.col("comp").alias("cb"))
     return spill(links.join(a, "a").join(b, "b").select("ca", "cb").distinct(), "merges")
