@@ -139,8 +139,32 @@ def test_masks(spark):
     assert ((m.mag > limit) == m["mask"]).all()
     own = spark.createDataFrame(pd.DataFrame({"image_id": 1, "idx": np.arange(60), "mask": np.arange(60) % 2}))
     assert masks.mask_from(df, own).where("mask").count() == 30
-    with pytest.raises(ValueError, match="size of mask"):
-        masks.mask_from(df, own.where("idx < 50"))
+    other = own.withColumn("image_id", F.lit(99))
+    assert masks.mask_from(df, own.union(other)).count() == len(m)
+    larger = own.union(own.where("idx = 0").withColumn("idx", F.lit(60)))
+    for wrong in (own.where("idx < 50"), own.where("idx <> 7"), larger, other):
+        with pytest.raises(Exception, match="size of mask"):
+            masks.mask_from(df, wrong).collect()
+
+
+def test_offsets_of_images(spark):
+    """Offsets that differ by channel go, so that the combined phases are the field's."""
+    shape, tes = (6, 5, 4), (4.0, 8.0)
+    x, y, _ = np.meshgrid(*map(np.arange, shape), indexing="ij")
+    field = (0.01 * x + 0.02 * y).ravel(order="F")
+    rows = []
+    for image in (1, 2):
+        for channel, start in ((1, 0.3 * image), (2, -1.0)):
+            rows += [(image, channel, e + 1, *shape, np.angle(np.exp(1j * (start + t * field))).tolist(), None) for e, t in enumerate(tes)]
+    df = spark.createDataFrame(rows, "image_id long, channel int, echo int, nx int, ny int, nz int, phase array<double>, mag array<double>").repartition(4)
+    got = {(r.image_id, r.echo): r for r in offset.correct_images(df, tes, (1.0, 1.0, 1.0)).collect()}
+    assert set(got) == {(i, e) for i in (1, 2) for e in (1, 2)}
+    for (image, echo), r in got.items():
+        assert np.allclose(r.phase, tes[echo - 1] * field, atol=1e-6) and np.allclose(r.mag, 2**0.5)
+        assert np.allclose(r.offsets, [[0.3 * image] * 120, [-1.0] * 120], atol=1e-6)
+    assert offset.correct_images(df.limit(0), tes, (0, 0, 0)).count() == 0
+    with pytest.raises(Exception, match="same echoes"):
+        offset.correct_images(df.where("channel = 1 or echo = 1"), tes, (0, 0, 0)).collect()
 
 
 def test_field_map(spark):

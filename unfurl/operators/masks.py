@@ -23,9 +23,11 @@ def robust_mask(voxels: DataFrame, value: str = "mag", threshold: float | None =
 
 def mask_from(voxels: DataFrame, masks: DataFrame) -> DataFrame:
     """voxels with mask from a table (image_id, idx, mask); non-zero is inside. A
-    mask of another size is an error."""
-    sizes = voxels.groupBy("image_id").agg(F.max("idx").alias("a")).join(masks.groupBy("image_id").agg(F.max("idx").alias("b")), "image_id", "left")
-    bad = sizes.where("b is null or a <> b").first()
-    if bad:
-        raise ValueError(f"size of mask is {(bad.b or -1) + 1}, but it should be {bad.a + 1}!")
-    return voxels.drop("mask").join(masks.select("image_id", "idx", (F.col("mask").cast("double") != 0).alias("mask")), ["image_id", "idx"])
+    voxel without one, or a mask's value without a voxel, is an error when the
+    result is computed: no job runs before."""
+    here = voxels.select("image_id").distinct()
+    own = masks.join(here, "image_id", "left_semi").select("image_id", "idx", (F.col("mask").cast("double") != 0).alias("inside"), F.lit(True).alias("given"))
+    rows = voxels.drop("mask").withColumn("is_voxel", F.lit(True)).join(own, ["image_id", "idx"], "full")
+    wrong = F.concat(F.lit("size of mask differs from that of image "), F.col("image_id").cast("string"), F.lit(" at voxel "), F.col("idx").cast("string"))
+    inside = F.when(F.col("is_voxel") & F.col("given"), F.coalesce("inside", F.lit(False))).otherwise(F.raise_error(wrong).cast("boolean"))
+    return rows.select(*[c for c in voxels.columns if c != "mask"], inside.alias("mask"))

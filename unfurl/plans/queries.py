@@ -362,7 +362,10 @@ def _(spark, d):
 
 def _b0(kind: str) -> None:
     def f(spark, d):
-        b = B.b0_map(echoes(spark, d, mag=True), kind, "phase")
+        e = echoes(spark, d, mag=True)
+        wide = post.temporal_unwrap(post.by_echo(e, 3, "phase"), TES, 1)
+        u = wide.select("image_id", "idx", F.explode(F.array(*[F.struct(F.lit(i).alias("echo"), F.col(f"e{i}").alias("unwrapped")) for i in (1, 2, 3)])).alias("u"))
+        b = B.b0_map(e.join(u.select("image_id", "idx", "u.*"), ["image_id", "idx", "echo"]), kind)
         return b.select("image_id", "idx", r6(F.col("b0")).alias("b0"), r6(F.col("snr")).alias("snr"))
 
     query(f"b0_map_{kind.lower()}", S.b0(kind))(f)

@@ -234,12 +234,14 @@ WIDE = f"""WITH {VOX}, {ECHOES}, w AS (SELECT image_id, idx, max(phase) FILTER (
 FROM ech GROUP BY 1, 2)"""
 
 
-def temporal(template: int) -> str:
+def _temporal_steps(template: int) -> str:
     if template == 1:
-        steps = f", a AS (SELECT image_id, idx, e1, {to_ref('e2', 'e1 * (2e0 / 1e0)')} AS e2, e3 FROM w), b AS (SELECT image_id, idx, e1, e2, {to_ref('e3', 'e2 * (3e0 / 2e0)')} AS e3 FROM a)"
-    else:
-        steps = f", b AS (SELECT image_id, idx, {to_ref('e1', 'e2 * (1e0 / 2e0)')} AS e1, e2, {to_ref('e3', 'e2 * (3e0 / 2e0)')} AS e3 FROM w)"
-    return f"{WIDE}{steps} SELECT image_id, idx, {r6('e1')} AS e1, {r6('e2')} AS e2, {r6('e3')} AS e3 FROM b"
+        return f", a AS (SELECT image_id, idx, e1, {to_ref('e2', 'e1 * (2e0 / 1e0)')} AS e2, e3 FROM w), b AS (SELECT image_id, idx, e1, e2, {to_ref('e3', 'e2 * (3e0 / 2e0)')} AS e3 FROM a)"
+    return f", b AS (SELECT image_id, idx, {to_ref('e1', 'e2 * (1e0 / 2e0)')} AS e1, e2, {to_ref('e3', 'e2 * (3e0 / 2e0)')} AS e3 FROM w)"
+
+
+def temporal(template: int) -> str:
+    return f"{WIDE}{_temporal_steps(template)} SELECT image_id, idx, {r6('e1')} AS e1, {r6('e2')} AS e2, {r6('e3')} AS e3 FROM b"
 
 
 MULTI_ECHO = f"""{WIDE},
@@ -280,7 +282,9 @@ def b0(kind: str) -> str:
     w = {
         "phase_snr": "mag * te", "phase_var": "mag * mag * te * te", "average": "1e0", "TEs": "te", "mag": "mag", "simulated_mag": "exp(-te / 20e0)",
     }[kind]
-    return f"""WITH {VOX}, {ECHOES}, f AS (SELECT image_id, idx, {w} AS w, phase / te AS f, mag * te AS s FROM ech)
+    echoes = " UNION ALL ".join(f"SELECT image_id, idx, {e} AS echo, e{e} AS unwrapped FROM b" for e in (1, 2, 3))
+    return f"""{WIDE}{_temporal_steps(1)}, u AS ({echoes}),
+f AS (SELECT image_id, idx, {w} AS w, unwrapped / te AS f, mag * te AS s FROM ech JOIN u USING (image_id, idx, echo))
 SELECT image_id, idx, {r6(f"1000e0 / {TP} * (sum(w * f) / sum(w))")} AS b0, {r6("sum(w * s) / sqrt(sum(w * w))")} AS snr FROM f GROUP BY 1, 2"""
 
 

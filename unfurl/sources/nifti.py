@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import gzip
 import math
+import os
 import struct
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,6 +128,25 @@ def read_volumes(spark: SparkSession, paths: str | list[str], phase: bool = Fals
     return files.mapInPandas(rows, ROW)
 
 
+def write_files(volumes: DataFrame, value: str, folder: str, prefix: str = "image", gz: bool = False) -> list[str]:
+    """Writes one file per image from the executors and returns the paths. folder
+    is one that all executors share. A file appears under its name only when it is
+    whole, so a task that runs twice leaves the same file."""
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, path)
+            yield pdf[["path"]]
+
+    files = to_files(volumes, value, folder.removeprefix("file://"), prefix, gz)
+    return sorted(r.path for r in files.mapInPandas(save, "path string").collect())
+
+
 def to_files(volumes: DataFrame, value: str, folder: str, prefix: str = "image", gz: bool = False) -> DataFrame:
     """(path, content) per image: echoes stacked in the fourth dimension. The
     caller writes content wherever it wants; an image is one row."""
