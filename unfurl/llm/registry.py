@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm_score, mixing, near_dup, oracles, pii, quality, sharding, suffix_dedup, url_filters
+from . import chat, decontaminate, hard_negatives, lm_score, mixing, near_dup, oracles, pii, quality, sharding, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dup": near_dup.query,
     "op9_decontaminate": decontaminate.query,
     "op10_sharding": sharding.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 SQL: dict[str, str] = oracles.SQL
