@@ -35,7 +35,7 @@ from ._dist import shuffle_width, spill, temporary
 
 #: Integer components of a block at most, and its rows; anchors of a tile; pairs
 #: compared at a time. None of them changes a result.
-BLOCK_VALUES, BLOCK_ROWS, TILE, PAIRS = 1 << 20, 1 << 15, 512, 1 << 20
+BLOCK_VALUES, BLOCK_ROWS, TILE, PAIRS = 1 << 19, 1 << 15, 512, 1 << 18
 LARGEST = 1 << 26
 #: Share of both norms by which rounding of rotated products may be off.
 SLACK = 1e-9
