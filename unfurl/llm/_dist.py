@@ -156,7 +156,7 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, total: in
     cold = table.where(F.col(weight) <= limit).select(F.col(key).alias("cold_key"), *[F.col(c).alias(f"cold_{c}") for c in values])
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
     away = F.col("is_hot").isNotNull() | F.col(key).isNull()
-    out = out.withColumns({"away": away, "sought": F.when(away, F.xxhash64(*rows.columns)).otherwise(F.col(key))})
+    out = out.withColumns({"away": away, "sought": F.when(away, F.xxhash64(*rows.columns).cast(rows.schema[key].dataType)).otherwise(F.col(key))})
     out = out.join(cold, (F.col("sought") == F.col("cold_key")) & ~F.col("away"), "left")
     found = [F.when(F.col("is_hot").isNotNull(), F.col(f"hot_{c}")).otherwise(F.col(f"cold_{c}")).alias(c) for c in values]
     return out.select(*rows.columns, *found)

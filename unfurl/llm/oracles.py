@@ -58,4 +58,6 @@ SELECT p.anchor AS anchor_id, p.id AS positive_id,
 FROM p JOIN c n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
 QUALIFY rank <= 5"""
 
-SQL = {"op5_chat": CHAT, "op8_near_dup": NEAR_DUP, "op9_decontaminate": DECONTAMINATION, "op13_hard_negatives": HARD_NEGATIVES}
+MINHASH = NEAR_DUP.replace(">= 75 *", ">= 85 *").replace("AS component_id FROM", "AS component_id, n.doc_id = min(r.b) AS kept FROM")
+
+SQL = {"op5_chat": CHAT, "op8_near_dup": NEAR_DUP, "op11_minhash": MINHASH, "op9_decontaminate": DECONTAMINATION, "op13_hard_negatives": HARD_NEGATIVES}

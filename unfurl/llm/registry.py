@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, hard_negatives, lm_score, mixing, near_dup, oracles, pii, quality, repair, sharding, suffix_dedup, url_filters
+from . import chat, decontaminate, hard_negatives, lm_score, minhash, mixing, near_dup, oracles, pii, quality, repair, sharding, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dup": near_dup.query,
     "op9_decontaminate": decontaminate.query,
     "op10_sharding": sharding.query,
+    "op11_minhash": minhash.query,
     "op12_repair": repair.query,
     "op13_hard_negatives": hard_negatives.query,
 }
