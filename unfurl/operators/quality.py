@@ -6,19 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Shape
-from .stencil import behind, order
-from .weights import Flags, echo_pair, flags_of, qualities
+from . import _stencils as K
+from .slabs import on_slabs
+from .weights import Flags, echo_pair, flags_of, slab_inputs
 
 
-def voxel_quality(voxels: DataFrame, shape: Shape, weights="default", tes=None) -> DataFrame:
+def voxel_quality(voxels: DataFrame, shape: Shape, weights="default", tes=None, slab: int | None = None) -> DataFrame:
     """voxels with quality float: outgoing plus incoming edge qualities over six."""
     if weights == "bestpath":
         raise ValueError("best-path weights have no quality between 0 and 1")
-    df, w = qualities(voxels, shape, weights, tes), order()
-    total = F.col("q1") + F.col("q2") + F.col("q3")
-    for d, s in enumerate(shape.strides):
-        total = total + F.coalesce(behind(f"q{d + 1}", s, w), F.lit(0.0))  # borders are cleared already
-    return df.withColumn("quality", (total / 6).cast("float")).drop("q1", "q2", "q3")
+    df, flags, ratio, columns = slab_inputs(voxels, weights, tes)
+    kernel = lambda v, lo, box: K.voxel_quality(v, lo, box, flags, ratio)
+    return on_slabs(df, shape, kernel, "quality float", 2 * shape.nx * shape.ny, columns, keep=voxels.columns, slab=slab)
 
 
 def voxel_quality_4d(voxels: DataFrame, shape: Shape, tes: list[float], weights="default", template: int = 1, partner: int = 2) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Edge weights as one projection over one window.
+"""Edge weights, slab by slab.
 
 Six measures, chosen by flags, multiply to a quality in [0, 1], which is
 quantised to 1 (best) to 255 (worst), 0 meaning no edge. The mask is asked at the
@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import phase as P
 from ..model import Shape
+from . import _stencils as K
+from .slabs import on_slabs
 from .stencil import ahead, behind, clear_border, order
 
 Flags = tuple[bool, bool, bool, bool, bool, bool]
+W123 = "w1 short, w2 short, w3 short"
 #: Fixed presets: phase coherence, gradient coherence, linearity, magnitude
 #: coherence, magnitude weight, high-magnitude weight.
 PRESETS: dict[str, Flags] = {
@@ -70,7 +73,8 @@ def qualities(
 ) -> DataFrame:
     """voxels with q1, q2, q3, the combined edge qualities per dimension, rescaled
     if asked; outside mask, array and border they are 0. Uses mag, mask and
-    phase2 where the columns exist."""
+    phase2 where the columns exist. A projection over one window of an image, for
+    images that fit a task; edge_weights() and the voxel qualities work on slabs."""
     has = voxels.columns
     flags = prune(flags_of(weights), "mag" in has, "phase2" in has, tes is not None)
     df, w = voxels, order()
@@ -103,19 +107,37 @@ def qualities(
     return df.withColumns(out).drop("mag_in", "maxmag")
 
 
-def edge_weights(voxels: DataFrame, shape: Shape, weights="default", tes=None, user: DataFrame | None = None) -> DataFrame:
-    """voxels with w1, w2, w3 smallint. weights is a preset, flags or 'bestpath';
-    user gives a table (image_id, idx, dim, w) of the caller's own weights."""
+def with_maxmag(voxels: DataFrame, flags: Flags) -> DataFrame:
+    """voxels with their volume's maxmag, where a measure needs it."""
+    if not (flags[4] or flags[5]):
+        return voxels
+    return voxels.join(F.broadcast(max_magnitude(voxels)), ["image_id", "echo"], "left")
+
+
+def slab_inputs(voxels: DataFrame, weights, tes) -> tuple[DataFrame, Flags, float | None, list[str]]:
+    """What a kernel of qualities needs: voxels, flags, ratio of echo times, columns."""
+    has = voxels.columns
+    flags = prune(flags_of(weights), "mag" in has, "phase2" in has, tes is not None)
+    df = with_maxmag(voxels, flags)
+    wanted = {"phase": True, "phase2": flags[1], "mag": any(flags[3:]), "maxmag": flags[4] or flags[5], "mask": "mask" in has}
+    return df, flags, tes[0] / tes[1] if tes else None, [c for c, used in wanted.items() if used]
+
+
+def edge_weights(voxels: DataFrame, shape: Shape, weights="default", tes=None, user: DataFrame | None = None, slab: int | None = None) -> DataFrame:
+    """voxels with w1, w2, w3 smallint, slab by slab. weights is a preset, flags or
+    'bestpath'; user gives a table (image_id, idx, dim, w) of the caller's own."""
     if user is not None:
         wide = user.groupBy("image_id", "idx").agg(
             *[F.max(F.when(F.col("dim") == d, F.col("w"))).cast("short").alias(f"w{d + 1}") for d in range(3)]
         )
         df = voxels.join(wide, ["image_id", "idx"], "left")
         return df.withColumns({f"w{d + 1}": clear_border(F.coalesce(f"w{d + 1}", F.lit(0).cast("short")), shape, d, 0).cast("short") for d in range(3)})
+    plane = shape.nx * shape.ny
     if weights == "bestpath":
-        return bestpath_weights(voxels, shape)
-    df = qualities(voxels, shape, weights, tes, P.quantise)
-    return df.withColumns({f"w{d}": F.col(f"q{d}").cast("short") for d in (1, 2, 3)}).drop("q1", "q2", "q3")
+        columns = [c for c in ("phase", "mask") if c in voxels.columns]
+        return on_slabs(voxels, shape, K.bestpath, W123, 2 * plane + shape.nx + 3, columns, slab=slab)
+    df, flags, ratio, columns = slab_inputs(voxels, weights, tes)
+    return on_slabs(df, shape, lambda v, lo, box: K.edge_weights(v, lo, box, flags, ratio), W123, 2 * plane, columns, keep=voxels.columns, slab=slab)
 
 
 def echo_pair(voxels: DataFrame, template: int, partner: int) -> DataFrame:
@@ -124,36 +146,10 @@ def echo_pair(voxels: DataFrame, template: int, partner: int) -> DataFrame:
     return voxels.where(F.col("echo") == template).join(second, ["image_id", "idx"])
 
 
-def second_difference(voxels: DataFrame, shape: Shape) -> DataFrame:
+def second_difference(voxels: DataFrame, shape: Shape, slab: int | None = None) -> DataFrame:
     """voxels with d: root of the summed squared second differences over the
     distinct linear offsets of the 26 neighbours, where both sides exist."""
-    sx, sy, sz = shape.strides
-    offsets = sorted({abs(sx * i + sy * j + sz * k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)} - {0})
-    w, a = order(), F.col("phase")
-    total = F.lit(0.0)
-    for n in offsets:
-        before, after = behind("phase", n, w), ahead("phase", n, w)
-        diff = P.wrap_once(before - a) - P.wrap_once(a - after)
-        total = total + F.coalesce(diff * diff, F.lit(0.0))
-    return voxels.withColumn("d", F.sqrt(total))
-
-
-def bestpath_weights(voxels: DataFrame, shape: Shape) -> DataFrame:
-    """Reliabilities 1/d of both voxels of an edge, added and quantised. The sum
-    for voxel i lands on the next voxel's edge, and the first voxel's edges get
-    the worst weight; a NaN phase is an error."""
-    w = order()
-    df = second_difference(voxels, shape)
-    df = df.withColumn("r", F.when(F.isnan("d"), F.raise_error(F.lit("best-path weights need a phase without NaN"))).otherwise(P.ieee_ratio(F.lit(1.0), F.col("d"))))
-    sums = {f"s{d + 1}": F.col("r") + ahead("r", s, w) for d, s in enumerate(shape.strides)}
-    df = df.withColumns(sums)
-    out = {}
-    for d in range(3):
-        moved = F.coalesce(behind(f"s{d + 1}", 1, w), F.lit(0.0))
-        scaled = F.greatest(F.least(F.rint((1 - moved / 10) * 255), F.lit(255.0)), F.lit(1.0))
-        ok = F.col("mask") if "mask" in voxels.columns else F.lit(True)
-        out[f"w{d + 1}"] = clear_border(F.when(ok, scaled).otherwise(F.lit(0.0)), shape, d, 0.0).cast("short")
-    return df.withColumns(out).drop("d", "r", "s1", "s2", "s3")
+    return on_slabs(voxels, shape, K.second_difference, "d double", shape.nx * shape.ny + shape.nx + 1, ["phase"], slab=slab)
 
 
 def nonzero(weights: DataFrame) -> DataFrame:
