@@ -98,6 +98,24 @@ def test_pigeonhole():
     assert (a != b).sum() == M.DISTANCE and len(set(M.keys(a[None])[0].tolist()) & set(M.keys(b[None])[0].tolist())) == 1
 
 
+def test_block_pairs():
+    """Against a plain loop; closed keys and unfitting sizes open nothing."""
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        entries = {}
+        for _ in range(60):
+            k, s = int(rng.integers(5)), int(rng.integers(8))
+            low = int(rng.choice([7, 7, 7, 7, rng.integers(4)]))
+            entries[k, s] = (low, low + int(rng.integers(2)) * int(rng.integers(3)), *sorted(rng.integers(80, 120, 2).tolist()))
+        want = set()
+        for (k, s), (a, b, lo, hi) in entries.items():
+            for (k2, s2), (c, d, lo2, hi2) in entries.items():
+                if k == k2 and s < s2 and not (a == b == c == d) and 100 * hi >= 85 * lo2 and 100 * hi2 >= 85 * lo:
+                    want.add((s, s2))
+        cols = [np.array(x) for x in zip(*[(k, s, *v) for (k, s), v in entries.items()])]
+        assert set(map(tuple, M.block_pairs(*cols).tolist())) == want
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(5)
     both, one, two = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (850, 75, 75))

@@ -11,11 +11,11 @@ positions on average, and in more than 43 with a probability below 0.000002, one
 0.9 below 10^-11.) What meets is confirmed on the full sets.
 
 Keys only open groups: a set goes to the smallest set it meets, groups are cut into
-blocks of bounded size, and blocks are joined within, giving clusters. Keys that
-hold several clusters then send each member of the smaller one through all blocks
-of the larger one, unless sizes rule a link out. A key that very many sets share
-costs one row for each cluster and batch, and a large group of near copies is one
-cluster before it is asked again. No group is expanded into all its pairs.
+blocks of bounded size, and all sets of a block meet, giving clusters. Then blocks
+whose sets share a key but not a cluster are compared, block with block: sets of the
+cluster that both mainly hold stay where they are. A key that very many sets share
+costs one entry for each block, and a large group of near copies is one cluster
+before its blocks are paired. No group is expanded into all its pairs.
 
 Sets are compared by 64-bit shingle hashes and told apart by 128 bits. Null and
 empty texts have an empty set and link with nothing; fewer words than a shingle make
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
@@ -39,7 +39,8 @@ from .near_dup import block_of, grouped, merge, set_id, shingle_sets
 NUM, DEN = 85, 100
 CHUNKS, WIDTH, ERRORS = 22, 6, 1
 POSITIONS, DISTANCE = CHUNKS * WIDTH, CHUNKS * (ERRORS + 1) - 1
-BLOCK = 256
+#: Sets of a block; blocks whose sets visit one in one task.
+BLOCK, VISITORS = 256, 8
 _rng = np.random.default_rng(20240311)
 _TIMES, _PLUS, _SALT = (_rng.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) | np.uint64(1) for _ in range(3))
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -149,6 +150,11 @@ def met(sets: DataFrame) -> DataFrame:
     return found.groupBy("sid").agg(F.min("to").alias("to"))
 
 
+def spot_of(blk: Column) -> Column:
+    """The name of a group's block; blocks that get one name are one block."""
+    return F.xxhash64("grp", blk)
+
+
 def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sid, sign, tokens binary) of the wanted sets, each read from one row that has it."""
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_k"), "text")
@@ -177,111 +183,133 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def confirm(sids: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], guests: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a block: a spanning forest of its own sets or, where it has guests,
-    one link from each guest that has any (the block's own are one cluster)."""
-    own, found = np.flatnonzero(~guests), []
-    asked = np.flatnonzero(guests)
-    if len(asked):
-        for i in asked:
-            away = (signs[own] != signs[i]).sum(1)
-            for j in own[np.argsort(away, kind="stable")][: int((away <= DISTANCE).sum())]:
-                if sids[i] != sids[j] and linked(sets[i], sets[j]):
-                    found.append((int(sids[i]), int(sids[j])))
-                    break
-        return found
-    root = np.arange(len(sids))
-    for n, i in enumerate(own):
-        near = np.flatnonzero((signs[own[:n]] != signs[i]).sum(1) <= DISTANCE)
-        for j in near:
-            if root[j] != root[n] and linked(sets[i], sets[own[j]]):
-                root[root == root[j]] = root[n]
-                found.append((int(sids[i]), int(sids[own[j]])))
+def confirm(sids: np.ndarray, comps: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], guests: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join clusters, as pairs of these: among a block's own sets or, where
+    it has guests, from guests to the block's sets. Sets of clusters that are joined
+    already, also here, need not be compared."""
+    names, at = np.unique(comps, return_inverse=True)
+    root, found = np.arange(len(names)), []
+    own = np.flatnonzero(~guests)
+    for n, i in enumerate(np.flatnonzero(guests) if guests.any() else own):
+        others = own if guests[i] else own[:n]
+        away = (signs[others] != signs[i]).sum(1)
+        near = np.flatnonzero(away <= DISTANCE)
+        for j in others[near[np.argsort(away[near], kind="stable")]]:
+            if root[at[i]] != root[at[j]] and linked(sets[i], sets[j]):
+                root[root == root[at[j]]] = root[at[i]]
+                found.append((int(comps[i]), int(comps[j])))
     return found
 
 
 def run_blocks(rows: DataFrame) -> DataFrame:
-    """(grp, blk, guest, sid, sign, tokens) to links (a, b)."""
+    """(spot, slice, guest, sid, comp, sign, tokens) to links (ca, cb) of clusters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in grouped(batches, 2):
-            guest, sid = t.column(2).to_numpy(), t.column(3).to_numpy()
+            guest, sid, comp = (t.column(i).to_numpy() for i in (2, 3, 4))
             _, once = np.unique(np.stack([guest, sid]), axis=1, return_index=True)  # a pivot may come twice
             if len(once) < 2:
                 continue
-            signs, tokens = (t.column(i).take(pa.array(once)).to_pylist() for i in (4, 5))
+            signs, tokens = (t.column(i).take(pa.array(once)).to_pylist() for i in (5, 6))
             signs = np.frombuffer(b"".join(signs), np.uint16).reshape(-1, POSITIONS)
-            found = confirm(sid[once], signs, [np.frombuffer(x, np.uint64) for x in tokens], guest[once] == 1)
+            found = confirm(sid[once], comp[once], signs, [np.frombuffer(x, np.uint64) for x in tokens], guest[once] == 1)
             if found:
                 a, b = np.array(found, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["ca", "cb"])
 
     n = shuffle_width(rows.sparkSession)
-    return rows.repartition(n, "grp", "blk").sortWithinPartitions("grp", "blk").mapInArrow(run, "a long, b long")
-
-
-def posted(sets: DataFrame) -> DataFrame:
-    """sid, sign, comp, w, n to (key, comp, w, lo, hi): a row for each key and cluster
-    of a batch, with the sizes of its sets."""
+    return rows.repartition(n, "spot", "slice").sortWithinPartitions("spot", "slice").mapInArrow(run, "ca long, cb long")
+
+
+def block_pairs(key: np.ndarray, spot: np.ndarray, low: np.ndarray, high: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Different blocks (a < b), as rows, that share a key and, at it, hold different
+    clusters (low to high: the smallest and largest) with sets of fitting size (lo to hi)."""
+    order = np.lexsort((spot, key))
+    key, spot, low, high, lo, hi = (x[order] for x in (key, spot, low, high, lo, hi))
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(starts, len(key)))
+    least, most = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+    out, held = [np.zeros((0, 2), np.int64)], 0
+    open_keys = (size > 1) & (least != most)
+    for s, m in zip(starts[open_keys].tolist(), size[open_keys].tolist()):
+        i = np.arange(s, s + m)
+        lone = (low[i] == high[i]) & (low[i] == np.median(low[i]).astype(np.int64))  # of one and the commonest cluster
+        mine = i[~lone] if lone.sum() > m // 2 else i
+        for c in range(0, len(mine), max(1, (1 << 18) // m)):
+            x = np.repeat(mine[c : c + max(1, (1 << 18) // m)], m)
+            y = np.tile(i, len(x) // m)
+            fit = (spot[x] != spot[y]) & ((low[x] != low[y]) | (high[x] != high[y]) | (low[x] != high[x]))
+            fit &= (DEN * hi[x] >= NUM * lo[y]) & (DEN * hi[y] >= NUM * lo[x])
+            x, y = spot[x[fit]], spot[y[fit]]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            held += len(x)
+            if held > 1 << 20:
+                out, held = [np.unique(np.concatenate(out), axis=0)], 0
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def open_pairs(placed: DataFrame) -> DataFrame:
+    """(a, b): blocks that have to be compared. Every batch sends one entry for each of
+    its keys and blocks, packed by part of the key space."""
+    width = shuffle_width(placed.sparkSession)
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
+    names = ["key", "spot", "low", "high", "lo", "hi"]
+
+    def entries(key, spot, low, high, lo, hi) -> list[np.ndarray]:
+        """One for each key and block."""
+        order = np.lexsort((spot, key))
+        key, spot, low, high, lo, hi = (x[order] for x in (key, spot, low, high, lo, hi))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (spot[1:] != spot[:-1])]))
+        ends = [np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts)]
+        return [x.astype(k) for x, k in zip([key[starts], spot[starts], *ends], kinds)]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             signs = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).reshape(-1, POSITIONS)
-            comp, w, n = (np.repeat(batch.column(i).to_numpy(), POSITIONS) for i in (1, 2, 3))
-            key = keys(signs).ravel()
-            order = np.lexsort((n, comp, key))
-            key, comp, w, n = key[order], comp[order], w[order], n[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])
-            last = np.concatenate([new[1:], [True]])
-            cols = [key[new], comp[new], w[new], n[new], n[last]]
-            for lo in range(0, len(cols[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], ["key", "comp", "w", "lo", "hi"])
-
-    return sets.select("sign", "comp", "w", "n").mapInArrow(post, "key long, comp long, w long, lo long, hi long")
-
-
-def spread(sets: DataFrame) -> DataFrame:
-    """sid, sign, comp, w, n to one row for each key: (key, sid, comp, w, n)."""
+            spot, comp, n = (np.repeat(batch.column(i).to_numpy(), POSITIONS) for i in (1, 2, 3))
+            cols = entries(keys(signs).ravel(), spot, comp, comp, n, n)
+            part = (_words.mix(cols[0].view(np.uint64)) % np.uint64(width)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(width + 1))
+            full = np.flatnonzero(np.diff(cut)).astype(np.int32)
+            packed = [pa.array([x[order][cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()) for x in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(full), *packed], ["part", *names])
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in names]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                signs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, POSITIONS)
-                cols = [np.repeat(part.column(i).to_numpy(), POSITIONS) for i in (0, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys(signs).ravel()), *map(pa.array, cols)], ["key", "sid", "comp", "w", "n"])
-
-    return sets.select("sid", "sign", "comp", "w", "n").mapInArrow(post, "key long, sid long, comp long, w long, n long")
-
-
-def across(wanted: DataFrame, label: DataFrame, tokens: DataFrame, least: int, whole: bool) -> DataFrame:
-    """Links (ca, cb) between clusters that share keys. Members of the smaller of two
-    visit all blocks (with whole) or one block of the other, if that has over least
-    members. One pass with least 0 and whole is exact."""
-    rows, weight = label.count(), label.groupBy("comp").agg(F.count(F.lit(1)).alias("w"), F.count(F.lit(1)).alias("members"))
-    placed = spill(wanted.select("sid", "sign", "n").join(join_hot(label, weight, "comp", "members", rows), "sid"), "placed")
-    matrix = posted(placed).groupBy("key", "comp").agg(F.max("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    matrix = spill(matrix, "matrix")
-    several = matrix.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("w").alias("most")).where(f"x <> y and most > {least}").select("key")
-    cells = spill(matrix.join(several, "key"), "cells")
-    asking = cells.select("comp").distinct().withColumn("asks", F.lit(True)).join(weight, "comp").select("comp", "asks", "members")
-    some = join_hot(placed, asking, "comp", "members", rows).where("asks").drop("asks")
-    them = cells.where(f"w > {least}").select("key", F.col("comp").alias("to"), F.col("w").alias("tw"), "lo", "hi")
-    fits = (F.col("n") * DEN >= F.col("lo") * NUM) & (F.col("hi") * DEN >= F.col("n") * NUM)
-    larger = (F.col("tw") > F.col("w")) | ((F.col("tw") == F.col("w")) & (F.col("to") > F.col("comp")))
-    asks = spread(some).join(them, "key").where(larger & fits).select("sid", "to", "tw").distinct()
-    asks = spill(asks.withColumn("blocks", F.ceil(F.col("tw") / BLOCK).cast("int")), "asks")
-    size = asks.select(F.col("to").alias("comp"), "tw", "blocks").distinct()
-    homes = join_hot(label, size, "comp", "tw", rows).where("blocks is not null")
-    homes = homes.select(F.col("comp").alias("grp"), block_of("blocks").alias("blk"), F.lit(0).alias("guest"), "sid")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    visits = asks.select(F.col("to").alias("grp"), (every if whole else block_of("blocks")).alias("blk"), F.lit(1).alias("guest"), "sid")
-    links = run_blocks(homes.union(visits).join(tokens, "sid").select("grp", "blk", "guest", "sid", "sign", "tokens"))
-    a, b = label.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), label.select(F.col("sid").alias("b"), F.col("comp").alias("cb"))
-    return spill(links.join(a, "a").join(b, "b").select("ca", "cb").where("ca <> cb").distinct(), "merges")
+            for k, kind in enumerate(kinds):
+                held[k] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(k + 1)]
+        if held[0]:
+            a, b = block_pairs(*entries(*map(np.concatenate, held))).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    posted = placed.select("sign", "spot", "comp", "n").mapInArrow(post, "part int, " + ", ".join(f"{x} binary" for x in names))
+    return posted.repartition(width, "part").mapInArrow(gather, "a long, b long").distinct()
+
+
+def across(wanted: DataFrame, label: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links (ca, cb) between clusters over different blocks: all there are, as sets of
+    one block have met before. Of two blocks with the same main cluster only the
+    others' sets visit, each way; else the first block's all visit the second."""
+    placed = spill(wanted.select("sid", "sign", "n", "spot").join(label, "sid"), "placed")
+    main = placed.groupBy("spot", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("spot").agg(F.max(F.struct("k", "comp")).alias("m"))
+    main = main.select("spot", F.col("m.comp").alias("main"))
+    pairs = open_pairs(placed).join(main.toDF("a", "ma"), "a").join(main.toDF("b", "mb"), "b")
+    same = F.when(F.col("ma") == F.col("mb"), F.col("ma"))
+    way = lambda host, guest: F.struct(F.col(host).alias("host"), F.col(guest).alias("visitor"), same.alias("but"))
+    ways = pairs.select(F.explode(F.when(same.isNotNull(), F.array(way("a", "b"), way("b", "a"))).otherwise(F.array(way("b", "a")))).alias("w")).select("w.*")
+    ways = spill(ways, "ways")
+    slices = ways.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("slices"))
+    ways = ways.join(slices, "host").withColumn("slice", F.pmod(F.xxhash64("visitor"), F.col("slices")).cast("int"))
+    own = placed.select(F.col("spot").alias("home"), "sid", "comp")
+    visits = ways.join(own, F.col("visitor") == F.col("home")).where("but is null or comp <> but").select(F.col("host").alias("spot"), "slice", F.lit(1).alias("guest"), "sid", "comp")
+    homes = slices.select("host", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).join(own, F.col("host") == F.col("home"))
+    homes = homes.select(F.col("host").alias("spot"), "slice", F.lit(0).alias("guest"), "sid", "comp")
+    rows = homes.union(visits).join(tokens, "sid").select("spot", "slice", "guest", "sid", "comp", "sign", "tokens")
+    return spill(run_blocks(rows).distinct(), "merges")
 
 
 def cluster(docs: DataFrame) -> DataFrame:
@@ -302,15 +330,15 @@ def cluster(docs: DataFrame) -> DataFrame:
         groups = spill(met(sets), "met")
         wanted = spill(sets.join(groups, "sid").select("sid", "sign", "n", "rep", F.col("to").alias("grp")), "wanted")
         tokens = spill(tokens_of(docs, wanted), "tokens")
-        size = wanted.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
-        spots = join_hot(wanted.select("sid", "grp"), size, "grp", "members", wanted.count()).select("grp", block_of("blocks").alias("blk"), "sid")
-        pivots = size.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.col("grp").alias("sid"))
-        links = run_blocks(spots.union(pivots).join(tokens, "sid").select("grp", "blk", F.lit(0).alias("guest"), "sid", "sign", "tokens"))
-        links = spill(links, "links")
-        label = merge(wanted.select("sid", F.col("sid").alias("comp")), links.select(F.col("a").alias("ca"), F.col("b").alias("cb")))
-        if not label.groupBy("comp").count().where(F.col("count") > BLOCK).isEmpty():
-            label = merge(label, across(wanted, label, tokens, BLOCK, False))
-        label = merge(label, across(wanted, label, tokens, 0, True))
+        size = groups.groupBy(F.col("to").alias("grp")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
+        spots = join_hot(wanted.select("sid", "grp"), size, "grp", "members", wanted.count())
+        wanted = spill(wanted.join(spots.select("sid", spot_of(block_of("blocks")).alias("spot")), "sid"), "placed")
+        pivots = size.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+        homes = wanted.select("spot", "sid").union(pivots.select(spot_of(F.col("blk")), "grp"))
+        homes = homes.select("spot", F.lit(0).alias("slice"), F.lit(0).alias("guest"), "sid", F.col("sid").alias("comp"))
+        links = spill(run_blocks(homes.join(tokens, "sid").select("spot", "slice", "guest", "sid", "comp", "sign", "tokens")), "links")
+        label = merge(wanted.select("sid", F.col("sid").alias("comp")), links)
+        label = merge(label, across(wanted, label, tokens))
         rooted = sets.join(label, "sid", "left").select("set", "copies", "least", F.coalesce("comp", "sid").alias("root"))
         rooted = spill(rooted, "roots")
         roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets"))
