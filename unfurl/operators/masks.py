@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import phase as P
+from .ranks import quantile
 
 ROBUST_SHARE = 0.1
 
@@ -17,7 +18,7 @@ def robust_mask(voxels: DataFrame, value: str = "mag", threshold: float | None =
     v = F.col(value)
     if threshold is not None:
         return voxels.withColumn("mask", ~F.isnan(v) & (v > threshold))
-    q = voxels.where(P.is_finite(v)).groupBy(*keys).agg((ROBUST_SHARE * F.percentile(value, F.lit(0.95))).alias("limit"))
+    q = quantile(voxels.where(P.is_finite(v)), keys, v, 0.95, "limit").withColumn("limit", ROBUST_SHARE * F.col("limit"))
     return voxels.join(q, keys, "left").withColumn("mask", F.coalesce(~F.isnan(v) & (v > F.col("limit")), F.lit(False))).drop("limit")
 
 

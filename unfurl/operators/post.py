@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import phase as P
+from .ranks import median_of_whole
 
 
 def correct_global(voxels: DataFrame, value: str = "unwrapped") -> DataFrame:
@@ -14,7 +15,7 @@ def correct_global(voxels: DataFrame, value: str = "unwrapped") -> DataFrame:
     the mask, per volume."""
     keys = ["image_id", "echo"]
     inside = P.is_finite(F.col(value)) & (F.col("mask") if "mask" in voxels.columns else F.lit(True))
-    m = voxels.where(inside).groupBy(*keys).agg(F.median(F.rint(F.col(value) / P.TWO_PI)).alias("wraps"))
+    m = median_of_whole(voxels.where(inside), keys, F.rint(F.col(value) / P.TWO_PI), "wraps")
     return voxels.join(m, keys, "left").withColumn(value, F.col(value) - P.TWO_PI * F.coalesce("wraps", F.lit(0.0))).drop("wraps")
 
 
@@ -41,7 +42,7 @@ def correct_echoes(wide: DataFrame, tes: list[float]) -> DataFrame:
     for e in range(2, len(tes) + 1):
         a, b = F.col(f"e{e - 1}"), F.col(f"e{e}")
         both = df.where(P.is_finite(a) & P.is_finite(b))
-        m = both.groupBy("image_id").agg(F.median(F.rint((a * (tes[e - 1] / tes[e - 2]) - b) / P.TWO_PI)).alias("wraps"))
+        m = median_of_whole(both, ["image_id"], F.rint((a * (tes[e - 1] / tes[e - 2]) - b) / P.TWO_PI), "wraps")
         df = df.join(m, "image_id", "left").withColumn(f"e{e}", b + P.TWO_PI * F.coalesce("wraps", F.lit(0.0))).drop("wraps")
     return df
 

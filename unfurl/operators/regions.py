@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import phase as P
 from ..model import Shape
-from .stencil import ahead, edges, order
+from ._stencils import neighbours
+from .ranks import median_of_whole, ranks
+from .slabs import SLAB, on_slabs
+from .stencil import edges
 
 KEYS = ("image_id", "echo")
 
 
-def seed_order(weights: DataFrame) -> DataFrame:
+def seed_order(weights: DataFrame, slab: int = SLAB) -> DataFrame:
     """weights with rank: the order in which voxels are tried as seeds."""
-    from pyspark.sql import Window
-
     total = sum(F.when(F.col(w) == 0, 255).otherwise(F.col(w).cast("int")) for w in ("w1", "w2", "w3"))
-    df = weights.withColumn("seed_sum", total)
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy("seed_sum", F.desc("idx"))))
+    return ranks(weights.withColumn("seed_sum", total), list(KEYS), "seed_sum", "idx", slab)
 
 
 def seed_offset(phase, phase2, te1: float, te2: float):
@@ -44,17 +44,16 @@ def region_sizes(voxels: DataFrame) -> DataFrame:
 
 def region_offsets(voxels: DataFrame, shape: Shape, value: str = "unwrapped") -> DataFrame:
     """(image_id, echo, ri, rj, offset_sum, weight_sum) over touching voxels of
-    different regions, both directions; needs w1, w2, w3. One exchange for all
-    neighbours, then sums per pair, combined before their shuffle."""
-    w = order()
-    wide = voxels
-    for d, s in enumerate(shape.strides):
-        wide = wide.withColumns({f"r{d}": ahead("region", s, w), f"v{d}": ahead(value, s, w)})
+    different regions, both directions; needs w1, w2, w3. Neighbours are found slab
+    by slab; sums per pair are combined before their shuffle."""
+    made = ", ".join(f"region{d} short, {value}{d} double" for d in range(3))
+    own = [*KEYS, "idx", "region", value, "w1", "w2", "w3"]
+    wide = on_slabs(voxels, shape, neighbours, made, shape.nx * shape.ny, ["region", value], keep=own)
     parts = F.array(
         *[
             F.struct(
-                F.col(f"r{d}").alias("rj"),
-                (F.col(value) - F.col(f"v{d}")).alias("diff"),
+                F.col(f"region{d}").alias("rj"),
+                (F.col(value) - F.col(f"{value}{d}")).alias("diff"),
                 F.when(F.col(f"w{d + 1}") == 0, 0).otherwise(255 - F.col(f"w{d + 1}").cast("int")).alias("w"),
                 (~shape.last(F.col("idx"), d)).alias("ok"),
             )
@@ -71,7 +70,7 @@ def region_offsets(voxels: DataFrame, shape: Shape, value: str = "unwrapped") ->
 
 def correct_regions(voxels: DataFrame, value: str = "unwrapped") -> DataFrame:
     """Brings each region's median closest to 0 by multiples of 2 pi."""
-    shift = voxels.where("region <> 0").groupBy(*KEYS, "region").agg(F.median(F.rint(F.col(value) / P.TWO_PI)).alias("wraps"))
+    shift = median_of_whole(voxels.where("region <> 0"), [*KEYS, "region"], F.rint(F.col(value) / P.TWO_PI), "wraps")
     df = voxels.join(shift, [*KEYS, "region"], "left")
     return df.withColumn(value, F.col(value) - P.TWO_PI * F.coalesce("wraps", F.lit(0.0))).drop("wraps")
 

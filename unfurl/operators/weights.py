@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import phase as P
 from ..model import Shape
 from . import _stencils as K
+from .ranks import quantile
 from .slabs import on_slabs
 from .stencil import ahead, behind, clear_border, order
 
@@ -61,7 +62,7 @@ def max_magnitude(voxels: DataFrame, q: float = 0.95) -> DataFrame:
     """(image_id, echo, maxmag): interpolated quantile of the finite, masked
     magnitude, one row per volume."""
     m = voxels.select("image_id", "echo", masked_mag(voxels).alias("m"))
-    return m.where(P.is_finite(F.col("m"))).groupBy("image_id", "echo").agg(F.percentile("m", F.lit(q)).alias("maxmag"))
+    return quantile(m.where(P.is_finite(F.col("m"))), ["image_id", "echo"], F.col("m"), q, "maxmag")
 
 
 def qualities(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phase as P
 from ..operators import b0 as B
-from ..operators import grow, masks, offset, post, quality, regions, stencil, weights
+from ..operators import blocks, grow, masks, merging, offset, post, quality, ranks, regions, stencil, weights
 from ..operators.grow import Options
 from . import sql as S
 from .tables import CUBE, LINE, PLANE, TES, echoes, grid, r6, series, smooth, smooth_echoes, table, vectors
@@ -250,6 +250,49 @@ def _(spark, d):
     return o.select("image_id", _l("ri"), _l("rj"), r6(F.col("offset_sum")).alias("offset_sum"), "weight_sum")
 
 
+def _uneven(spark, d) -> DataFrame:
+    """Eight boxes of different sizes as regions, each some wraps off."""
+    x, y, z = CUBE.coordinates(F.col("idx"))
+    region = 1 + (x >= 1).cast("int") + 2 * (y >= 2).cast("int") + 4 * (z >= 3).cast("int")
+    w = weights.edge_weights(vectors(spark, d, mag=True), CUBE).withColumn("region", region.cast("short"))
+    return w.withColumn("unwrapped", F.col("phase") + P.TWO_PI * ((F.col("region") * 5 + F.col("image_id")) % 4))
+
+
+@query("merge_table", S.merge_table())
+def _(spark, d):
+    v = _uneven(spark, d)
+    m = merging.merges(regions.region_offsets(v, CUBE), regions.region_sizes(v))
+    return m.select("image_id", _l("region"), _l("merged"), _l("wraps"), "root")
+
+
+@query("merge_voxels", S.merge_table(voxels=True))
+def _(spark, d):
+    m = merging.merge_regions(_uneven(spark, d), CUBE)
+    return m.select("image_id", "idx", _l("region"), r6(F.col("unwrapped")).alias("value"))
+
+
+@query("unwrap_blocks", S.rise(CUBE))
+def _(spark, d):
+    return _risen(blocks.unwrap_blocks(smooth(spark, d, CUBE), CUBE, block=16))
+
+
+@query("unwrap_blocks_field", S.field(10, 10))
+def _(spark, d):
+    """One image, whose blocks are grown by different tasks."""
+    v, shape = grid(spark, d, 10, 10)
+    u = blocks.unwrap_blocks(v, shape, block=500)
+    first = u.where("idx = 0").select((F.col("truth") - F.col("unwrapped")).alias("shift"))
+    return u.crossJoin(F.broadcast(first)).select("idx", r6(F.col("unwrapped") + F.col("shift")).alias("value"))
+
+
+@query("quantile_exact", f"SELECT l_returnflag, {S.r6('quantile_cont(l_extendedprice, 0.37)')} AS q, {S.r6('median(round_even(l_quantity / 3e0, 0))')} AS m FROM lineitem GROUP BY 1")
+def _(spark, d):
+    t = table(spark, d, "lineitem")
+    q = ranks.quantile(t, ["l_returnflag"], F.col("l_extendedprice"), 0.37, "q")
+    m = ranks.median_of_whole(t, ["l_returnflag"], F.rint(F.col("l_quantity") / 3.0), "m")
+    return q.join(m, "l_returnflag").select("l_returnflag", r6(F.col("q")).alias("q"), r6(F.col("m")).alias("m"))
+
+
 @query("correct_regions", S.correct_regions())
 def _(spark, d):
     v = _labelled(spark, d).withColumn("unwrapped", F.col("phase") + P.TWO_PI * F.col("region"))

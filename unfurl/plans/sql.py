@@ -220,6 +220,45 @@ both_ways AS (SELECT * FROM e UNION ALL SELECT image_id, rj, ri, -o, w FROM e)
 SELECT image_id, ri, rj, {r6("sum(o)")} AS offset_sum, CAST(sum(w) AS BIGINT) AS weight_sum FROM both_ways GROUP BY 1, 2, 3"""
 
 
+UNEVEN = "1 + CAST(idx % 4 >= 1 AS INTEGER) + 2 * CAST((idx // 4) % 4 >= 2 AS INTEGER) + 4 * CAST(idx // 16 >= 3 AS INTEGER)"
+
+
+def merge_table(voxels: bool = False) -> str:
+    """Two recursions: one settles regions root by root and lists the pairs in the
+    order they are met, the other applies them to labels and wraps."""
+    taps = ", ".join(f"lead(u, {s}) OVER w AS u{d}, lead(reg, {s}) OVER w AS r{d}" for d, s in enumerate(STRIDES, 1))
+    parts = " UNION ALL ".join(
+        f"SELECT image_id, reg AS ri, r{d} AS rj, (u - u{d}) * wd AS o, wd AS w FROM (SELECT *, CASE WHEN w{d} = 0 THEN 0 ELSE 255 - w{d} END AS wd FROM t) WHERE NOT ({LAST[d - 1]}) AND reg <> r{d}"
+        for d in (1, 2, 3)
+    )
+    out = (
+        f"SELECT image_id, idx, CAST(label[reg] AS BIGINT) AS region, {r6(f'u + {TP} * wraps[reg]')} AS value FROM lab JOIN final USING (image_id)"
+        if voxels
+        else "SELECT image_id, CAST(r AS BIGINT) AS region, CAST(label[r] AS BIGINT) AS merged, CAST(wraps[r] AS BIGINT) AS wraps, list_contains(roots, r) AS root FROM final, (SELECT unnest(range(1, 9)) AS r)"
+    )
+    return f"""WITH RECURSIVE {weight_ctes(DEFAULT, mag=True)},
+lab AS (SELECT image_id, idx, w1, w2, w3, reg, phase + {TP} * ((reg * 5 + image_id) % 4) AS u FROM (SELECT *, {UNEVEN} AS reg FROM wts JOIN (SELECT image_id, idx, phase FROM vox) USING (image_id, idx))),
+t AS (SELECT *, {taps} FROM lab WINDOW w AS (PARTITION BY image_id ORDER BY idx)), e AS ({parts}),
+sums AS (SELECT image_id, ri, rj, sum(o) AS o, sum(w) AS w FROM (SELECT * FROM e UNION ALL SELECT image_id, rj, ri, -o, w FROM e) GROUP BY 1, 2, 3 HAVING sum(w) > 0),
+touching AS (SELECT image_id, list({{'i': ri, 'j': rj, 'k': round_even(o / w / {TP}, 0)}} ORDER BY w DESC, rj, ri) AS pairs FROM sums GROUP BY 1),
+sizes AS (SELECT image_id, list(reg ORDER BY n DESC, reg) AS by_size FROM (SELECT image_id, reg, count(*) AS n FROM lab GROUP BY 1, 2) GROUP BY 1),
+settle AS (
+  SELECT image_id, by_size, pairs, CAST([] AS INTEGER[]) AS done, CAST([] AS INTEGER[]) AS roots, list_filter(pairs, lambda p: false) AS met FROM touching JOIN sizes USING (image_id)
+  UNION ALL
+  SELECT image_id, by_size, pairs, list_distinct(list_concat(now, list_transform(turn, lambda p: p.j))), list_append(roots, root), list_concat(met, turn)
+  FROM (SELECT *, list_filter(pairs, lambda p: list_contains(now, p.i) AND NOT list_contains(now, p.j)) AS turn
+    FROM (SELECT *, list_append(done, root) AS now FROM (SELECT *, list_filter(by_size, lambda r: NOT list_contains(done, r))[1] AS root FROM settle WHERE len(done) < 8)))),
+settled AS (SELECT * FROM settle WHERE len(done) = 8),
+apply AS (
+  SELECT image_id, roots, met, 0 AS n, CAST(range(1, 9) AS BIGINT[]) AS label, list_transform(range(1, 9), lambda r: 0e0) AS wraps FROM settled
+  UNION ALL
+  SELECT image_id, roots, met, n + 1, list_transform(label, lambda x: CASE WHEN p.k <> 0 AND x = p.j THEN p.i ELSE x END),
+    list_transform(range(1, 9), lambda r: wraps[r] + CASE WHEN label[r] = p.j THEN p.k ELSE 0e0 END)
+  FROM (SELECT *, met[n + 1] AS p FROM apply WHERE n < len(met))),
+final AS (SELECT * FROM apply WHERE n = len(met))
+{out}"""
+
+
 def correct_regions() -> str:
     return f"""WITH {VOX}, v AS (SELECT image_id, idx, {LABEL} AS reg, phase + {TP} * ({LABEL}) AS u FROM vox),
 m AS (SELECT image_id, reg, median(round_even(u / {TP}, 0)) AS k FROM v GROUP BY 1, 2)

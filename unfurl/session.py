@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
@@ -20,3 +21,16 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder of spark.checkpoint.dir and read from there, so
+    that what follows does not compute it again, also when executors are lost. A
+    local session without such a folder gets one of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="unfurl-"))
+    return df.checkpoint()
