@@ -143,10 +143,18 @@ def write_files(volumes: DataFrame, value: str, folder: str, prefix: str = "imag
                 os.replace(part, path)
             yield pdf[["path"]]
 
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError("write_files writes to a shared mount; use format nifti for other stores")
     files = to_files(volumes, value, folder.removeprefix("file://"), prefix, gz)
     return sorted(r.path for r in files.mapInPandas(save, "path string").collect())
 
 
+def named_files(volumes: DataFrame, value: str, prefix: str = "image", gz: bool = False) -> DataFrame:
+    """(name, content) per image, as format "nifti" writes them."""
+    files = to_files(volumes, value, "", prefix, gz)
+    return files.select(F.ltrim("path", F.lit("/")).alias("name"), "content")
+
+
 def to_files(volumes: DataFrame, value: str, folder: str, prefix: str = "image", gz: bool = False) -> DataFrame:
     """(path, content) per image: echoes stacked in the fourth dimension. The
     caller writes content wherever it wants; an image is one row."""
