@@ -327,7 +327,10 @@ def cluster(docs: DataFrame) -> DataFrame:
             F.first("n_shingles").alias("n"), F.first("sign").alias("sign"),
         )
         sets = spill(own.withColumn("sid", F.monotonically_increasing_id()), "sets")
-        groups = spill(met(sets), "met")
+        # The smallest that a set met in its batch has met smaller ones itself.
+        near = spill(met(sets), "met")
+        further = near.select(F.col("sid").alias("to"), F.col("to").alias("top"))
+        groups = spill(near.join(further, "to").select("sid", F.col("top").alias("to")), "groups")
         wanted = spill(sets.join(groups, "sid").select("sid", "sign", "n", "rep", F.col("to").alias("grp")), "wanted")
         tokens = spill(tokens_of(docs, wanted), "tokens")
         size = groups.groupBy(F.col("to").alias("grp")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
