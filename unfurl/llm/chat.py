@@ -4,8 +4,9 @@ A renderer is any function from a list of (role, text) turns to one string.
 Successive prefixes are rendered and consecutive outputs compared: what a turn
 appends is its span, and a renderer whose output for a longer prefix does not
 start with its output for the shorter one rewrites history, which is reported.
-Where a text lies inside its span is found by rendering the turn once with a
-sentinel. For a renderer that declares itself a concatenation of turns, window
+Where a text lies inside its span is told by what stands around a sentinel in its
+place: once in a turn alone and once in the whole conversation where both agree with
+the span, else in the turn's own prefix. A sentinel occurs in no text. For a renderer that declares itself a concatenation of turns, window
 compares windows of turns instead of all prefixes, so that conversations of very
 many turns stay linear; the registered query renders every whole prefix.
 
@@ -29,7 +30,6 @@ CONTROL = re.compile(r"([\\#<])")
 ROLE_CONTROL = re.compile(r"([\\#<:\n])")
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 TURN = re.compile(r"### ([^\\:#<\n]*(?:\\.[^\\:#<\n]*)*): ([^\\#<]*(?:\\.[^\\#<]*)*) </turn>\n", re.DOTALL)
-SENTINEL = "\ue000"
 FIXTURE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
@@ -59,6 +59,26 @@ def parse(formatted: str) -> Turns:
     return turns
 
 
+def sentinel(turns: Turns) -> str:
+    """A private-use character that occurs in no role or text; where all do, a longer
+    run of the first than any of them holds."""
+    used = {c for turn in turns for x in turn for c in x if c >= "\ue000"}
+    free = next((c for c in map(chr, [*range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE), *range(0x100000, 0x10FFFE)]) if c not in used), None)
+    longest = max((len(m) for turn in turns for x in turn for m in re.findall("\ue000+", x)), default=0)
+    return free or "\ue000" * (longest + 1)
+
+
+def frames(turns: Turns, render: Callable[[Turns], str], mark: str) -> list[tuple[str, str]] | None:
+    """What stands before and after each text, if turns alone and the whole
+    conversation agree on it."""
+    alone = {role: tuple(render([(role, mark)]).split(mark)) for role in {r for r, _ in turns}}
+    if not turns or any(len(x) != 2 for x in alone.values()):
+        return None
+    around = [alone[role] for role, _ in turns]
+    between = [around[0][0], *[a[1] + b[0] for a, b in zip(around, around[1:])], around[-1][1]]
+    return around if render([(role, mark) for role, _ in turns]).split(mark) == between else None
+
+
 def spans(turns: Turns, render: Callable[[Turns], str], window: int | None = None) -> tuple[str, list[tuple[int, int]], list[int]]:
     """(output, text span of each turn, turns at which history was rewritten).
 
@@ -67,31 +87,35 @@ def spans(turns: Turns, render: Callable[[Turns], str], window: int | None = Non
     the pieces of a window do not add up to it, whole prefixes are rendered. Where
     history was rewritten, each text's span is sought in the whole output, and is
     empty if the text is not shown."""
-    whole = render(turns)
-    pieces, found, rewritten, done = [], [], [], 0
+    mark = sentinel(turns)
+    around = frames(turns, render, mark)
+    pieces, found, rewritten, done, after = [], [], [], 0, ""
     for i in range(len(turns)):
         lo = 0 if window is None else max(0, i - window)
-        before, after = render(turns[lo:i]) if i > lo else "", render(turns[lo : i + 1])
+        before = after if lo == 0 else render(turns[lo:i]) if i > lo else ""
+        after = render(turns[lo : i + 1])
         if not after.startswith(before):
             rewritten.append(i)
             common = next((k for k, (a, b) in enumerate(zip(before, after)) if a != b), min(len(before), len(after)))
             before = before[:common]
-        probe = render(turns[lo:i] + [(turns[i][0], SENTINEL)])
-        head = probe.rfind(SENTINEL)
-        tail = len(probe) - head - len(SENTINEL)
         piece = after[len(before) :]
-        start = head - len(before)
+        start, tail = map(len, around[i]) if around else (0, 0)
+        if around is None or not (piece.startswith(around[i][0]) and piece.endswith(around[i][1]) and len(piece) >= start + tail):
+            probe = render(turns[lo:i] + [(turns[i][0], mark)])
+            head = probe.rfind(mark)
+            start, tail = head - len(before), len(probe) - head - len(mark)
         found.append((done + start, done + len(piece) - tail))
         pieces.append(piece)
         done += len(piece)
+    whole = after if window is None else render(turns)
     if window is not None and (rewritten or "".join(pieces) != whole):
         return spans(turns, render)
     if rewritten:
         found = []
         for i, (role, _) in enumerate(turns):
-            probe = render([*turns[:i], (role, SENTINEL), *turns[i + 1 :]])
-            head = probe.rfind(SENTINEL)
-            found.append((head, len(whole) - (len(probe) - head - len(SENTINEL))) if head >= 0 else (0, 0))
+            probe = render([*turns[:i], (role, mark), *turns[i + 1 :]])
+            head = probe.rfind(mark)
+            found.append((head, len(whole) - (len(probe) - head - len(mark))) if head >= 0 else (0, 0))
     return whole, found, rewritten
 
 
