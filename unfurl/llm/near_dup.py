@@ -37,7 +37,8 @@ from ._dist import components, hidden, join_hot, shown, shuffle_width, spill, te
 
 SHINGLE, NUM, DEN = 5, 75, 100
 SKETCH_BITS, CHUNK_BITS = 22, 17
-BLOCK = 256
+#: Sets of a block; parts of the token space for each shuffle partition.
+BLOCK, PARTS = 256, 4
 _SHORT = np.uint64(0x51ED270B7A3C1D25)
 
 
@@ -197,7 +198,7 @@ def shared_tokens(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     """(token, sid, n, at): prefix tokens that two members of fitting size have, and
     their places in the member's order."""
     spark = docs.sparkSession
-    width = shuffle_width(spark)
+    width = PARTS * shuffle_width(spark)  # each is met whole
     held = spark.sparkContext.broadcast(classes.astype(np.uint8))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
