@@ -8,13 +8,12 @@ sources' target weights (a document may come twice) and put into shards.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from unfurl.llm import decontaminate, mixing, near_dup, quality, sharding
-from unfurl.llm._dist import shared_dir
+from unfurl.llm._dist import spill, temporary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 SHARDS = 24
@@ -57,8 +56,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/unfurl/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    with temporary(spark):
+        for name, stage in STAGES[:-1]:
+            with temporary(spark):
+                docs = spill(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        name, stage = STAGES[-1]
+        return spill(stage(spark, docs, sf_dir), name, keep=True)

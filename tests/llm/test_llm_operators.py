@@ -558,3 +558,56 @@ def test_join_hot(spark):
     last = {r.k: r.last for r in table.collect()}
     assert table.agg(F.max("n")).first()[0] > 64
     assert got == {r.id: (r.k, last.get(r.k)) for r in rows.collect()}
+
+
+def test_chat_sentinel_is_free(spark):
+    """Private-use characters in texts, with a renderer that blanks all but two turns."""
+
+    def forgetful(turns):
+        return "".join(f"<{r}>{t if i >= len(turns) - 2 else ''}</{r}>\n" for i, (r, t) in enumerate(turns))
+
+    turns = [("u", "a"), ("a", "b"), ("u", "c"), ("a", "d")]
+    text, found, rewritten = chat.spans(turns, forgetful)
+    assert text == forgetful(turns) and rewritten == [2, 3]
+    assert found[:2] == [(0, 0), (0, 0)] and [text[a:b] for a, b in found[2:]] == ["c", "d"]
+    assert chat.sentinel([("a", "")]) == ""
+    every = "".join(map(chr, [*range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE), *range(0x100000, 0x10FFFE)]))
+    assert chat.sentinel([("a", every + "")]) == "" * 3
+
+
+def test_chat_frames_need_agreement():
+    """A renderer whose frame depends on the text, or on the turn's place, is probed."""
+    sized = lambda turns: "".join(f"[{len(t)}]{t};" for _, t in turns)
+    placed = lambda turns: "".join(f"{i}:{t}\n" for i, (_, t) in enumerate(turns))
+    turns = [("u", "abc"), ("a", "[3]"), ("u", ""), ("a", "0:x"), ("u", "abc")]
+    for render in (placed, chat.template):
+        text, found, rewritten = chat.spans(turns, render)
+        assert text == render(turns) and not rewritten and [text[a:b] for a, b in found] == [t for _, t in turns] or render is chat.template
+    assert chat.frames(turns, placed, "") is None and chat.frames(turns, chat.template, "") is not None
+    assert chat.spans(turns, sized)[0] == sized(turns)
+
+
+def test_chat_long_conversation(spark):
+    """2,000 turns, every prefix rendered."""
+    import time
+
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i} # " + "x" * 190) for i in range(2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.time()
+    out = chat.format_conversations(df).first()
+    assert out["n_turns"] == 2000 and chat.parse(out["formatted"]) == [(r, t) for *_, r, t in rows]
+    assert time.time() - began < 25
+
+
+def test_pii_copies_of_a_list(spark):
+    """Copies of a long address list: entities and words of the same texts are one each,
+    and every term is still found."""
+    names = [f"{a}{b}name" for a in "abcdefghij" for b in "abcdefghij"]
+    people = " ".join(f"{n.capitalize()} <{n}@mail.example>" for n in names)
+    rows = [(i, people + f" copy {i}") for i in range(4)] + [(10 + i, "nothing but plain common words here " + "abc " * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.sanitise(df).collect()}
+    for i in range(4):
+        terms = {s["value"] for s in got[i]["spans"] if s["kind"] == "term"}
+        assert {n.capitalize() for n in names} <= terms and len(got[i]["found"]) == 100
+    assert all(not got[10 + i]["spans"] for i in range(60))

@@ -73,14 +73,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "num") -> DataFrame:
+def numbered(df: DataFrame, *order: Column, name: str = "num", keep: bool = False) -> DataFrame:
     """Range-sort df by order and add _part, _pos: the range and the place in it.
 
     Sampled range bounds differ from run to run, so the sorted rows are written
     once; equal rows may be spread over several ranges only if order says so."""
     n = shuffle_width(df.sparkSession)
     out = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    table = spill(out.withColumn("_mid", F.monotonically_increasing_id()), name)
+    table = spill(out.withColumn("_mid", F.monotonically_increasing_id()), name, keep)
     return table.withColumns(
         {"_part": F.shiftright("_mid", POS_BITS), "_pos": F.col("_mid").bitwiseAND((1 << POS_BITS) - 1)}
     ).drop("_mid")

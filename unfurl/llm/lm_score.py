@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._dist import spill
+from ._dist import spill, temporary
 
 ORDER, START, END = 3, 0xFE, 0xFF  # neither byte occurs in UTF-8
 MAX_CONTEXTS, HEAD_WORDS = 32_000, 300_000
@@ -258,6 +258,11 @@ def adaptive_score(text: str | None, order: int = ORDER) -> float:
 def score(docs: DataFrame, held_out: Column, max_contexts: int = MAX_CONTEXTS, head_words: int = HEAD_WORDS) -> DataFrame:
     """docs (doc_id, text) with held_out, n_tokens, n_known, train_tokens,
     base_score and score, learning from the rows that are not held out."""
+    with temporary(docs.sparkSession):
+        return spill(_score(docs, held_out, max_contexts, head_words), "scores", keep=True)
+
+
+def _score(docs: DataFrame, held_out: Column, max_contexts: int, head_words: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     counts = spill(gather(rows.where(~F.col("held_out"))), "counts")

@@ -51,23 +51,24 @@ def mix(
     kept = df.columns
     rows = df.withColumns({"source": F.col(kept[names.index("source")]), "size": F.col(kept[names.index("size")])})
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), *kept))
-    queue = numbered(rows, F.col("source").asc_nulls_last(), F.col("_h"), F.rand(seed), name="queue")
-    sizes = spill(queue.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    total = sizes.agg(F.sum("source_size")).first()[0] or 0
-    budget = budget_share * total
-    before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    start = sizes.select(F.col("source").alias("_s"), F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("_start"))
-    aim = source_targets(sizes, weights, budget, repeat_cap)
-    plan = spill(aim.join(start, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_s"), "plan")
-    rows = running_sum(queue, "size", "_cum").join(plan, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    passes = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(repeat_cap - 1))))
-    finish = F.when(
-        F.col("target") > 0, (F.col("_pass") * F.col("source_size") + F.col("_cum") - F.col("_start")) / F.col("target")
-    ).otherwise(F.lit(0.0))
-    entries = passes.select(
-        *kept, "size", "source_size", "target", finish.alias("_finish"), F.col("_part").alias("_qp"), F.col("_pos").alias("_qi"), "_pass"
-    )
-    queued = numbered(entries, F.col("_finish"), F.col("_qp"), F.col("_qi"), F.col("_pass"), name="finish")
+    with temporary(df.sparkSession):
+        queue = numbered(rows, F.col("source").asc_nulls_last(), F.col("_h"), F.rand(seed), name="queue")
+        sizes = spill(queue.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+        total = sizes.agg(F.sum("source_size")).first()[0] or 0
+        budget = budget_share * total
+        before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        start = sizes.select(F.col("source").alias("_s"), F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("_start"))
+        aim = source_targets(sizes, weights, budget, repeat_cap)
+        plan = spill(aim.join(start, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_s"), "plan")
+        rows = running_sum(queue, "size", "_cum").join(plan, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        passes = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(repeat_cap - 1))))
+        finish = F.when(
+            F.col("target") > 0, (F.col("_pass") * F.col("source_size") + F.col("_cum") - F.col("_start")) / F.col("target")
+        ).otherwise(F.lit(0.0))
+        entries = passes.select(
+            *kept, "size", "source_size", "target", finish.alias("_finish"), F.col("_part").alias("_qp"), F.col("_pos").alias("_qi"), "_pass"
+        )
+        queued = numbered(entries, F.col("_finish"), F.col("_qp"), F.col("_qi"), F.col("_pass"), name="finish", keep=True)
     served = running_sum(queued, "size", "_used").withColumn(
         "_take", F.when(F.col("_used") <= F.lit(budget), F.col("size")).otherwise(F.lit(0))
     )

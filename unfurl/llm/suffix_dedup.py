@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words
-from ._dist import numbered, row_numbers, shuffle_width, spill
+from ._dist import numbered, row_numbers, shuffle_width, spill, temporary
 
 LENGTH, GRAM = 100, 24
 #: Blocks or strings that a task holds before it sends them on.
@@ -463,7 +463,7 @@ def placed(docs: DataFrame) -> DataFrame:
     ranks = row_numbers(numbered(ids, F.col("id").asc_nulls_first(), F.col("k1"), F.col("k2"), name="ranks"), "doc")
     ranks = ranks.select(F.col("id").alias("rid"), F.col("k1").alias("r1"), F.col("k2").alias("r2"), "doc").hint("shuffle_hash")
     same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2"))
-    return spill(keyed.join(ranks, same).select("id", "text", "doc"), "texts")
+    return spill(keyed.join(ranks, same).select("id", "text", "doc"), "texts", keep=True)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -514,8 +514,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs: id, text. One row per row: id, n_bytes, n_removed, n_spans,
     kept_sha256 and kept, the bytes left (null if nothing was removed)."""
-    texts = placed(docs)
-    gone = repeats(texts, length, gram).select(F.col("doc").alias("gdoc"), "ranges").hint("shuffle_hash")
+    with temporary(docs.sparkSession):
+        texts = placed(docs)
+    with temporary(docs.sparkSession):
+        gone = spill(repeats(texts, length, gram), "ranges", keep=True)
+    gone = gone.select(F.col("doc").alias("gdoc"), "ranges").hint("shuffle_hash")
     rows = texts.join(gone, F.col("doc") == F.col("gdoc"), "left").select("id", "text", "ranges")
     kind = dict(texts.dtypes)["id"]
     return rows.mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
