@@ -1,7 +1,7 @@
 """Spatial and multi-echo unwrapping: DataFrame in, DataFrame out.
 
 Volume rows hold an image in one row per echo. Single-echo images are unwrapped
-row by row where they lie (mapInPandas, no shuffle); multi-echo images are
+row by row where they lie (mapInArrow, no shuffle); multi-echo images are
 grouped by image once. Voxel tables take one shuffle on image_id, which any
 stencil on them shares. The work is sequential within an image and parallel over
 images; an image's memory is some 60 bytes a voxel."""
@@ -12,131 +12,103 @@ from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Shape
 from . import _kernel as K
+from .slabs import runs, values_of
 
 Options = K.Options
-#: Voxels up to which images are handed to Python many at a time.
-SMALL = 4096
 RESULT = "image_id long, echo int, unwrapped array<double>, region array<short>"
 
 
-def _array(x) -> np.ndarray | None:
-    return None if x is None or (isinstance(x, float) and np.isnan(x)) else np.asarray(x, float)
+def _lists(batch: pa.RecordBatch, name: str, kind=float) -> list[np.ndarray | None] | None:
+    """The arrays of a list column, without a Python object per value."""
+    if name not in batch.schema.names:
+        return None
+    lists = batch.column(name)
+    values = lists.values
+    values = values.fill_null(False) if pa.types.is_boolean(values.type) else values
+    flat, cut = values.to_numpy(zero_copy_only=False).astype(kind), lists.offsets.to_numpy()
+    return [flat[lo:hi] if ok else None for lo, hi, ok in zip(cut[:-1], cut[1:], lists.is_valid().to_pylist())]
 
 
-def _optional(pdf: pd.DataFrame, name: str) -> list[np.ndarray | None]:
-    return [_array(x) for x in pdf[name]] if name in pdf.columns else [None] * len(pdf)
-
-
-def _mask(x: np.ndarray | None) -> np.ndarray | None:
-    return None if x is None else x.astype(bool)
+def _joined(arrays: list[np.ndarray], kind) -> pa.ListArray:
+    cut = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([np.zeros(0, kind), *arrays]).astype(kind)))
 
 
 def unwrap_volumes(volumes: DataFrame, options: Options = Options(), multi_echo: bool = False) -> DataFrame:
     """RESULT rows for volumes (image_id, echo, nx, ny, nz, phase, and mag, mask,
     phase2 where they exist). With multi_echo, echo times come from options.tes
-    or, if that is None, from column te."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, (mag, mask, p2) in enumerate(zip(_optional(pdf, "mag"), _optional(pdf, "mask"), _optional(pdf, "phase2"))):
-                r = pdf.iloc[i]
-                o = replace(options, shape=(int(r["nx"]), int(r["ny"]), int(r["nz"])))
-                u, region = K.unwrap3d(_array(r["phase"]), o, mag, _mask(mask), p2)
-                out.append((r["image_id"], r["echo"], u, region.astype(np.int16)))
-            yield pd.DataFrame(out, columns=["image_id", "echo", "unwrapped", "region"])
-
-    def image(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("echo")
-        mags = _optional(pdf, "mag")
-        tes = options.tes or tuple(float(t) for t in pdf["te"])
-        shape = tuple(int(pdf[c].iloc[0]) for c in ("nx", "ny", "nz"))
-        u, regions = K.run_image(
-            shape,
-            [_array(x) for x in pdf["phase"]],
-            replace(options, tes=tes),
-            None if mags[0] is None else mags,
-            _mask(_optional(pdf, "mask")[0]),
-            _optional(pdf, "phase2")[0],
-        )
-        return pd.DataFrame(
-            {"image_id": pdf["image_id"].to_numpy(), "echo": pdf["echo"].to_numpy(), "unwrapped": u, "region": [r.astype(np.int16) for r in regions]}
-        )
+    or, if that is None, from column te; an image's echoes come together by a shuffle."""
+
+    def solved(t: pa.RecordBatch, cut: np.ndarray) -> pa.RecordBatch:
+        """Rows cut[i] to cut[i + 1] are the echoes of one image."""
+        phase, mag, p2, mask = _lists(t, "phase"), _lists(t, "mag"), _lists(t, "phase2"), _lists(t, "mask", bool)
+        boxes = list(zip(*[t.column(c).to_pylist() for c in ("nx", "ny", "nz")]))
+        te = t.column("te").to_pylist() if "te" in t.schema.names else None
+        unwrapped, regions = [], []
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            one = lambda x: None if x is None else x[lo]
+            o = replace(options, tes=options.tes or (tuple(te[lo:hi]) if multi_echo and te else None))
+            mags = None if one(mag) is None else mag[lo:hi]
+            u, r = K.run_image(boxes[lo], phase[lo:hi], o, mags, one(mask), one(p2))
+            unwrapped += u
+            regions += r
+        return pa.RecordBatch.from_arrays([t.column("image_id"), t.column("echo"), _joined(unwrapped, np.float64), _joined(regions, np.int16)], ["image_id", "echo", "unwrapped", "region"])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield solved(batch, np.arange(batch.num_rows + 1))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cut in runs(batches, [0]):
+            for batch in t.combine_chunks().to_batches():
+                yield solved(batch, cut)
 
+    wanted = [c for c in ("image_id", "echo", "nx", "ny", "nz", "te", "phase", "mag", "mask", "phase2") if c in volumes.columns]
+    slim = volumes.select(F.col("image_id").cast("long"), F.col("echo").cast("int"), *wanted[2:])
     if multi_echo:
-        return volumes.groupBy("image_id").applyInPandas(image, RESULT)
-    return volumes.mapInPandas(rows, RESULT)
+        return slim.repartition("image_id").sortWithinPartitions("image_id", "echo").mapInArrow(together, RESULT)
+    return slim.mapInArrow(alone, RESULT)
 
 
 def unwrap(voxels: DataFrame, shape: Shape | None, options: Options = Options(), multi_echo: bool = False, by: tuple[str, ...] = ("image_id", "echo")) -> DataFrame:
-    """voxels with unwrapped double and region short. A volume is one task's work
-    and one group; idx orders it. Without a shape every group is 1-D."""
-    has = set(voxels.columns)
+    """voxels with unwrapped double and region short. An image is one task's work,
+    and many small ones come to Python together; idx orders it. Without a shape every
+    group is 1-D."""
+    names, keys = voxels.columns, ["image_id"] if multi_echo else list(by)
+    taken = list(dict.fromkeys([*keys, *names]))
     fields = ", ".join(f"`{n}` {t}" for n, t in voxels.dtypes)
-    if shape and shape.nx * shape.ny * shape.nz <= SMALL and "map<" not in fields:
-        return _unwrap_small(voxels, shape, options, multi_echo, by)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = ["echo", "idx"] if multi_echo else ["idx"]
-        pdf = pdf.sort_values(order)
-        parts = [g for _, g in pdf.groupby("echo", sort=True)] if multi_echo else [pdf]
-        get = lambda g, c, kind=float: g[c].to_numpy(kind) if c in has else None
-        mags = [get(g, "mag") for g in parts]
-        tes = options.tes or (tuple(float(g["te"].iloc[0]) for g in parts) if "te" in has else None)
-        box = (shape.nx, shape.ny, shape.nz) if shape else (len(parts[0]), 1, 1)
-        u, regions = K.run_image(
-            box, [get(g, "phase") for g in parts], replace(options, tes=tes), None if mags[0] is None else mags, get(parts[0], "mask", bool), get(parts[0], "phase2")
-        )
-        return pdf.assign(unwrapped=np.concatenate(u), region=np.concatenate(regions).astype(np.int16))
-
-    keys = ("image_id",) if multi_echo else by
-    return voxels.groupBy(*keys).applyInPandas(one, fields + ", unwrapped double, region short")
-
-
-def _unwrap_small(voxels: DataFrame, shape: Shape, options: Options, multi_echo: bool, by: tuple[str, ...]) -> DataFrame:
-    """unwrap() for small images, which come many at a time as one row each."""
-    names, first = voxels.columns, ["echo", "idx"] if multi_echo else ["idx"]
-    order = [*first, *[c for c in names if c not in first]]
-    v = F.sort_array(F.collect_list(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)])))
-    images = voxels.groupBy(*(("image_id",) if multi_echo else by)).agg(v.alias("v")).select("v")
-    kind = images.dtypes[0][1]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(0)
-            cut = lists.offsets.to_numpy()
-            flat = lists.values
-
-            def get(c: str, kind=float) -> np.ndarray | None:
-                return flat.field(order.index(c)).to_numpy(zero_copy_only=False).astype(kind) if c in names else None
-
+        for t, cut in runs(batches, list(range(len(keys)))):
+            get = lambda c, kind=float: values_of(t, c).astype(kind) if c in names else None
             phase, mag, p2, mask, te = get("phase"), get("mag"), get("phase2"), get("mask", bool), get("te")
             echo = get("echo", np.int64) if multi_echo else None
             unwrapped, regions = [], []
-            for lo, hi in zip(cut[:-1], cut[1:]):
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 ends = [lo, *(lo + 1 + np.flatnonzero(echo[lo + 1 : hi] != echo[lo : hi - 1])), hi] if multi_echo else [lo, hi]
                 parts = [slice(a, b) for a, b in zip(ends[:-1], ends[1:])]
                 part = lambda x: None if x is None else x[parts[0]]
                 o = replace(options, tes=options.tes or (None if te is None else tuple(float(te[s][0]) for s in parts)))
+                box = (shape.nx, shape.ny, shape.nz) if shape else (parts[0].stop - lo, 1, 1)
                 mags = None if mag is None else [mag[s] for s in parts]
-                u, region = K.run_image((shape.nx, shape.ny, shape.nz), [phase[s] for s in parts], o, mags, part(mask), part(p2))
+                u, region = K.run_image(box, [phase[s] for s in parts], o, mags, part(mask), part(p2))
                 unwrapped += u
                 regions += region
-            joined = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(t)
-            at = pa.array(cut - cut[0], pa.int32())
-            out = [pa.ListArray.from_arrays(at, pa.array(joined(x, t))) for x, t in ((unwrapped, np.float64), (regions, np.int16))]
-            yield pa.RecordBatch.from_arrays([lists, *out], ["v", "unwrapped", "region"])
-
-    done = images.mapInArrow(rows, f"v {kind}, unwrapped array<double>, region array<short>")
-    one = done.select(F.explode(F.arrays_zip("v", "unwrapped", "region")).alias("x"))
-    return one.select(*[F.col(f"x.v.c{order.index(c)}").alias(c) for c in names], "x.unwrapped", "x.region")
+            made = [np.concatenate(unwrapped), np.concatenate(regions).astype(np.int16)]
+            for lo in range(0, t.num_rows, 65536):
+                own = t.select(names).slice(lo, 65536).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(x[lo : lo + 65536]) for x in made]], [*names, "unwrapped", "region"])
+
+    order = [*keys, "echo", "idx"] if multi_echo else [*keys, "idx"]
+    placed = voxels.select(*[F.col(f"`{c}`") for c in taken]).repartition(*[F.col(f"`{c}`") for c in keys]).sortWithinPartitions(*order)
+    return placed.mapInArrow(rows, fields + ", unwrapped double, region short")
 
 
 def unwrap_individual(volumes: DataFrame, options: Options = Options()) -> DataFrame:

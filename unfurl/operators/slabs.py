@@ -40,29 +40,34 @@ def with_halos(voxels: DataFrame, shape: Shape, reach: int, slab: int | None = N
     return voxels.withColumn("_slab", F.explode(F.array_compact(F.array(before, own, after))))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(rows of whole groups, where each starts and the last ends) of a sorted stream."""
+def _codes(c) -> np.ndarray:
+    """A column's values, or numbers for them, so that nulls are equal to nulls."""
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    return c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if c.null_count else c.to_numpy(zero_copy_only=False)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows of whole groups, where each starts and the last ends) of a stream that is
+    sorted by keys."""
     held: list[pa.RecordBatch] = []
 
-    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
-        t = pa.Table.from_batches(parts).combine_chunks()
+    def changes(t) -> np.ndarray:
         new = np.zeros(t.num_rows, bool)
         new[:1] = True
         for k in keys:
-            c = t.column(k).to_numpy()
+            c = _codes(t.column(k))
             new[1:] |= c[1:] != c[:-1]
-        return t, np.append(np.flatnonzero(new), t.num_rows)
+        return np.flatnonzero(new)
+
+    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        return t, np.append(changes(t), t.num_rows)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = [batch.column(k) for k in keys]
-        last = 0
-        for c in ends:
-            c = c.to_numpy(zero_copy_only=False)
-            change = np.flatnonzero(c[1:] != c[:-1])
-            last = max(last, int(change[-1]) + 1 if len(change) else 0)
-        if last == 0 and held and all(c[0].as_py() == held[-1].column(k)[-1].as_py() for k, c in zip(keys, ends)):
+        last = int(changes(batch)[-1])
+        if last == 0 and held and all(batch.column(k)[0].as_py() == held[-1].column(k)[-1].as_py() for k in keys):
             held.append(batch)
             continue
         if held or last:
@@ -72,7 +77,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[tuple[
         yield whole(held)
 
 
-def _values(t: pa.Table, name: str) -> np.ndarray:
+def values_of(t: pa.Table, name: str) -> np.ndarray:
     c = t.column(name)
     if pa.types.is_boolean(c.type):
         return c.fill_null(False).to_numpy()
@@ -94,9 +99,9 @@ def on_slabs(
     kinds = {"short": pa.int16(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, cut in _runs(batches, key_at):
+        for t, cut in runs(batches, key_at):
             idx, number = t.column("idx").to_numpy(), t.column("_slab").to_numpy()
-            values = {c: _values(t, c) for c in columns}
+            values = {c: values_of(t, c) for c in columns}
             first, size = idx[cut[:-1]], np.diff(cut)
             out = {}
             kinds_of_range, which = np.unique(np.stack([first, size]), axis=1, return_inverse=True)

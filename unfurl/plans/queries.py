@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -231,6 +232,34 @@ _multi("unwrap_template_2", Options(template=2))
 _multi("unwrap_individual", Options(individual=True))
 
 
+#: Weights of the caller's own in one dimension: the seed is the last voxel but one,
+#: whose edge to the end comes first, so growth is the same for every phase. Every
+#: eighth edge is so bad that new seeds are tried before it.
+EVEN = np.full((64, 3), 50, np.uint8)
+BARRED = np.where(np.arange(64)[:, None] % 8 == 7, 200, np.full((64, 3), 100)).astype(np.uint8)
+
+
+def _line(name: str, sql: str, options: Options, multi: bool = False, region: bool = False) -> None:
+    """Queries on steps that jump at random, where every option changes the result."""
+
+    def f(spark, d):
+        u = grow.unwrap(echoes(spark, d) if multi else vectors(spark, d), LINE, options, multi_echo=multi)
+        more = [_l("echo")] if multi else [_l("region")] if region else []
+        return u.select("image_id", *more, "idx", r6(F.col("unwrapped")).alias("unwrapped"))
+
+    query(name, sql)(f)
+
+
+_line("line_wrap_addition", S.line_wrap_addition(), Options(weights=EVEN, wrap_addition=1.0))
+_line("line_seeds", S.line_seeds(), Options(weights=BARRED, max_seeds=20), region=True)
+_line("line_merged", S.line_seeds(merged=True), Options(weights=BARRED, max_seeds=20, merge_regions=True), region=True)
+_line("line_one_seed", S.line_seeds(one=True), Options(weights=BARRED), region=True)
+_line("line_template_1", S.line_echoes("template 1"), Options(weights=EVEN, refine=0.0), multi=True)
+_line("line_template_2", S.line_echoes("template 2"), Options(weights=EVEN, refine=0.0, template=2), multi=True)
+_line("line_individual", S.line_echoes("individual"), Options(weights=EVEN, individual=True), multi=True)
+_line("line_refined", S.line_refined(), Options(weights=EVEN, refine=0.06), multi=True)
+
+
 # Regions and corrections --------------------------------------------------------
 
 

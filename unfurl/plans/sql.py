@@ -201,6 +201,98 @@ def regions_multi_seed() -> str:
     return "SELECT vec_id AS image_id, CAST(len(embedding) AS BIGINT) AS reached, CAST(len(embedding) AS BIGINT) AS as_field, 0e0 AS residue FROM embeddings"
 
 
+def line_wrap_addition() -> str:
+    """From the seed to the end, then back to the start, each voxel against the last
+    one plus the last step, limited to 1."""
+    return f"""WITH RECURSIVE {VOX}, l AS (SELECT image_id, list(phase ORDER BY idx) AS p FROM vox GROUP BY 1),
+r AS (
+  SELECT image_id, p, 62 AS idx, {full("p[63]")} AS u, {to_ref("p[64]", full("p[63]"))} AS was FROM l
+  UNION ALL
+  SELECT image_id, p, idx - 1, {to_ref("p[idx]", "(u + greatest(-1e0, least(1e0, u - was)))")}, u FROM r WHERE idx > 0)
+SELECT image_id, CAST(idx AS BIGINT) AS idx, {r6("u")} AS unwrapped FROM r UNION ALL SELECT image_id, 63, {r6("was")} FROM r WHERE idx = 62"""
+
+
+def line_seeds(merged: bool = False, one: bool = False) -> str:
+    """Eight voxels a region, seeded from the end on; inside, wraps are a running sum.
+    Merging takes regions in pairs, as each pass settles a root and its neighbour."""
+    block, seed = ("0", "62") if one else ("idx // 8", "8 * (idx // 8) + 6")
+    u = f"""WITH {VOX}, c AS (SELECT image_id, idx, phase, {block} AS b, {seed} AS seed,
+  coalesce(round_even((phase - lag(phase) OVER (PARTITION BY image_id, {block} ORDER BY idx)) / {TP}, 0), 0e0) AS k FROM vox),
+t AS (SELECT *, sum(k) OVER (PARTITION BY image_id, b ORDER BY idx) AS total FROM c),
+s AS (SELECT image_id, b, total AS base, phase - {full("phase")} AS off FROM t WHERE idx = seed),
+u AS (SELECT image_id, idx, b, phase - off - {TP} * (total - base) AS u, {"1" if one else "8 - b"} AS region FROM t JOIN s USING (image_id, b))"""
+    if not merged:
+        return f"{u} SELECT image_id, CAST(region AS BIGINT) AS region, idx, {r6('u')} AS unwrapped FROM u"
+    return f"""{u}, m AS (SELECT lo.image_id, lo.region, round_even((hi.u - lo.u) / {TP}, 0) AS k FROM u lo JOIN u hi ON hi.image_id = lo.image_id AND hi.idx = lo.idx + 1
+  WHERE lo.idx % 8 = 7 AND lo.region % 2 = 0)
+SELECT image_id, CAST(region - CASE WHEN coalesce(k, 0) <> 0 THEN 1 ELSE 0 END AS BIGINT) AS region, idx, {r6(f"u + {TP} * coalesce(k, 0)")} AS unwrapped FROM u LEFT JOIN m USING (image_id, region)"""
+
+
+def _seed_wraps(value: str, other: str, te1: str, te2: str) -> str:
+    """The wraps of a seed that fit the other echo best; the first on ties."""
+    cost = f"abs(({value} + {TP} * (j // 3 - 2)) / {te1} - ({other} + {TP} * (j % 3 - 1)) / {te2}) + (abs(j // 3 - 2) + abs(j % 3 - 1)) / 100e0"
+    return f"(list_min(list_transform(range(15), lambda j: {{'c': {cost}, 'j': j}})).j // 3 - 2)"
+
+
+def _spatial_line() -> str:
+    """Each echo's phase less its wraps from the seed (idx 62) on: x1, x2, x3."""
+    steps = ", ".join(f"coalesce(round_even((e{e} - lag(e{e}) OVER v) / {TP}, 0), 0e0) AS k{e}" for e in (1, 2, 3))
+    sums = ", ".join(f"sum(k{e}) OVER v AS t{e}" for e in (1, 2, 3))
+    rest = ", ".join(f"e{e} - {TP} * (t{e} - z{e}) AS x{e}, s{e}" for e in (1, 2, 3))
+    ends = ", ".join(f"max(t{e}) FILTER (idx = 62) AS z{e}, max(e{e}) FILTER (idx = 62) AS s{e}" for e in (1, 2, 3))
+    return f"""{WIDE}, k AS (SELECT *, {steps} FROM w WINDOW v AS (PARTITION BY image_id ORDER BY idx)),
+sums AS (SELECT *, {sums} FROM k WINDOW v AS (PARTITION BY image_id ORDER BY idx)), z AS (SELECT image_id, {ends} FROM sums GROUP BY 1),
+x AS (SELECT image_id, idx, e1, e2, e3, {rest} FROM sums JOIN z USING (image_id))"""
+
+
+def _by_echo(columns: dict[int, str], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT image_id, CAST({e} AS BIGINT) AS echo, idx, {r6(c)} AS unwrapped FROM {source}" for e, c in columns.items())
+
+
+def line_echoes(kind: str) -> str:
+    a1, a2 = _seed_wraps("s1", "s2", "1e0", "2e0"), _seed_wraps("s2", "s1", "2e0", "1e0")
+    if kind == "template 1":
+        steps = f", a AS (SELECT *, x1 + {TP} * {a1} AS u1 FROM x), b AS (SELECT *, {to_ref('e2', 'u1 * 2e0')} AS u2 FROM a), c AS (SELECT *, {to_ref('e3', 'u2 * (3e0 / 2e0)')} AS u3 FROM b)"
+    elif kind == "template 2":
+        steps = f", a AS (SELECT *, x2 + {TP} * {a2} AS u2 FROM x), c AS (SELECT *, {to_ref('e1', 'u2 * (1e0 / 2e0)')} AS u1, {to_ref('e3', 'u2 * (3e0 / 2e0)')} AS u3 FROM a)"
+    else:
+        after = lambda e, f: _seed_wraps(f"s{e}", f"(s{f} + {TP} * a{f})", f"{e}e0", f"{f}e0")
+        steps = f", a AS (SELECT *, {a1} AS a1 FROM x), b AS (SELECT *, {after(2, 1)} AS a2 FROM a), d AS (SELECT *, {after(3, 2)} AS a3 FROM b)"
+        steps += f", c AS (SELECT *, {', '.join(f'x{e} + {TP} * a{e} AS u{e}' for e in (1, 2, 3))} FROM d)"
+    return f"{_spatial_line()}{steps} {_by_echo({e: f'u{e}' for e in (1, 2, 3)}, 'c')}"
+
+
+def line_refined() -> str:
+    """Template 1; in each other echo, voxels whose quality against the reference is
+    not over 0.06 are unwrapped anew from their neighbours: runs of them from the
+    right, a run at the end from the left, and none if all are like that."""
+
+    def refined(e: int, source: str, ref: str, name: str) -> str:
+        u = to_ref(f"e{e}", ref)
+        step, ref_step = once("p - pn"), once("r - rn")
+        line = f"(CASE WHEN pb IS NULL OR pa IS NULL THEN 0.9e0 ELSE {_line('pb', 'p', 'pn')} * {_line('p', 'pn', 'pa')} END)"
+        q = f"(0.1e0 + 0.9e0 * (1e0 - abs({step} / {PI}))) * (0.1e0 + 0.9e0 * greatest(0e0, 1e0 - abs({step} - {ref_step} * 1e0))) * (0.1e0 + 0.9e0 * {line})"
+        return f""", {name}a AS (SELECT *, {u} AS t FROM (SELECT *, {ref} AS ref FROM {source})),
+{name}b AS (SELECT *, t / 2 AS p, ref / 2 AS r, lead(t / 2) OVER v AS pn, lead(ref / 2) OVER v AS rn, lag(t / 2) OVER v AS pb, lead(t / 2, 2) OVER v AS pa FROM {name}a WINDOW v AS (PARTITION BY image_id ORDER BY idx)),
+{name}c AS (SELECT *, CASE WHEN pn IS NULL THEN 0e0 ELSE {q} END AS q FROM {name}b),
+{name}d AS (SELECT *, CAST((q + coalesce(lag(q) OVER v, 0e0)) / 6 AS FLOAT) > 0.06e0 AS good FROM {name}c WINDOW v AS (PARTITION BY image_id ORDER BY idx)),
+{name}e AS (SELECT image_id, list(t ORDER BY idx) AS ts, list(good OR none ORDER BY idx) AS gs, coalesce(max(idx) FILTER (good), 63) AS lg FROM
+  (SELECT *, NOT bool_or(good) OVER (PARTITION BY image_id) AS none FROM {name}d) GROUP BY 1),
+{name}f AS (
+  SELECT image_id, ts, gs, lg, lg AS i, ts[lg + 1] AS u, [ts[lg + 1]] AS done FROM {name}e
+  UNION ALL
+  SELECT image_id, ts, gs, lg, i - 1, v, list_prepend(v, done) FROM (SELECT *, CASE WHEN gs[i] THEN ts[i] ELSE {to_ref('ts[i]', 'u')} END AS v FROM {name}f WHERE i > 0)),
+{name}g AS (
+  SELECT image_id, ts, lg AS i, ts[lg + 1] AS u, done FROM {name}f WHERE i = 0
+  UNION ALL
+  SELECT image_id, ts, i + 1, v, list_append(done, v) FROM (SELECT *, {to_ref('ts[i + 2]', 'u')} AS v FROM {name}g WHERE i < 63)),
+{name} AS (SELECT s.*, f.done[s.idx + 1] AS u{e} FROM {source} s JOIN {name}g f ON f.image_id = s.image_id AND f.i = 63)"""
+
+    start = _spatial_line().replace("WITH ", "WITH RECURSIVE ", 1)
+    a1 = _seed_wraps("s1", "s2", "1e0", "2e0")
+    return f"{start}, a AS (SELECT *, x1 + {TP} * {a1} AS u1 FROM x){refined(2, 'a', 'u1 * 2e0', 'g')}{refined(3, 'g', 'u2 * (3e0 / 2e0)', 'h')} {_by_echo({e: f'u{e}' for e in (1, 2, 3)}, 'h')}"
+
+
 LABEL = "(idx % 4) // 2 + 1 + 2 * (idx // 32)"
 
 
