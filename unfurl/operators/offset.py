@@ -34,11 +34,12 @@ def combine_channels(voxels: DataFrame, offsets: DataFrame) -> DataFrame:
     return s.select("image_id", "echo", "idx", F.atan2("im", "re").alias("phase"), F.sqrt("mm").alias("mag"))
 
 
-def correct_images(volumes: DataFrame, tes: tuple[float, ...], sigma: tuple[float, float, float], bipolar: bool = False) -> DataFrame:
+def correct_images(volumes: DataFrame, tes: tuple[float, ...], sigma: tuple[float, float, float], bipolar: bool = False, by_size: bool = False) -> DataFrame:
     """volumes (image_id, channel, echo, nx, ny, nz, phase, mag) with every channel's
     offset removed and the channels combined: one row per image and echo with phase
     and mag, and the offsets (one array a channel, by channel) with each. An image
-    of all its channels is one group; magnitudes that are null count 1."""
+    of all its channels is one group; magnitudes that are null count 1. With by_size
+    sigma is in the units of columns dx, dy and dz, the voxels' sizes."""
 
     def image(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["channel", "echo"])
@@ -49,13 +50,15 @@ def correct_images(volumes: DataFrame, tes: tuple[float, ...], sigma: tuple[floa
         grid = (channels, len(echoes), -1)
         phases = np.stack([np.asarray(x, float) for x in pdf["phase"]])
         mags = np.stack([np.ones(phases.shape[1]) if x is None else np.asarray(x, float) for x in pdf["mag"]])
-        phase, mag, po = correct(phases.reshape(grid), mags.reshape(grid), tes, shape, sigma, bipolar)
+        steps = [float(pdf[f"d{a}"].iloc[0]) for a in "xyz"] if by_size else (1.0, 1.0, 1.0)
+        own = tuple(a / b if b else 0.0 for a, b in zip(sigma, steps))
+        phase, mag, po = correct(phases.reshape(grid), mags.reshape(grid), tes, shape, own, bipolar)
         same = [pdf["image_id"].iloc[0]] * len(echoes)
         size = {f"n{a}": [s] * len(echoes) for a, s in zip("xyz", shape)}
         return pd.DataFrame({"image_id": same, "echo": echoes, **size, "phase": list(phase), "mag": list(mag), "offsets": [list(po)] * len(echoes)})
 
     fields = "image_id long, echo int, nx int, ny int, nz int, phase array<double>, mag array<double>, offsets array<array<double>>"
-    return volumes.select("image_id", "channel", "echo", "nx", "ny", "nz", "phase", "mag").groupBy("image_id").applyInPandas(image, fields)
+    return volumes.select("image_id", "channel", "echo", "nx", "ny", "nz", *(["dx", "dy", "dz"] if by_size else []), "phase", "mag").groupBy("image_id").applyInPandas(image, fields)
 
 
 def smooth(z: np.ndarray, shape, sigma) -> np.ndarray:

@@ -5,7 +5,8 @@ Headers alone are read to plan; every volume is a partition of its own, and equa
 and IN filters on path, channel and echo drop partitions, so the bytes of other
 echoes are not read. With option pixels=false values are null and nothing but
 headers is read. bytes_read says what was fetched for a row. A compressed file has
-to be read up to the volume's end.
+to be read up to the volume's end. Spark keeps what was pushed with the loaded frame, so
+branches of one query with different filters on it need a load each, or a checkpoint.
 
 Writing takes rows (name, content), as nifti.to_files() makes them. Tasks write into
 a folder of the job beside the target; on commit the driver moves each file to its
@@ -35,7 +36,7 @@ from .nifti import DTYPES, HEADER
 
 SCHEMA = (
     "path string, channel int, echo int, nx int, ny int, nz int, dx double, dy double, dz double,"
-    " echoes int, channels int, bytes_read long, values array<double>"
+    " echoes int, channels int, header binary, bytes_read long, values array<double>"
 )
 PRUNED = ("path", "channel", "echo")
 
@@ -70,6 +71,7 @@ class Header:
     offset: int
     slope: float
     inter: float
+    raw: bytes
 
     @classmethod
     def read(cls, path: str) -> Header:
@@ -86,7 +88,7 @@ class Header:
             raise ValueError(f"NIfTI data type {code} is not supported: {path}")
         shape = tuple(max(1, d) for d in dim[1 : dim[0] + 1])
         offset, slope, inter = struct.unpack_from(order + "3f", raw, 108)
-        return cls((*shape, 1, 1, 1, 1, 1)[:5], struct.unpack_from(order + "8f", raw, 76), order + DTYPES[code], int(offset), slope, inter)
+        return cls((*shape, 1, 1, 1, 1, 1)[:5], struct.unpack_from(order + "8f", raw, 76), order + DTYPES[code], int(offset), slope, inter, raw)
 
     @property
     def volume(self) -> int:
@@ -156,7 +158,7 @@ class Reader(DataSourceReader):
             if h.slope not in (0.0, 1.0) or h.slope == 1.0 and h.inter:
                 data = data * np.float64(h.slope) + np.float64(h.inter)
             values = data.tolist()
-        yield (part.path, part.channel, part.echo, nx, ny, nz, *map(float, h.pixdim[1:4]), echoes, channels, fetched, values)
+        yield (part.path, part.channel, part.echo, nx, ny, nz, *map(float, h.pixdim[1:4]), echoes, channels, h.raw, fetched, values)
 
 
 @dataclass

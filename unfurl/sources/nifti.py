@@ -157,13 +157,17 @@ def named_files(volumes: DataFrame, value: str, prefix: str = "image", gz: bool
 
 def to_files(volumes: DataFrame, value: str, folder: str, prefix: str = "image", gz: bool = False) -> DataFrame:
     """(path, content) per image: echoes stacked in the fourth dimension. The
-    caller writes content wherever it wants; an image is one row."""
+    caller writes content wherever it wants; an image is one row. Columns name and
+    header, where there are any, say what the file is called and its geometry."""
 
     def image(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("echo")
         shape = tuple(int(pdf[c].iloc[0]) for c in ("nx", "ny", "nz"))
         data = np.stack([np.asarray(v).reshape(shape, order="F") for v in pdf[value]], axis=3)
-        name = f"{folder}/{prefix}_{pdf['image_id'].iloc[0]}.nii" + (".gz" if gz else "")
-        return pd.DataFrame({"path": [name], "content": [encode(data[..., 0] if data.shape[3] == 1 else data, gz=gz)]})
+        own = pdf["name"].iloc[0] if "name" in pdf.columns else f"{prefix}_{pdf['image_id'].iloc[0]}.nii" + (".gz" if gz else "")
+        header = bytes(pdf["header"].iloc[0]) if "header" in pdf.columns else None
+        packed = gz or own.endswith(".gz")
+        return pd.DataFrame({"path": [f"{folder}/{own}"], "content": [encode(data[..., 0] if data.shape[3] == 1 else data, header, packed)]})
 
-    return volumes.select("image_id", "echo", "nx", "ny", "nz", F.col(value)).groupBy("image_id").applyInPandas(image, "path string, content binary")
+    more = [c for c in ("name", "header") if c in volumes.columns]
+    return volumes.select("image_id", "echo", "nx", "ny", "nz", *more, F.col(value)).groupBy("image_id").applyInPandas(image, "path string, content binary")
