@@ -23,8 +23,12 @@ def is_finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
-def wrap_once(x: Column) -> Column:
-    """Adds or subtracts 2 pi once; NaN stays NaN."""
+def wrap_once(x: Column, single: bool = False) -> Column:
+    """Adds or subtracts 2 pi once; NaN stays NaN. In single precision 2 pi is rounded
+    to it, while pi, which is only compared with, is not."""
+    if single:
+        x, turn = x.cast("float"), F.lit(TWO_PI).cast("float")
+        return F.when(x < -PI, x + turn).when(x > PI, x - turn).otherwise(x)
     return F.when(x < -PI, x + TWO_PI).when(x > PI, x - TWO_PI).otherwise(x)
 
 

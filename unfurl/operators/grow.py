@@ -22,6 +22,7 @@ from .slabs import runs, values_of
 
 Options = K.Options
 RESULT = "image_id long, echo int, unwrapped array<double>, region array<short>"
+SINGLE = RESULT.replace("double", "float")
 
 
 def _lists(batch: pa.RecordBatch, name: str, kind=float) -> list[np.ndarray | None] | None:
@@ -58,7 +59,7 @@ def unwrap_volumes(volumes: DataFrame, options: Options = Options(), multi_echo:
             u, r = K.run_image(boxes[lo], phase[lo:hi], o, mags, one(mask), one(p2))
             unwrapped += u
             regions += r
-        return pa.RecordBatch.from_arrays([t.column("image_id"), t.column("echo"), _joined(unwrapped, np.float64), _joined(regions, np.int16)], ["image_id", "echo", "unwrapped", "region"])
+        return pa.RecordBatch.from_arrays([t.column("image_id"), t.column("echo"), _joined(unwrapped, np.float32 if options.single else np.float64), _joined(regions, np.int16)], ["image_id", "echo", "unwrapped", "region"])
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,12 +74,12 @@ def unwrap_volumes(volumes: DataFrame, options: Options = Options(), multi_echo:
     wanted = [c for c in ("image_id", "echo", "nx", "ny", "nz", "te", "phase", "mag", "mask", "phase2") if c in volumes.columns]
     slim = volumes.select(F.col("image_id").cast("long"), F.col("echo").cast("int"), *wanted[2:])
     if multi_echo:
-        return slim.repartition("image_id").sortWithinPartitions("image_id", "echo").mapInArrow(together, RESULT)
-    return slim.mapInArrow(alone, RESULT)
+        return slim.repartition("image_id").sortWithinPartitions("image_id", "echo").mapInArrow(together, SINGLE if options.single else RESULT)
+    return slim.mapInArrow(alone, SINGLE if options.single else RESULT)
 
 
 def unwrap(voxels: DataFrame, shape: Shape | None, options: Options = Options(), multi_echo: bool = False, by: tuple[str, ...] = ("image_id", "echo")) -> DataFrame:
-    """voxels with unwrapped double and region short. An image is one task's work,
+    """voxels with unwrapped double (float in single precision) and region short. An image is one task's work,
     and many small ones come to Python together; idx orders it. Without a shape every
     group is 1-D."""
     names, keys = voxels.columns, ["image_id"] if multi_echo else list(by)
@@ -101,14 +102,14 @@ def unwrap(voxels: DataFrame, shape: Shape | None, options: Options = Options(),
                 u, region = K.run_image(box, [phase[s] for s in parts], o, mags, part(mask), part(p2))
                 unwrapped += u
                 regions += region
-            made = [np.concatenate(unwrapped), np.concatenate(regions).astype(np.int16)]
+            made = [np.concatenate(unwrapped).astype(np.float32 if options.single else np.float64), np.concatenate(regions).astype(np.int16)]
             for lo in range(0, t.num_rows, 65536):
                 own = t.select(names).slice(lo, 65536).combine_chunks().to_batches()[0]
                 yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(x[lo : lo + 65536]) for x in made]], [*names, "unwrapped", "region"])
 
     order = [*keys, "echo", "idx"] if multi_echo else [*keys, "idx"]
     placed = voxels.select(*[F.col(f"`{c}`") for c in taken]).repartition(*[F.col(f"`{c}`") for c in keys]).sortWithinPartitions(*order)
-    return placed.mapInArrow(rows, fields + ", unwrapped double, region short")
+    return placed.mapInArrow(rows, fields + f", unwrapped {'float' if options.single else 'double'}, region short")
 
 
 def unwrap_individual(volumes: DataFrame, options: Options = Options()) -> DataFrame:

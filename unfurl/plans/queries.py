@@ -43,6 +43,16 @@ def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(P.wrap_once(x)).alias("value"))
 
 
+@query(
+    "wrap_once_single",
+    "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN x < -3.141592653589793e0 THEN x + CAST(6.283185307179586e0 AS FLOAT) WHEN x > 3.141592653589793e0 THEN x - CAST(6.283185307179586e0 AS FLOAT) ELSE x END AS DOUBLE) AS value"
+    " FROM (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice / 10000e0 - 5e0 AS FLOAT) AS x FROM lineitem)",
+)
+def _(spark, d):
+    x = F.col("l_extendedprice") / 10000.0 - 5.0
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.wrap_once(x, single=True).cast("double").alias("value"))
+
+
 @query("wrap_full", f"SELECT l_orderkey, l_linenumber, {S.r6(S.full('l_extendedprice / 1000e0'))} AS value FROM lineitem")
 def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(P.wrap_full(F.col("l_extendedprice") / 1000.0)).alias("value"))
@@ -239,6 +249,14 @@ EVEN = np.full((64, 3), 50, np.uint8)
 BARRED = np.where(np.arange(64)[:, None] % 8 == 7, 200, np.full((64, 3), 100)).astype(np.uint8)
 
 
+@query("line_single", S.line_single())
+def _(spark, d):
+    """Bit by bit in single precision, and so are the phases."""
+    v = vectors(spark, d).withColumn("phase", F.col("phase").cast("float"))
+    u = grow.unwrap(v, LINE, Options(weights=EVEN, single=True))
+    return u.select("image_id", "idx", F.col("unwrapped").cast("double").alias("unwrapped"))
+
+
 def _line(name: str, sql: str, options: Options, multi: bool = False, region: bool = False) -> None:
     """Queries on steps that jump at random, where every option changes the result."""
 

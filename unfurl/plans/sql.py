@@ -212,6 +212,16 @@ r AS (
 SELECT image_id, CAST(idx AS BIGINT) AS idx, {r6("u")} AS unwrapped FROM r UNION ALL SELECT image_id, 63, {r6("was")} FROM r WHERE idx = 62"""
 
 
+def line_single() -> str:
+    """Each step in double precision, kept in single."""
+    step = lambda x: f"CAST({to_ref(f'CAST({x} AS DOUBLE)', 'CAST(u AS DOUBLE)')} AS FLOAT)"
+    seed = f"CAST({full('CAST(p[63] AS DOUBLE)')} AS FLOAT)"
+    return f"""WITH RECURSIVE {VOX}, l AS (SELECT image_id, list(CAST(phase AS FLOAT) ORDER BY idx) AS p FROM vox GROUP BY 1),
+s AS (SELECT image_id, p, {seed} AS u FROM l),
+r AS (SELECT image_id, p, 62 AS idx, u FROM s UNION ALL SELECT image_id, p, idx - 1, {step("p[idx]")} FROM r WHERE idx > 0)
+SELECT image_id, CAST(idx AS BIGINT) AS idx, CAST(u AS DOUBLE) AS unwrapped FROM r UNION ALL SELECT image_id, 63, CAST({step("p[64]")} AS DOUBLE) FROM s"""
+
+
 def line_seeds(merged: bool = False, one: bool = False) -> str:
     """Eight voxels a region, seeded from the end on; inside, wraps are a running sum.
     Merging takes regions in pairs, as each pass settles a root and its neighbour."""
