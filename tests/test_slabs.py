@@ -78,3 +78,34 @@ def test_runs_over_batches(spark):
 def test_empty(spark):
     df = spark.createDataFrame(image(Shape(2), 1)).where("false")
     assert weights.edge_weights(df, Shape(2)).count() == 0
+
+
+@pytest.mark.parametrize("box,slab", [((5, 4, 9), 20), ((7, 6, 1), 6), ((3, 1, 12), 3), ((6, 5, 4), 1 << 17)])
+def test_smoothing_equals_the_kernel(spark, box, slab):
+    from unfurl.operators import offset
+
+    shape, rng = Shape(*box), np.random.default_rng(sum(box))
+    z = rng.normal(size=(2, shape.size)) + 1j * rng.normal(size=(2, shape.size))
+    pdf = pd.concat([pd.DataFrame({"image_id": i, "idx": np.arange(shape.size), "re": x.real, "im": x.imag, "note": "n"}) for i, x in enumerate(z)])
+    for sigma in ((1.0, 0.7, 1.3), (0.0, 2.0, 0.0), (0.5, 0.0, 4.0)):
+        got = offset.smooth_voxels(spark.createDataFrame(pdf), shape, sigma, slab=slab).orderBy("image_id", "idx").toPandas()
+        want = np.concatenate([offset.smooth(x, box, sigma) for x in z])
+        assert np.allclose(got["re"] + 1j * got["im"], want) and got["note"].eq("n").all()
+
+
+def test_channel_offsets(spark):
+    """Offsets of a smooth field as the kernel estimates them."""
+    from unfurl.operators import offset
+
+    shape, tes, sigma = Shape(6, 5, 4), (2.0, 5.0), (1.0, 1.0, 0.8)
+    x, y, z = (np.arange(shape.size) // s % b for s, b in zip(shape.strides, (6, 5, 4)))
+    field = 0.12 * x - 0.1 * y + 0.15 * z
+    phases = np.stack([[te * field + (c + 1) * 0.3 + 0.05 * c * x for te in tes] for c in range(2)])
+    phases = phases - 2 * np.pi * np.rint(phases / (2 * np.pi))
+    mags = 1 + 0.1 * np.random.default_rng(1).random(phases.shape)
+    rows = [(1, c + 1, e + 1, i, float(phases[c, e, i]), float(mags[c, e, i])) for c in range(2) for e in range(2) for i in range(shape.size)]
+    v = spark.createDataFrame(rows, "image_id long, channel int, echo int, idx long, phase double, mag double")
+    got = offset.channel_offsets(v, shape, tes, sigma, slab=60).orderBy("channel", "idx").toPandas()["offset"].to_numpy()
+    _, _, want = offset.correct(phases, mags, tes, (6, 5, 4), sigma)
+    away = (got - want.ravel()) / (2 * np.pi)
+    assert np.allclose(away, np.rint(away), atol=1e-9)

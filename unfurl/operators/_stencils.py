@@ -154,3 +154,39 @@ def neighbours(v: Values, lo: int, shape: Shape) -> Values:
         m = next(iter(v.values())).shape
         out[f"inside{d}"] = np.broadcast_to(has(shape, lo, m[1], s) & ~is_last(shape, lo, m[1], d), m)
     return out
+
+
+def gaussian(sigma: float, size: int) -> np.ndarray:
+    """Taps from -r to r, 3 sigma at most and not beyond an axis."""
+    r = min(int(np.ceil(3 * sigma)), size - 1)
+    return np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+
+
+def smooth_planes(v: Values, lo: int, shape: Shape, sigma: tuple[float, ...]) -> Values:
+    """Along x and y, in ranges of whole planes; at borders over the voxels there are."""
+    out = {}
+    for c, x in v.items():
+        planes = x.reshape(-1, shape.ny, shape.nx)
+        for axis, s in ((2, sigma[0]), (1, sigma[1])):
+            size = planes.shape[axis]
+            if s > 0 and size > 1:
+                k = gaussian(s, size)
+                r = len(k) // 2
+                moved = np.moveaxis(planes, axis, -1)
+                total, weight = np.zeros(moved.shape), np.zeros(size)
+                for j, g in zip(range(-r, r + 1), k):
+                    to, fro = slice(max(0, -j), size - max(0, j)), slice(max(0, j), size - max(0, -j))
+                    total[..., to] += g * moved[..., fro]
+                    weight[to] += g
+                planes = np.moveaxis(total / weight, -1, axis)
+        out[c] = planes.reshape(x.shape)
+    return out
+
+
+def smooth_depth(v: Values, lo: int, shape: Shape, sigma: float) -> Values:
+    """Along z, plane by plane."""
+    m = next(iter(v.values())).shape[1]
+    k, plane = gaussian(sigma, shape.nz), shape.nx * shape.ny
+    r = len(k) // 2
+    weight = sum(g * has(shape, lo, m, j * plane) for j, g in zip(range(-r, r + 1), k))
+    return {c: sum(g * np.where(has(shape, lo, m, j * plane), tap(x, j * plane, 0.0), 0.0) for j, g in zip(range(-r, r + 1), k)) / weight for c, x in v.items()}

@@ -2,16 +2,23 @@
 phase difference of two echoes, summed over channels, gives the field; what is
 left of the first echo is each channel's offset, smoothed as a complex number.
 
-The sums over channels are relational; the smoothing runs per image."""
+The sums over channels are relational. Voxel tables are smoothed slab by slab, an
+axis at a time; volume rows image by image."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import Shape
 from . import _kernel as K
+from . import _stencils as S
+from . import grow
+from .slabs import SLAB, on_slabs
 
 
 def phase_difference(voxels: DataFrame, first: int = 1, second: int = 2) -> DataFrame:
@@ -61,6 +68,42 @@ def correct_images(volumes: DataFrame, tes: tuple[float, ...], sigma: tuple[floa
     return volumes.select("image_id", "channel", "echo", "nx", "ny", "nz", *(["dx", "dy", "dz"] if by_size else []), "phase", "mag").groupBy("image_id").applyInPandas(image, fields)
 
 
+def smooth_voxels(voxels: DataFrame, shape: Shape, sigma: tuple[float, float, float], columns: tuple[str, ...] = ("re", "im"), keys: tuple[str, ...] = ("image_id",), slab: int | None = None) -> DataFrame:
+    """voxels with columns smoothed as smooth() does, by two passes over slabs: along x
+    and y in slabs of whole planes, then along z in slabs with halos of 3 sigma."""
+    plane = shape.nx * shape.ny
+    size = max(1, (slab or SLAB) // plane) * plane
+    names, made = voxels.columns, ", ".join(f"_{c} double" for c in columns)
+    rest = [c for c in names if c not in columns]
+
+    def done(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`_{c}`" if c in columns else f"`{c}`").alias(c) for c in names])
+
+    def flat(v: dict, lo: int, box: Shape) -> dict:
+        return {f"_{c}": x for c, x in S.smooth_planes(v, lo, box, sigma).items()}
+
+    def deep(v: dict, lo: int, box: Shape) -> dict:
+        return {f"_{c}": x for c, x in S.smooth_depth(v, lo, box, sigma[2]).items()}
+
+    df = done(on_slabs(voxels, shape, flat, made, 0, list(columns), keys, rest, size))
+    if sigma[2] <= 0 or shape.nz == 1:
+        return df
+    reach = min(math.ceil(3 * sigma[2]), shape.nz - 1) * plane
+    return done(on_slabs(df, shape, deep, made, reach, list(columns), keys, rest, size))
+
+
+def channel_offsets(voxels: DataFrame, shape: Shape, tes: tuple[float, float], sigma: tuple[float, float, float], slab: int | None = None) -> DataFrame:
+    """(image_id, channel, idx, offset) for combine_channels(): what the field of the
+    first two echoes, unwrapped, leaves of each channel's first echo, smoothed. Voxels
+    as for phase_difference(); all but the unwrapping works on slabs."""
+    field = phase_difference(voxels).select("image_id", F.lit(1).alias("echo"), "idx", F.col("hip").alias("phase"), F.col("weight").alias("mag"))
+    field = grow.unwrap(field, shape).select("image_id", "idx", F.col("unwrapped").alias("field"))
+    first = voxels.where("echo = 1").join(field, ["image_id", "idx"])
+    raw = F.col("phase") - F.col("field") * (tes[0] / (tes[1] - tes[0]))
+    z = first.select("image_id", "channel", "idx", (F.col("mag") * F.cos(raw)).alias("re"), (F.col("mag") * F.sin(raw)).alias("im"))
+    return smooth_voxels(z, shape, sigma, keys=("image_id", "channel"), slab=slab).select("image_id", "channel", "idx", F.atan2("im", "re").alias("offset"))
+
+
 def smooth(z: np.ndarray, shape, sigma) -> np.ndarray:
     """Separable Gaussian of a flat complex volume, edges renormalised."""
     v, w = z.reshape(shape, order="F"), np.ones(shape)

@@ -484,6 +484,17 @@ def _(spark, d):
     return c.select("image_id", _l("echo"), "idx", r6(F.col("phase")).alias("phase"), r6(F.col("mag")).alias("mag"))
 
 
+SIGMA = (0.8, 1.1, 0.6)
+
+
+@query("smooth_slabs", S.smooth(SIGMA))
+def _(spark, d):
+    v = vectors(spark, d, mag=True)
+    z = v.select("image_id", "idx", (F.col("mag") * F.cos("phase")).alias("re"), (F.col("mag") * F.sin("phase")).alias("im"))
+    out = offset.smooth_voxels(z, CUBE, SIGMA, slab=16)
+    return out.select("image_id", "idx", r6(F.col("re")).alias("re"), r6(F.col("im")).alias("im"))
+
+
 @query("voxels_round_trip", "SELECT vec_id AS image_id, CAST(64 AS BIGINT) AS n, true AS equal FROM embeddings")
 def _(spark, d):
     from ..model import to_volumes, to_voxels

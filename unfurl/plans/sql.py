@@ -440,6 +440,17 @@ COILS = f"""WITH {VOX}, {ECHOES}, {COIL}, p AS (SELECT *, phase - (0.1e0 * chann
 s AS (SELECT image_id, echo, idx, sum(mag * cos(q)) AS re, sum(mag * sin(q)) AS im, sum(mag * mag) AS mm FROM p GROUP BY 1, 2, 3)
 SELECT image_id, CAST(echo AS BIGINT) AS echo, idx, {r6("atan2(im, re)")} AS phase, {r6("sqrt(mm)")} AS mag FROM s"""
 
+
+
+def smooth(sigma: tuple[float, ...]) -> str:
+    """All voxels of a cube within 3 sigma, by one weight for each distance."""
+    part = lambda i, s: f"(CASE WHEN abs({i}) <= ceil(3e0 * {s}e0) THEN exp(-0.5e0 * ({i} / {s}e0) * ({i} / {s}e0)) ELSE 0e0 END)"
+    away = ("(b.idx % 4 - a.idx % 4)", "((b.idx // 4) % 4 - (a.idx // 4) % 4)", "(b.idx // 16 - a.idx // 16)")
+    w = " * ".join(part(i, s) for i, s in zip(away, sigma))
+    return f"""WITH {VOX}, p AS (SELECT a.image_id, a.idx, {w} AS w, b.mag * cos(b.phase) AS re, b.mag * sin(b.phase) AS im FROM vox a JOIN vox b USING (image_id))
+SELECT image_id, idx, {r6("sum(w * re) / sum(w)")} AS re, {r6("sum(w * im) / sum(w)")} AS im FROM p GROUP BY 1, 2"""
+
+
 BOUNDARY = f"""WITH {VOX}, v AS (SELECT image_id, idx, (idx * 5 + image_id) % 3 = 0 AS seen FROM vox),
 t AS (SELECT image_id, idx, seen, {", ".join(f"lead(seen, {s}) OVER w AS n{d}" for d, s in enumerate(STRIDES))} FROM v WINDOW w AS (PARTITION BY image_id ORDER BY idx))
 """ + " UNION ALL ".join(f"SELECT image_id, idx, CAST({d} AS BIGINT) AS dim, idx * 3 + {d} AS edge FROM t WHERE NOT ({LAST[d]}) AND seen <> n{d}" for d in range(3))
