@@ -196,27 +196,17 @@ def disclosing_terms(bare: DataFrame, others: DataFrame, cfg: Disclosure) -> Dat
     # reach the threshold, so leaving those out beforehand loses no pair.
     often = mention.groupBy("entity").agg(F.count(F.lit(1)).alias("ce")).where((F.col("ce") >= max(cfg.min_entity_texts, cfg.min_texts)) & (F.col("ce") < n))
     most = F.col("ce") * F.pow(F.lit(n) / F.col("ce"), F.lit(1 - cfg.threshold)) * (1 + 1e-9)
-    # Entities of the same texts are one, as are terms: pairs of an address list and all
-    # that is copied with it are few.
-    alike = [F.sum(F.xxhash64("_k1", "_k2").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("_k2", "_k1"))]
-    kinds = mention.join(often, "entity").groupBy("entity", "ce").agg(*[a.alias(f"s{i}") for i, a in enumerate(alike)])
-    kinds = kinds.select(F.col("entity").alias("named"), "ce", F.xxhash64("ce", "s0", "s1").alias("kind"))
-    units = mention.join(kinds, F.col("entity") == F.col("named")).select("_k1", "_k2", F.col("kind").alias("entity"), "ce").distinct()
+    units = mention.join(often, "entity")
     units = spill(units.withColumn("most", most), "units")
     reach = units.groupBy("_k1", "_k2").agg(F.max("most").alias("reach"))
     term = every.select(F.explode(terms_of(F.col("bare"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("ct")).where(F.col("ct") >= cfg.min_texts)
     held = bare.join(reach, ["_k1", "_k2"]).select("_k1", "_k2", "reach", F.explode(terms_of(F.col("bare"))).alias("term"))
-    held = spill(held.join(term, "term").where(F.col("ct") <= F.col("reach")).drop("reach"), "held")
-    kinds = held.groupBy("term", "ct").agg(*[a.alias(f"s{i}") for i, a in enumerate(alike)])
-    kinds = kinds.select(F.col("term").alias("named"), F.xxhash64("ct", "s0", "s1").alias("kind"))
-    words = held.join(kinds, F.col("term") == F.col("named")).select("_k1", "_k2", "term", "kind", "ct")
-    held = words.select("_k1", "_k2", F.col("kind").alias("term"), "ct").distinct()
+    held = held.join(term, "term").where(F.col("ct") <= F.col("reach")).drop("reach")
     pairs = spill(held.join(units, ["_k1", "_k2"]).where(F.col("ct") <= F.col("most")).select("_k1", "_k2", "entity", "term", "ce", "ct"), "pairs")
     joint = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("cet"), F.max("ce").alias("ce"), F.max("ct").alias("ct"))
     shared = F.log2(F.col("cet") * F.lit(n) / (F.col("ce") * F.col("ct")))
     strong = joint.where((F.col("cet") >= cfg.min_texts) & (shared >= cfg.threshold * F.log2(F.lit(n) / F.col("ce")))).select("entity", "term")
-    named = pairs.join(strong, ["entity", "term"]).select("_k1", "_k2", F.col("term").alias("kind")).distinct()
-    wanted = words.join(named, ["_k1", "_k2", "kind"]).groupBy("_k1", "_k2").agg(F.collect_set("term").alias("wanted"))
+    wanted = pairs.join(strong, ["entity", "term"]).groupBy("_k1", "_k2").agg(F.collect_set("term").alias("wanted"))
     return bare.join(wanted, ["_k1", "_k2"]).select("_k1", "_k2", located(F.col("bare"), TERM, F.col("wanted")).alias("terms"))
 
 
