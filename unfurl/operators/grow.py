@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..model import Shape
 from . import _kernel as K
-from .slabs import runs, values_of
+from .slabs import dealt, runs, values_of
 
 Options = K.Options
 RESULT = "image_id long, echo int, unwrapped array<double>, region array<short>"
@@ -74,7 +74,7 @@ def unwrap_volumes(volumes: DataFrame, options: Options = Options(), multi_echo:
     wanted = [c for c in ("image_id", "echo", "nx", "ny", "nz", "te", "phase", "mag", "mask", "phase2") if c in volumes.columns]
     slim = volumes.select(F.col("image_id").cast("long"), F.col("echo").cast("int"), *wanted[2:])
     if multi_echo:
-        return slim.repartition("image_id").sortWithinPartitions("image_id", "echo").mapInArrow(together, SINGLE if options.single else RESULT)
+        return dealt(slim, ["image_id"]).sortWithinPartitions("image_id", "echo").mapInArrow(together, SINGLE if options.single else RESULT)
     return slim.mapInArrow(alone, SINGLE if options.single else RESULT)
 
 
@@ -108,7 +108,7 @@ def unwrap(voxels: DataFrame, shape: Shape | None, options: Options = Options(),
                 yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(x[lo : lo + 65536]) for x in made]], [*names, "unwrapped", "region"])
 
     order = [*keys, "echo", "idx"] if multi_echo else [*keys, "idx"]
-    placed = voxels.select(*[F.col(f"`{c}`") for c in taken]).repartition(*[F.col(f"`{c}`") for c in keys]).sortWithinPartitions(*order)
+    placed = dealt(voxels.select(*[F.col(f"`{c}`") for c in taken]), keys).sortWithinPartitions(*order)
     return placed.mapInArrow(rows, fields + f", unwrapped {'float' if options.single else 'double'}, region short")
 
 

@@ -40,6 +40,15 @@ def with_halos(voxels: DataFrame, shape: Shape, reach: int, slab: int | None = N
     return voxels.withColumn("_slab", F.explode(F.array_compact(F.array(before, own, after))))
 
 
+def dealt(rows: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """rows with all of a key in one task, whatever came before. By the keys themselves
+    Spark leaves this exchange out where a join below has the same one, and adaptive
+    execution may then turn that join into a broadcast read task by task, which tears
+    groups apart: nothing says that mapInArrow needs them whole. By a hash of the keys
+    the exchange is like no join's, so it stays."""
+    return rows.repartition(*([tasks] if tasks else []), F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
+
+
 def _codes(c) -> np.ndarray:
     """A column's values, or numbers for them, so that nulls are equal to nulls."""
     c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
@@ -121,6 +130,6 @@ def on_slabs(
 
     schema = ", ".join([*[f"`{f}` {t}" for f, t in voxels.select(*[F.col(f"`{c}`") for c in names]).dtypes], *[f"`{c}` {t}" for c, t in made]])
     # Slabs are dealt to all tasks; rows of small images may be gathered into few.
-    wide = [int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if shape.size > n else []
-    placed = rows.repartition(*wide, *[F.col(c) for c in (*keys, "_slab")]).sortWithinPartitions(*keys, "_slab", "idx")
+    tasks = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions")) if shape.size > n else None
+    placed = dealt(rows, [*keys, "_slab"], tasks).sortWithinPartitions(*keys, "_slab", "idx")
     return placed.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from ..functions import phase as P
 from ..model import to_volumes
 from ..operators import _kernel as K
 from ..operators import b0, grow, offset
-from ..operators.slabs import runs
+from ..operators.slabs import dealt, runs
 from ..operators.weights import flags_of
 from ..session import cut
 from ..sources import datasource, nifti
@@ -152,7 +152,7 @@ def quality(df: DataFrame, plan: Plan, weights: object = None, template: int = 1
                     out.append(K.voxel_quality(phase[at], one, mag and mag[at], mask and mask[lo], phase[lo + 1] if many else None))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cut[:-1])), grow._joined(out, np.float64)], ["image_id", "quality"])
 
-    slim = df.select("image_id", "echo", *SIZE, "phase", *has).repartition("image_id").sortWithinPartitions("image_id", "echo")
+    slim = dealt(df.select("image_id", "echo", *SIZE, "phase", *has), ["image_id"]).sortWithinPartitions("image_id", "echo")
     return slim.mapInArrow(run, "image_id long, quality array<double>")
 
 
