@@ -33,7 +33,7 @@ def replaced(spark):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["line_individual", "line_refined", "line_template_1"])
+@pytest.mark.parametrize("name", ["line_individual", "line_refined", "line_template_1", "line_template_2"])
 def test_images_stay_whole(replaced, torn, name):
     db = duckdb.connect()
     db.sql(f"create view embeddings as from '{torn}/embeddings.parquet/*.parquet'")
