@@ -1,9 +1,11 @@
-"""Images stay whole in one task when adaptive execution replaces the joins below."""
+"""Images stay whole in one task when adaptive execution replaces the joins below, and
+tables that several steps read are made once."""
 
 import duckdb
 import pyarrow.parquet as pq
 import pytest
 
+from unfurl.operators import post
 from unfurl.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -41,3 +43,12 @@ def test_images_stay_whole(replaced, torn, name):
     cols = sorted(want.columns)
     a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
     assert (a.astype(str) == b.astype(str)).all().all()
+
+
+def test_echoes_are_made_once(spark):
+    """No aggregate of the echoes is left to repeat, however many read them."""
+    rows = [(1, i, e, 1.0 + i + 2 * e) for i in range(4) for e in (1, 2, 3)]
+    wide = post.by_echo(spark.createDataFrame(rows, "image_id long, idx long, echo int, phase double"), 3, "phase")
+    fixed = post.correct_echoes(wide, [1.0, 2.0, 3.0])
+    assert fixed._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+    assert fixed.count() == 4

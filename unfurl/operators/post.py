@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import phase as P
+from ..session import cut
 from .ranks import median_of_whole
 
 
@@ -37,12 +38,14 @@ def temporal_unwrap(wide: DataFrame, tes: list[float], template: int = 1) -> Dat
 
 def correct_echoes(wide: DataFrame, tes: list[float]) -> DataFrame:
     """Adds to each echo after the first the median number of wraps by which it
-    lags its predecessor; echoes in order, one small aggregate each."""
-    df = wide
+    lags its predecessor; echoes in order, one small aggregate each. wide and the
+    aggregates are written once: computed anew for each use, their sorts and hash
+    tables would lie in one task side by side, twice as many with every echo."""
+    df = cut(wide)
     for e in range(2, len(tes) + 1):
         a, b = F.col(f"e{e - 1}"), F.col(f"e{e}")
         both = df.where(P.is_finite(a) & P.is_finite(b))
-        m = median_of_whole(both, ["image_id"], F.rint((a * (tes[e - 1] / tes[e - 2]) - b) / P.TWO_PI), "wraps")
+        m = cut(median_of_whole(both, ["image_id"], F.rint((a * (tes[e - 1] / tes[e - 2]) - b) / P.TWO_PI), "wraps"))
         df = df.join(m, "image_id", "left").withColumn(f"e{e}", b + P.TWO_PI * F.coalesce("wraps", F.lit(0.0))).drop("wraps")
     return df
 
