@@ -2,10 +2,11 @@
 tables that several steps read are made once."""
 
 import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from unfurl.operators import post
+from unfurl.operators import merging, post
 from unfurl.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -52,3 +53,21 @@ def test_echoes_are_made_once(spark):
     fixed = post.correct_echoes(wide, [1.0, 2.0, 3.0])
     assert fixed._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
     assert fixed.count() == 4
+
+
+def test_merging_takes_images_together(spark):
+    """No call of pandas for each image; the same plan as image by image, also for
+    images whose regions do not touch and for sums that are not there."""
+    rng = np.random.default_rng(3)
+    sizes = [(i, 1, r, int(rng.integers(1, 50))) for i in range(60) for r in range(0, 5)]
+    pairs = [(i, 1, a, b, float(rng.normal(0, 300)) if i % 7 else None, int(rng.integers(0, 40))) for i in range(50) for a in range(1, 5) for b in range(1, 5) if a != b]
+    left = spark.createDataFrame(pairs, "image_id long, echo int, ri short, rj short, offset_sum double, weight_sum long")
+    right = spark.createDataFrame(sizes, "image_id long, echo int, region short, size long")
+    got = merging.merges(left, right)
+    assert "CoGroup" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for i in range(60):
+        own = [(a, b, float("nan") if o is None else o, w) for k, _, a, b, o, w in pairs if k == i]
+        want |= {(i, r): x for r, x in merging.plan({r: n for k, _, r, n in sizes if k == i and r}, own).items()}
+    found = {(r.image_id, r.region): (r.merged, r.wraps, r.root) for r in got.collect()}
+    assert str(sorted(found.items())) == str(sorted(want.items()))

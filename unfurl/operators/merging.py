@@ -11,16 +11,20 @@ wraps are a union-find whose potentials are whole numbers of wraps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import phase as P
 from ..model import Shape
 from .regions import KEYS, region_offsets, region_sizes
+from .slabs import dealt, runs, values_of
 
 PLAN = "image_id long, echo int, region short, merged short, wraps double, root boolean"
+NAMES = [c.split()[0] for c in PLAN.split(", ")]
 
 
 def plan(sizes: dict[int, int], pairs: list[tuple[int, int, float, float]]) -> dict[int, tuple[int, float, bool]]:
@@ -48,19 +52,30 @@ def plan(sizes: dict[int, int], pairs: list[tuple[int, int, float, float]]) -> d
 
 
 def merges(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """PLAN rows from region_offsets() and region_sizes(); region 0 is none."""
+    """PLAN rows from region_offsets() and region_sizes(); region 0 is none. Sizes and
+    pairs come as one sorted stream, a size as a pair with region 0, so that many
+    small images go to Python together."""
 
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if right.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in PLAN.split(", ")})
-        found = plan(
-            dict(zip(right["region"].tolist(), right["size"].tolist())),
-            list(zip(left["ri"].tolist(), left["rj"].tolist(), left["offset_sum"].tolist(), left["weight_sum"].tolist())),
-        )
-        rows = [(right["image_id"].iloc[0], right["echo"].iloc[0], r, *x) for r, x in found.items()]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PLAN.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cut in runs(batches, [0, 1]):
+            rows = list(zip(*[values_of(t, c).tolist() for c in ("ri", "rj", "offset_sum", "weight_sum")]))
+            found, at = [], []
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                own = plan({i: n for i, j, _, n in rows[lo:hi] if j == 0}, [p for p in rows[lo:hi] if p[1] != 0])
+                found += [(r, *x) for r, x in own.items()]
+                at += [lo] * len(own)
+            columns = zip(*found) if found else [[]] * 4
+            made = [pa.array(x, k) for x, k in zip(columns, (pa.int16(), pa.int16(), pa.float64(), pa.bool_()))]
+            keys = t.select(list(KEYS)).take(pa.array(at, pa.int64())).combine_chunks()
+            for lo in range(0, len(found), 65536):
+                own = [c.slice(lo, 65536).combine_chunks() for c in keys.columns]
+                own = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in own]
+                yield pa.RecordBatch.from_arrays([*own, *[a.slice(lo, 65536) for a in made]], NAMES)
 
-    return pairs.groupBy(*KEYS).cogroup(sizes.where("region <> 0").groupBy(*KEYS)).applyInPandas(one, PLAN)
+    keys = [F.col("image_id").cast("long"), F.col("echo").cast("int")]
+    size = sizes.where("region <> 0").select(*keys, F.col("region").alias("ri"), F.lit(0).cast("short").alias("rj"), F.lit(0.0).alias("offset_sum"), F.col("size").alias("weight_sum"))
+    both = size.unionByName(pairs.select(*keys, "ri", "rj", "offset_sum", "weight_sum"))
+    return dealt(both, list(KEYS)).sortWithinPartitions(*KEYS).mapInArrow(run, PLAN)
 
 
 def merge_regions(voxels: DataFrame, shape: Shape, value: str = "unwrapped") -> DataFrame:
